@@ -1,15 +1,18 @@
 """A short window of a text around its hits, built from token positions.
 
-Only the few winning rows of a search pass through here.
+Only the few winning rows of a search pass through here. The work per row grows linearly with its
+text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import _c
-from .tokens import token_pattern, tokenize
+from .tokens import token_pattern
 
 # fixed values: window size, hit marks, cut mark, preference for sentence starts
 WINDOW = 12
@@ -17,27 +20,34 @@ OPEN, CLOSE, CUT = "«", "»", "…"
 NEW_PHRASE, REPEAT = 1000, 1
 TEXT_START, SENTENCE_START = 120, 100
 
+_FLAG = "\x01"
 
-def phrase_hits(tokens: Column, number: int, patterns: list[Column]) -> Column:
-    """Places of one phrase as (start, phrase number, end); ``patterns`` holds a regex per term."""
-    size = len(patterns)
 
-    def at(i: Column) -> Column:
-        ok = F.lit(True)
-        for k, pattern in enumerate(patterns):
-            ok = ok & F.regexp_like(F.get(tokens, i + k), pattern)
-        return ok
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` evaluated once, also where ``body`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _flagged(norm: Column, pattern: Column) -> Column:
+    """Tokens, those at which the pattern starts carrying a flag."""
+    return F.array_remove(F.split(F.regexp_replace(norm, pattern, F.lit(" " + _FLAG)), " "), "")
 
-    last = F.size(tokens) - size
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        F.filter(places, at),
-        lambda i: F.struct(i.alias("s"), F.lit(number).alias("p"), (i + size - 1).alias("e")),
-    )
 
+def _hits_at(norm: Column, phrases: list[tuple[Column, Column, int]]) -> Column:
+    """Per token the phrases that start there, as (start, phrase number, end)."""
+    flagged = F.arrays_zip(*[_flagged(norm, p).alias(f"t{k}") for k, (_, p, _) in enumerate(phrases)])
 
-def _inside(hits: Column, start: Column, n: int) -> Column:
-    return F.filter(hits, lambda h: (h["s"] >= start) & (h["s"] < start + n))
+    def here(tokens: Column, i: Column) -> Column:
+        found = [
+            F.when(
+                counts & F.startswith(tokens[f"t{k}"], F.lit(_FLAG)),
+                F.struct(i.alias("s"), F.lit(k).alias("p"), (i + (size - 1)).alias("e")),
+            )
+            for k, (counts, _, size) in enumerate(phrases)
+        ]
+        return F.filter(F.array(*found), lambda h: h.isNotNull())
+
+    return F.transform(flagged, here)
 
 
 def _worth(found: Column) -> Column:
@@ -45,6 +55,10 @@ def _worth(found: Column) -> Column:
     return kinds * (NEW_PHRASE - REPEAT) + F.size(found) * REPEAT
 
 
+def _window(at: Column, start: Column, n: int) -> Column:
+    return F.flatten(F.slice(at, start + 1, F.lit(n)))
+
+
 def _centred(found: Column, n_tokens: Column, n: int) -> Column:
     first = F.get(found, F.lit(0))["s"]
     span = F.element_at(found, -1)["e"] + 1 - first
@@ -52,52 +66,43 @@ def _centred(found: Column, n_tokens: Column, n: int) -> Column:
     return F.greatest(F.least(first - half, n_tokens - n), F.lit(0))
 
 
-def _best_start(hits: Column, sentences: Column, n_tokens: Column, n: int) -> Column:
-    def candidates(h: Column, i: Column) -> Column:
-        found = _inside(hits, h["s"], n)
-        sentence = F.array_max(F.filter(sentences, lambda f: f <= h["s"]))
-        bonus = F.when(sentence == 0, TEXT_START).otherwise(SENTENCE_START)
-        at_sentence = F.when(
-            (n_tokens > n) & (sentence < h["s"]),
-            F.struct(
-                (_worth(_inside(hits, sentence, n)) + bonus).alias("worth"),
-                (-2 * i - 1).alias("early"),
-                sentence.alias("start"),
-            ),
+def _candidate(worth: Column, early: Column, start: Column) -> Column:
+    return F.struct(worth.alias("worth"), early.alias("early"), start.alias("start"))
+
+
+def _best_start(at: Column, sentences: Column, n: int) -> Column:
+    """Window with the most distinct phrases, then hits, then the earliest; a window from the start
+    of a hit's sentence is preferred to one centred on the hit."""
+    n_tokens = F.size(at)
+
+    def around(here: Column, i: Column) -> Column:
+        centred = let(
+            _window(at, i, n), lambda found: _candidate(_worth(found), -2 * i, _centred(found, n_tokens, n))
         )
-        around = F.struct(
-            _worth(found).alias("worth"), (-2 * i).alias("early"), _centred(found, n_tokens, n).alias("start")
+        return F.when(F.size(here) > 0, centred)
+
+    def from_sentence(start: Column, k: Column) -> Column:
+        next_start = F.coalesce(F.get(sentences, k + 1), n_tokens)
+        inside = F.flatten(F.slice(at, start + 2, next_start - start - 1))
+        bonus = F.when(start == 0, TEXT_START).otherwise(SENTENCE_START)
+        return let(
+            F.get(inside, F.lit(0))["s"],
+            lambda hit: F.when(
+                hit.isNotNull() & (n_tokens > n),
+                _candidate(_worth(_window(at, start, n)) + bonus, -2 * hit - 1, start),
+            ),
         )
-        return F.array(around, at_sentence)
 
-    return F.array_max(F.flatten(F.transform(hits, candidates)))["start"]
+    both = F.concat(F.transform(at, around), F.transform(sentences, from_sentence))
+    return F.coalesce(F.array_max(both)["start"], F.lit(0))
 
 
-def snippet(content, phrases: list[tuple[Column, list[Column]]], n: int = WINDOW) -> Column:
-    """Best window of at most ``n`` tokens with its hits marked.
-
-    ``phrases`` holds, per phrase, whether it counts in this row and a regex column per term.
-    """
-    content = _c(content)
-    folded = tokenize(content)
-    none = F.array().cast("array<struct<s:int,p:int,e:int>>")
-    hits = F.array_sort(
-        F.concat(
-            *[F.when(counts, phrase_hits(folded, k, pats)).otherwise(none) for k, (counts, pats) in enumerate(phrases)]
-        )
-    )
-    shown = F.regexp_extract_all(content, F.lit(token_pattern()), F.lit(0))
-    gaps = F.split(content, token_pattern(), -1)
-    n_tokens = F.size(shown)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(n_tokens - 1, F.lit(0))),
-        lambda i: (i == 0) | F.get(gaps, i).rlike(r"[.:][ \t\n\r]+$"),
-    )
-    begin = F.coalesce(_best_start(hits, starts, n_tokens, n), F.lit(0))
+def _render(shown: Column, gaps: Column, at: Column, begin: Column, n: int) -> Column:
+    n_tokens = F.size(at)
     end = F.least(begin + n, n_tokens) - 1
 
-    def piece(i: Column) -> Column:
-        own = F.filter(hits, lambda h: (h["s"] >= begin) & (h["s"] <= i) & (i <= h["e"]))
+    def piece(hits: Column, i: Column) -> Column:
+        own = F.filter(hits, lambda h: (h["s"] <= i) & (i <= h["e"]))
         opens = (F.size(own) > 0) & ~F.exists(own, lambda h: h["s"] < i)
         closes = (F.size(own) > 0) & ((i == end) | ~F.exists(own, lambda h: i < h["e"]))
         return F.concat(
@@ -107,9 +112,36 @@ def snippet(content, phrases: list[tuple[Column, list[Column]]], n: int = WINDOW
             F.when(closes, F.lit(CLOSE)).otherwise(F.lit("")),
         )
 
-    body = F.array_join(F.transform(F.sequence(begin, F.greatest(end, begin)), piece), "")
+    body = let(
+        _window(at, begin, n),
+        lambda hits: F.array_join(F.transform(F.sequence(begin, end), lambda i: piece(hits, i)), ""),
+    )
     return F.concat(
         F.when(begin > 0, F.lit(CUT)).otherwise(F.get(gaps, F.lit(0))),
-        F.coalesce(body, F.lit("")),
+        body,
         F.when(begin + n < n_tokens, F.lit(CUT)).otherwise(F.element_at(gaps, -1)),
     )
+
+
+def snippet(content, norm, phrases: list[tuple[Column, Column, int]], n: int = WINDOW) -> Column:
+    """Best window of at most ``n`` tokens of ``content`` with its hits marked.
+
+    ``phrases`` holds, per phrase, whether it counts in this row, the regex of the blank in
+    ``norm`` before each of its places, and its number of terms.
+    """
+    content, norm = _c(content), _c(norm)
+    shown = F.regexp_extract_all(content, F.lit(token_pattern()), F.lit(0))
+    gaps = F.split(content, token_pattern(), -1)
+
+    def starts(gaps: Column) -> Column:
+        indexed = F.transform(
+            gaps, lambda gap, i: F.when((i == 0) | gap.rlike(r"[.:][ \t\n\r]+$"), i)
+        )
+        return F.filter(indexed, lambda i: i.isNotNull() & (i < F.size(gaps) - 1))
+
+    def window(at: Column, gaps: Column) -> Column:
+        begin = let(starts(gaps), lambda sentences: _best_start(at, sentences, n))
+        return let(begin, lambda b: let(shown, lambda s: _render(s, gaps, at, b, n)))
+
+    marked = let(_hits_at(norm, phrases), lambda at: let(gaps, lambda g: window(at, g)))
+    return F.when(F.size(shown) > 0, marked).otherwise(content)

@@ -170,10 +170,10 @@ class Matcher:
     def by_phrase(self, columns: list[Column]) -> dict[int, Column]:
         return {id(p): c for p, c in zip(self.phrases, columns)}
 
-    def word_patterns(self, number: int) -> list[Column]:
-        """Anchored regex per term, for tests on single tokens."""
-        places = range(len(self.phrases[number].terms))
-        return [F.concat(F.lit("^(?:"), self._word(number, k), F.lit(")$")) for k in places]
+    def blank_before(self, number: int) -> Column:
+        """Regex of the blank in front of every place of a phrase."""
+        words = [self._word(number, k) for k in range(len(self.phrases[number].terms))]
+        return F.concat(F.lit(" (?="), *[F.concat(w, F.lit(" ")) for w in words], F.lit(")"))
 
 
 # characters of a stem's end that may differ from the words it stands for

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import doc_length, normalized
+from ..session import evaluated_once
 
 _KEY = ("project_slug", "uuid")
 
@@ -47,7 +48,10 @@ def with_search_columns(messages: DataFrame) -> DataFrame:
     """Add the normalised text and its length; stored tables carry them already."""
     if "norm" in messages.columns:
         return messages
-    return messages.withColumn("norm", normalized("content")).withColumn("doc_len", doc_length("norm"))
+    # the text is normalised once per row, whatever conditions follow
+    return evaluated_once(messages.withColumn("norm", normalized("content"))).withColumn(
+        "doc_len", doc_length("norm")
+    )
 
 
 def _in_order(messages: DataFrame) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.content import extract_text, parent_if_string, string_if_string, tool_use_names
 from ..functions.redact import Rule, redact
 from ..functions.text import strip
+from ..session import evaluated_once
 
 # fixed values: line types and roles that are kept
 LINE_TYPES = ["user", "assistant"]
@@ -51,11 +52,13 @@ def parse_lines(raw: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     role = F.try_variant_get("v", "$.message.role", "string")
     content = F.try_variant_get("v", "$.message.content", "variant")
     text = F.when(usable, strip(extract_text(content)))
-    return (
+    seen = evaluated_once(
         raw.withColumn("_usable", F.coalesce(usable, F.lit(False)))
         .withColumn("_text", text)
         .withColumn("is_turn", F.col("_usable") & (F.coalesce("_text", F.lit("")) != ""))
-        .select(
+    )
+    return (
+        seen.select(
             "project_slug",
             "transcript",
             "pos",

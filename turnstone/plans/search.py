@@ -83,8 +83,11 @@ def topk_per_project(hits: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _snippet(matcher: Matcher) -> Column:
-    phrases = [(F.col(f"_used{k}"), matcher.word_patterns(k)) for k in range(len(matcher.phrases))]
-    return snippet("content", phrases)
+    phrases = [
+        (F.col(f"_used{k}"), matcher.blank_before(k), len(found.terms))
+        for k, found in enumerate(matcher.phrases)
+    ]
+    return snippet("content", "norm", phrases)
 
 
 def _winners(hits: DataFrame, matcher: Matcher, limit: int) -> DataFrame:
@@ -182,7 +185,8 @@ def search_many(
     scored = (
         shares.join(asked, "phrase")
         .groupBy("query_id", "match_all", "asked", *key)
-        .agg(F.sum("share").alias("score"), F.count("*").alias("met"))
+        # exact addition: equal texts get equal scores in whatever order their shares arrive
+        .agg(F.sum(F.col("share").cast("decimal(28,18)")).cast("double").alias("score"), F.count("*").alias("met"))
         .filter(~F.col("match_all") | (F.col("met") == F.col("asked")))
     )
     best = Window.partitionBy("query_id").orderBy("score", "uuid")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter at scale. AQE sizes the shuffle partitions, turns small join sides into
 # broadcasts only after measuring them, and splits skewed join partitions.
@@ -53,6 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def evaluated_once(frame: DataFrame) -> DataFrame:
+    """The same rows, with every column computed before any later filter.
+
+    The optimizer pushes filters below a projection and repeats its expressions there. That is
+    wanted for cheap columns but would parse a line once per condition, so the columns pass
+    through a one-row generator, which conditions on them cannot cross.
+    """
+    return frame.select(F.inline(F.array(F.struct(*frame.columns))))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Bag union by column name of results from separate roots."""
     first, *rest = frames

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import local_path, session_from_path, slug_from_path, strip
+from ..session import evaluated_once
 
 
 def line_pos(batch=0, mtime=None, piece="", block=0, row=0) -> Column:
@@ -48,25 +49,33 @@ def raw_lines(lines: DataFrame) -> DataFrame:
 
     ``problem`` says why a line cannot be used; only JSON objects can.
     """
-    value = F.when(F.is_valid_utf8("value"), strip("value")).otherwise(F.make_valid_utf8("value"))
-    parsed = F.when(F.is_valid_utf8("value") & F.col("text").startswith("{"), F.try_parse_json("text"))
-    return (
-        lines.withColumn("text", value)
-        .filter(F.col("text") != "")
-        .withColumn("v", parsed)
-        .select(
+    valid = F.is_valid_utf8("value")
+    text = F.when(valid, strip("value")).otherwise(F.make_valid_utf8("value"))
+    stripped = lines.select("file_path", "pos", valid.alias("valid"), text.alias("text")).filter("text <> ''")
+    parsed = evaluated_once(
+        stripped.select(
             slug_from_path("file_path").alias("project_slug"),
             session_from_path("file_path").alias("transcript"),
             "pos",
             F.col("text").alias("value"),
-            "v",
-            F.when(F.col("v").isNotNull(), F.lit(None).cast("string"))
-            .when(~F.is_valid_utf8("value"), F.lit("not utf-8"))
-            .when(F.try_parse_json("text").isNotNull(), F.lit("not an object"))
-            .otherwise(F.lit("not json"))
-            .alias("problem"),
+            "valid",
+            F.when(F.col("valid"), F.try_parse_json("text")).alias("v"),
         )
     )
+    is_object = F.col("v").isNotNull() & F.col("value").startswith("{")
+    problem = (
+        F.when(~F.col("valid"), F.lit("not utf-8"))
+        .when(F.col("v").isNull(), F.lit("not json"))
+        .when(~is_object, F.lit("not an object"))
+    )
+    return parsed.select(
+        "project_slug",
+        "transcript",
+        "pos",
+        "value",
+        F.when(is_object, F.col("v")).alias("v"),
+        problem.alias("problem"),
+    )
 
 
 def scan_transcripts(
@@ -122,11 +131,11 @@ _ALIASES = {
 
 def _request(requests: DataFrame) -> DataFrame:
     """Fold the two spellings of every key into one column; an empty string counts as missing."""
+    folded = {}
     for snake, camel in _ALIASES.items():
         given = [F.nullif(F.col(c), F.lit("")) for c in (snake, camel) if c in requests.columns]
-        value = F.coalesce(*given) if given else F.lit(None).cast("string")
-        requests = requests.drop(camel).withColumn(snake, value)
-    return requests
+        folded[snake] = F.coalesce(*given) if given else F.lit(None).cast("string")
+    return requests.withColumns(folded).drop(*_ALIASES.values())
 
 
 def resolve_transcripts(requests: DataFrame, inventory: DataFrame) -> DataFrame:
