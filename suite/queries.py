@@ -92,7 +92,7 @@ def parent_if_string(spark, d):
 @query
 def quarantine(spark, d):
     """Lines that are no transcript lines: here the raw documents, read as if they were."""
-    lines = T.table(spark, d, "documents").select(
+    lines = T.texts(spark, d, "documents").select(
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit(".jsonl")).alias("file_path"),
         T.line_pos(row=F.col("doc_id")).alias("pos"),
         F.col("text").alias("value"),
@@ -299,7 +299,7 @@ JWT = "eyJhbGciOiJIUzI1NiJ9x.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMe
 
 @query
 def redact_documents(spark, d):
-    docs = T.table(spark, d, "documents")
+    docs = T.texts(spark, d, "documents")
     return docs.select("doc_id", X.redact(F.concat("text", F.lit(" key " + JWT)), RULES).alias("text"))
 
 
@@ -374,14 +374,14 @@ def preview(spark, d):
 
 @query
 def tokenize(spark, d):
-    words = T.table(spark, d, "documents").select(F.explode(X.tokenize("text")).alias("word"))
+    words = T.texts(spark, d, "documents").select(F.explode(X.tokenize("text")).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query
 def porter_stem(spark, d):
     """Stems of the vocabulary."""
-    words = T.table(spark, d, "documents").select(F.explode(X.tokenize("text")).alias("word")).distinct()
+    words = T.texts(spark, d, "documents").select(F.explode(X.tokenize("text")).alias("word")).distinct()
     return words.withColumn("stem", X.porter_stem("word"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.operators.messages import with_search_columns
+from turnstone.session import spread
 from turnstone.sources.transcripts import line_pos, raw_lines
 
 
@@ -13,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# the row key of the tables whose rows hold long texts
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, over all cores also where it is one small file."""
+    return spread(table(spark, sf_dir, name), _TEXT_KEYS[name])
+
+
 def minute_stamp(number: str) -> str:
     """SQL: ISO text of a number of minutes into 2024."""
     return (
@@ -23,7 +33,7 @@ def minute_stamp(number: str) -> str:
 
 def doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages: project = source, session = source and language."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("uuid"),
         F.concat_ws("/", "source", "lang").alias("session_id"),
         F.lit(None).cast("string").alias("parent_uuid"),
@@ -170,7 +180,7 @@ def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     breaks = F.regexp_replace("html", "</(p|h1|div|title|li)>", "\n\n")
     body = F.regexp_replace(breaks, "<[^>]*>", "")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         F.expr("concat('notes/', url)").alias("rel_path"),
         F.expr("element_at(array('lessons', 'runbooks', 'decisions'), cast(page_id % 3 as int) + 1)").alias("category"),
         F.regexp_replace("url", "[^a-z0-9]+", "-").alias("stem"),

@@ -5,6 +5,7 @@ Stemming runs over distinct terms, never over every token of every text.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -34,12 +35,16 @@ _STEP4 = dict.fromkeys(
 _SHORTEST, _LONGEST = 3, 64
 
 
+_VOWELS = str.maketrans("aeiou", "vvvvv")
+_CONSONANTS = re.compile("[^vy]")
+
+
 def _shape(word: str) -> str:
     """v/c per letter; y is a vowel after a consonant."""
-    shape = ""
-    for letter in word:
-        vowel = letter in "aeiou" or (letter == "y" and shape[-1:] == "c")
-        shape += "v" if vowel else "c"
+    shape = _CONSONANTS.sub("c", word.replace("v", "c").translate(_VOWELS))
+    while "y" in shape:
+        at = shape.index("y")
+        shape = shape[:at] + ("v" if shape[at - 1 : at] == "c" else "c") + shape[at + 1 :]
     return shape
 
 

@@ -43,18 +43,31 @@ def token_pattern() -> str:
     return f"[{_TOKEN_CLASS}][{_TOKEN_CLASS}{_folding()[2]}]*"
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _fold(text: Column) -> Column:
+    letters, plain, marks = _folding()
+    # characters of `matching` beyond the length of `replace` are deleted
+    return F.translate(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), letters + marks, plain)
+
+
 def fold_text(text) -> Column:
     """Lower-case without Latin diacritics. Pure ASCII takes the short way."""
     text = _c(text)
-    letters, plain, marks = _folding()
-    # characters of `matching` beyond the length of `replace` are deleted
-    folded = F.translate(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), letters + marks, plain)
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
+    return F.when(_is_ascii(text), F.lower(text)).otherwise(_fold(text))
 
 
 def normalized(text) -> Column:
-    padded = F.concat(F.lit(" "), fold_text(text), F.lit(" "))
-    return F.regexp_replace(padded, f"[^{_TOKEN_CLASS}]+", " ")
+    text = _c(text)
+
+    def spaced(folded: Column, others: str) -> Column:
+        return F.regexp_replace(F.concat(F.lit(" "), folded, F.lit(" ")), others, " ")
+
+    return F.when(_is_ascii(text), spaced(F.lower(text), "[^a-z0-9]+")).otherwise(
+        spaced(_fold(text), f"[^{_TOKEN_CLASS}]+")
+    )
 
 
 def doc_length(norm) -> Column:

@@ -190,8 +190,12 @@ def _word_patterns(docs: DataFrame, phrases: list[Phrase]) -> DataFrame:
     starts = "|".join(sorted({stem[: max(1, len(stem) - _STEM_TAIL)] for stem, _ in wanted.values()}))
     vocabulary = (
         docs.select(F.explode(F.regexp_extract_all("norm", F.lit(f" ((?:{starts})[^ ]*)"), F.lit(1))).alias("word"))
-        .distinct()
+        .groupBy("word")
+        .agg(F.count("*").alias("uses"))
         .withColumn("stem", porter_stem("word"))
+        # reading the count keeps the grouping below the stemming: without it the optimizer drops
+        # the grouping, as a set needs none, and every use of a word would be stemmed
+        .filter("uses > 0")
     )
     columns = []
     for name, (stem, is_prefix) in wanted.items():
