@@ -6,6 +6,7 @@ from .filters import (
     filter_project,
     filter_recency,
 )
+from .joins import salted_join
 from .match import Condition, phrase, prefix, term
 from .messages import (
     anti_insert,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import doc_length, normalized
 from ..session import evaluated_once
+from .joins import salted_join
 
 _KEY = ("project_slug", "uuid")
 
@@ -19,19 +20,21 @@ def first_uuid_wins(messages: DataFrame, key: tuple[str, ...] = _KEY, order: lis
     return messages.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 
 
-def anti_insert(new: DataFrame, stored: DataFrame, key: tuple[str, ...] = _KEY) -> DataFrame:
-    """Rows of ``new`` whose key is not stored.
+def anti_insert(
+    new: DataFrame, stored: DataFrame, key: tuple[str, ...] = _KEY, asked: DataFrame | None = None
+) -> DataFrame:
+    """Rows of ``new`` whose key is not stored. ``asked`` may hold the same keys more cheaply.
 
     The big table is reduced to the keys that reappear first: a small batch is then the side Spark
     can broadcast once it has measured it, and the stored rows need no shuffle.
     """
-    wanted = new.select(*key).distinct()
+    wanted = (new if asked is None else asked).select(*key).distinct()
     known = stored.select(*key).join(wanted, list(key), "left_semi").distinct()
     return new.join(known, list(key), "left_anti")
 
 
 def insert_messages(new: DataFrame, stored: DataFrame, key: tuple[str, ...] = _KEY, order: list | None = None) -> DataFrame:
-    return anti_insert(first_uuid_wins(new, key, order), stored, key)
+    return anti_insert(first_uuid_wins(new, key, order), stored, key, asked=new)
 
 
 def ingest_stats(new: DataFrame, inserted: DataFrame) -> DataFrame:
@@ -61,7 +64,8 @@ def _in_order(messages: DataFrame) -> list[str]:
 
 def session_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages of the chosen sessions, many at once."""
-    return messages.join(sessions.select("project_slug", "session_id"), ["project_slug", "session_id"])
+    keys = ["project_slug", "session_id"]
+    return salted_join(messages, sessions.select(*keys), keys, ["uuid"])
 
 
 def transcript(messages: DataFrame, session_ids: list[str] | DataFrame, limit: int | None = None) -> DataFrame:
@@ -81,11 +85,11 @@ def transcript(messages: DataFrame, session_ids: list[str] | DataFrame, limit: i
 
 def orphan_messages(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     keys = ["project_slug", "session_id"]
-    return messages.join(sessions.select(*keys), keys, "left_anti")
+    return salted_join(messages, sessions.select(*keys), keys, ["uuid"], "left_anti")
 
 
 def purge_project(sessions: DataFrame, messages: DataFrame, slug: str) -> tuple[DataFrame, DataFrame]:
     """Sessions without the project's, and the messages that still have a session."""
     keys = ["project_slug", "session_id"]
     kept = sessions.filter(~F.col("project_slug").eqNullSafe(slug))
-    return kept, messages.join(kept.select(*keys), keys, "left_semi")
+    return kept, salted_join(messages, kept.select(*keys), keys, ["uuid"], "left_semi")

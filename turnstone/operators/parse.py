@@ -9,6 +9,7 @@ from ..functions.content import extract_text, parent_if_string, string_if_string
 from ..functions.redact import Rule, redact
 from ..functions.text import strip
 from ..session import evaluated_once
+from .joins import salted_join
 
 # fixed values: line types and roles that are kept
 LINE_TYPES = ["user", "assistant"]
@@ -93,7 +94,7 @@ def turns(lines: DataFrame, sessions: DataFrame) -> DataFrame:
     ids = sessions.select("project_slug", "transcript", "session_id")
     return (
         lines.filter("is_turn")
-        .join(ids, ["project_slug", "transcript"])
+        .transform(salted_join, ids, ["project_slug", "transcript"], ["pos"])
         .select(
             "uuid",
             "session_id",

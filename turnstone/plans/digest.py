@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cap_block, fmt_iso_short, tools_line, trim_turn
 from ..operators.filters import MIN_TURNS, filter_not_current
+from ..operators.joins import salted_join
 from ..operators.sessions import latest_session_per_project
 
 # fixed values: size limit, its marker, turns kept in full, speaker labels
@@ -38,7 +39,7 @@ def tail_turns_full(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFram
     return (
         messages.withColumn("nr", F.row_number().over(order))
         .filter(F.col("nr") <= visible)
-        .join(counts, _KEY)
+        .join(counts, _KEY)  # few rows per session by now, already grouped by it
         .withColumn("is_full", F.col("nr") > F.col("_turns") - FULL_TURNS)
         .drop("_turns")
     )
@@ -70,7 +71,7 @@ def session_digest(
     chosen = latest_session_per_project(sessions, min_turns)
     if current is not None:
         chosen = filter_not_current(chosen, current)
-    said = messages.join(chosen.select(*_KEY), _KEY, "left_semi")
+    said = salted_join(messages, chosen.select(*_KEY), _KEY, ["uuid"])
     turns = digest_text(tail_turns_full(said, max_chars), max_chars)
     branch = F.coalesce(F.nullif("git_branch", F.lit("")), F.lit(""))
     header = F.concat(

@@ -15,6 +15,7 @@ from ..functions.snippet import snippet
 from ..functions.stem import porter_stem
 from ..functions.tokens import split_norm, tokenize
 from ..operators.filters import filter_project
+from ..operators.joins import salted_join
 from ..operators.match import Condition, Matcher
 from ..operators.messages import with_search_columns
 
@@ -57,7 +58,7 @@ def _scored(
         }
     )
     if by:
-        hits = hits.join(stats, list(by))
+        hits = salted_join(hits, stats, list(by), ["uuid"])
     else:
         whole = stats.select(F.struct("*").alias("s"))
         hits = hits.withColumn("_whole", whole.scalar()).select("*", "_whole.*").drop("_whole")
@@ -163,7 +164,7 @@ def search_many(
     else:
         spelled = wanted.withColumnRenamed("word", "token")
     found = (
-        places.join(spelled, "token")
+        salted_join(places, spelled, ["token"], ["uuid", "at"])
         .withColumn("start", F.col("at") - F.col("place"))
         # grouped by message from here on: one shuffle serves both aggregations
         .repartition(*key)
@@ -176,14 +177,14 @@ def search_many(
     stats = docs.groupBy("project_slug").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     df = found.groupBy("project_slug", "phrase").agg(F.count("*").alias("df"))
     shares = (
-        found.join(df.join(stats, "project_slug"), ["project_slug", "phrase"])
+        salted_join(found, df.join(stats, "project_slug"), ["project_slug", "phrase"], ["uuid"])
         .select(*key, "phrase", bm25_term("tf", "doc_len", "avg_len", "n_docs", "df").alias("share"))
     )
     asked = queries.select(
         "query_id", "match_all", F.size("phrases").alias("asked"), F.posexplode("phrases").alias("nr", "text")
     ).select("query_id", "match_all", "asked", "nr", F.array_join(tokenize("text"), " ").alias("phrase"))
     scored = (
-        shares.join(asked, "phrase")
+        salted_join(shares, asked, ["phrase"], ["uuid"])
         .groupBy("query_id", "match_all", "asked", *key)
         # exact addition: equal texts get equal scores in whatever order their shares arrive
         .agg(F.sum(F.col("share").cast("decimal(28,18)")).cast("double").alias("score"), F.count("*").alias("met"))
