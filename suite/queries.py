@@ -510,7 +510,7 @@ def team_recent(spark, d):
 @query
 def team_activity(spark, d):
     sessions = T.event_sessions(spark, d)
-    viewers = sessions.select(F.col("engineer_id").alias("viewer")).distinct()
+    viewers = T.event_rows(spark, d).select(F.col("engineer_id").alias("viewer")).distinct()
     return P.team_activity(sessions, viewers, "2024-01-31 00:00:00")
 
 
@@ -518,7 +518,7 @@ def team_activity(spark, d):
 def team_activity_unlimited(spark, d):
     """The filters before any fetch limit."""
     sessions = T.event_sessions(spark, d)
-    viewers = sessions.select(F.col("engineer_id").alias("viewer")).distinct()
+    viewers = T.event_rows(spark, d).select(F.col("engineer_id").alias("viewer")).distinct()
     return P.team_activity(sessions, viewers, "2024-01-31 00:00:00", fetch_limit=None)
 
 

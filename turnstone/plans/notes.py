@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.notes import best_excerpt, extract_title, heading, keyword_score, matched_keywords
+from ..session import evaluated_once
 from ..sources.notes import CATEGORIES
 
 
 def score_notes(notes: DataFrame, keywords: list[str]) -> DataFrame:
     """Notes with at least one keyword hit and their score."""
-    return (
-        notes.withColumn("_heading", heading("content"))
-        .withColumn("score", keyword_score(keywords, "stem", "_heading", "content"))
-        .filter("score > 0")
-    )
+    titled = notes.withColumn("_heading", heading("content"))
+    rated = titled.withColumn("score", keyword_score(keywords, "stem", "_heading", "content"))
+    return evaluated_once(rated).filter("score > 0")
 
 
 def notes_search(notes: DataFrame, keywords: list[str], limit: int = 5) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators.filters import filter_project
 from ..operators.joins import salted_join
 from ..operators.match import Condition, Matcher
 from ..operators.messages import with_search_columns
+from ..session import checkpointed
 
 PER_PROJECT = ("project_slug",)
 
@@ -163,7 +164,8 @@ def search_many(
         spelled = vocabulary.join(wanted, "word").select("token", "phrase", "size", "place")
     else:
         spelled = wanted.withColumnRenamed("word", "token")
-    found = (
+    # written once: the document frequencies and the scores both start from it
+    found = checkpointed(
         salted_join(places, spelled, ["token"], ["uuid", "at"])
         .withColumn("start", F.col("at") - F.col("place"))
         # grouped by message from here on: one shuffle serves both aggregations

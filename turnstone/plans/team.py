@@ -11,6 +11,7 @@ from ..functions.rank import team_rank
 from ..functions.text import cap_block, fmt_iso_short, preview
 from ..operators.filters import LOOKBACK_DAYS, MIN_TURNS, filter_engineer, filter_min_turns, is_recent
 from ..operators.match import Condition
+from ..session import evaluated_once
 from .search import _scored, _tidy
 
 # fixed values: how many are fetched and shown, size limit and its marker
@@ -108,10 +109,9 @@ def team_activity(
     )
     header = f"Recent team activity (other engineers, last {days} days):\n\n"
     lines = F.array_join(F.transform(F.col("_others"), lambda s: s["entry"]), "\n")
+    seen = viewers.select("viewer").withColumn("_few", few.agg(newest_first).scalar())
     return (
-        viewers.select("viewer")
-        .withColumn("_few", few.agg(newest_first).scalar())
-        .withColumn("_others", others)
+        evaluated_once(seen.select("viewer", others.alias("_others")))
         .filter(F.size("_others") > 0)
         .select("viewer", cap_block(F.concat(F.lit(header), lines), max_chars, CAP_MARK).alias("text"))
     )

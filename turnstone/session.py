@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # intermediate results written to the shared folder go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # the last of several equal keys wins instead of failing the line
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -47,6 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return fresh
 
 
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Compute an intermediate result once, into the shared folder, for several uses."""
+    context = frame.sparkSession.sparkContext
+    folder = shared_dir(frame.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, unique per call."""
     import uuid
