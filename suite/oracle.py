@@ -63,7 +63,8 @@ ORACLE["extract_text"] = f"""WITH {TALK} SELECT project_slug, session_id AS tran
     CASE WHEN role = 'assistant' AND {strip("text")} = '' THEN '' ELSE text END AS content FROM talk"""
 ORACLE["parent_if_string"] = """SELECT 'c' || conv_id AS transcript, turn,
     CASE WHEN turn > 0 THEN 'c' || conv_id || '-' || (turn - 1) END AS parent_uuid FROM conversations"""
-ORACLE["quarantine"] = f"""SELECT source AS project_slug, 'not json' AS problem, count(*) AS n
+ORACLE["quarantine"] = f"""SELECT source AS project_slug,
+    CASE WHEN json_valid({strip("text")}) THEN 'not an object' ELSE 'not json' END AS problem, count(*) AS n
     FROM documents WHERE {strip("text")} <> '' GROUP BY ALL"""
 ORACLE["tool_use_names"] = f"""WITH {TALK} SELECT project_slug, 'Tool' || (turn % 3) AS tool, count(*) AS n
     FROM talk WHERE role = 'assistant' GROUP BY ALL"""

@@ -59,13 +59,17 @@ def test_cut_last_line(spark, write_transcript):
 
 
 def test_bad_lines_do_not_lose_the_file(spark, tmp_path, write_transcript):
-    path = write_transcript([user("u1", "kept"), "[1, 2]", "7", "   ", "not json"])
+    import json
+
+    one = json.dumps(user("u9", "one of two"))
+    after = [one + " tail", one + one, one + "," + one, one + "]", one + "], 1", one + ", 3", '{"a": 1},"b": 2']
+    path = write_transcript([user("u1", "kept"), "[1, 2]", "7", "   ", "not json", *after])
     with path.open("ab") as out:
         out.write(b'\n{"type": "user", "x": "\xff\xfe"}\n')
     (session,), said, lines = run(spark, path)
     assert session.turn_count == 1 and [m.content for m in said] == ["kept"]
     problems = sorted(r.problem for r in quarantined(lines).collect())
-    assert problems == ["not an object", "not an object", "not json", "not utf-8"]
+    assert problems == ["not an object"] * 2 + ["not json"] * 8 + ["not utf-8"]
 
 
 def test_bad_file_alone(spark, write_transcript):

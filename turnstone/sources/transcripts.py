@@ -52,30 +52,32 @@ def raw_lines(lines: DataFrame) -> DataFrame:
     valid = F.is_valid_utf8("value")
     text = F.when(valid, strip("value")).otherwise(F.make_valid_utf8("value"))
     stripped = lines.select("file_path", "pos", valid.alias("valid"), text.alias("text")).filter("text <> ''")
-    parsed = evaluated_once(
-        stripped.select(
+    # The parser stops after the first value and does not look at what follows. Inside an array that
+    # ends with the text's length, anything but exactly one value shows.
+    size = F.length("text")
+    framed = F.concat(F.lit("["), "text", F.lit(","), size.cast("string"), F.lit("]"))
+    parsed = stripped.withColumn("framed", F.when(F.col("valid"), F.try_parse_json(framed))).withColumn(
+        "whole",
+        (F.try_variant_get("framed", "$[1]", "bigint") == size)
+        & F.try_variant_get("framed", "$[2]", "variant").isNull(),
+    )
+    is_object = F.col("whole") & F.col("text").startswith("{")
+    problem = (
+        F.when(~F.col("valid"), F.lit("not utf-8"))
+        .when(is_object, F.lit(None).cast("string"))
+        .when(F.col("whole"), F.lit("not an object"))
+        .otherwise(F.lit("not json"))
+    )
+    return evaluated_once(
+        parsed.select(
             slug_from_path("file_path").alias("project_slug"),
             session_from_path("file_path").alias("transcript"),
             "pos",
             F.col("text").alias("value"),
-            "valid",
-            F.when(F.col("valid"), F.try_parse_json("text")).alias("v"),
+            F.when(is_object, F.try_variant_get("framed", "$[0]", "variant")).alias("v"),
+            problem.alias("problem"),
         )
     )
-    is_object = F.col("v").isNotNull() & F.col("value").startswith("{")
-    problem = (
-        F.when(~F.col("valid"), F.lit("not utf-8"))
-        .when(F.col("v").isNull(), F.lit("not json"))
-        .when(~is_object, F.lit("not an object"))
-    )
-    return parsed.select(
-        "project_slug",
-        "transcript",
-        "pos",
-        "value",
-        F.when(is_object, F.col("v")).alias("v"),
-        problem.alias("problem"),
-    )
 
 
 def scan_transcripts(
