@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.llm.chat import conversation_log, format_chats, read_back
 from turnstone.llm.common import table
+from turnstone.llm.toxicity import score_documents, train
 from turnstone.llm.url_rules import Rule, judge_urls
 
 RULES = [
@@ -40,9 +41,22 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def fold_of(doc_id: str, parts: int) -> Column:
+    """Part of the rows that a document belongs to, by its id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = train(docs, labels.filter(fold_of("doc_id", 5) != 0))
+    held_out = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
+    return score_documents(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op8_url_filters": op8_url_filters,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
