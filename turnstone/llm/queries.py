@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstone.llm.chat import conversation_log, format_chats, read_back
 from turnstone.llm.common import table
+from turnstone.llm.decontaminate import contamination
 from turnstone.llm.toxicity import score_documents, train
 from turnstone.llm.url_rules import Rule, judge_urls
 
@@ -17,6 +18,10 @@ RULES = [
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(
@@ -54,12 +59,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_chat_formatting": op3_chat_formatting,
     "op8_url_filters": op8_url_filters,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
+    "op2_decontamination": r"""
+WITH item_words AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM benchmark WHERE trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) <> ''),
+item_runs AS (SELECT item_id, w, least(5, len(w)) AS size FROM item_words),
+item_shingles AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM item_runs)),
+item_sizes AS (SELECT item_id, size, count(*) AS n FROM item_shingles GROUP BY ALL),
+doc_words AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+doc_shingles AS (SELECT DISTINCT doc_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM doc_words, (SELECT DISTINCT size FROM item_sizes)))
+SELECT doc_id, item_id, CAST(n AS INT) AS n_shingles, CAST(count(*) AS INT) AS n_found, count(*) / n AS containment
+FROM doc_shingles JOIN item_shingles USING (size, s) JOIN item_sizes USING (item_id, size)
+GROUP BY doc_id, item_id, n HAVING count(*) >= n * 0.8 - 1e-9""",
     "op3_chat_formatting": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
