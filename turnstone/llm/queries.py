@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.chat import conversation_log, format_chats, read_back
 from turnstone.llm.common import table
 from turnstone.llm.decontaminate import contamination
+from turnstone.llm.simhash_tree import near_duplicates
 from turnstone.llm.toxicity import score_documents, train
 from turnstone.llm.url_rules import Rule, judge_urls
 
@@ -42,6 +43,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -61,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_chat_formatting": op3_chat_formatting,
+    "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op8_url_filters": op8_url_filters,
     "op10_toxicity": op10_toxicity,
 }
