@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.chat import conversation_log, format_chats, read_back
 from turnstone.llm.common import table
 from turnstone.llm.decontaminate import contamination
+from turnstone.llm.fingerprints import fingerprint_documents
 from turnstone.llm.simhash_tree import near_duplicates
 from turnstone.llm.toxicity import score_documents, train
 from turnstone.llm.url_rules import Rule, judge_urls
@@ -56,6 +57,10 @@ def fold_of(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = train(docs, labels.filter(fold_of("doc_id", 5) != 0))
@@ -68,6 +73,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op8_url_filters": op8_url_filters,
+    "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
 
