@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from turnstone.llm.common import packed, texts_of, unpacked
+from turnstone.llm.common import packed, texts_of, unpacked, written
 
 HOMOGLYPHS = str.maketrans(
     "аіјеоорсухѕԁһкмтвнβαεικορτυνхʟıøłđæœßþ",
@@ -117,7 +117,8 @@ def train(
         .dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    sample = texts_of(docs).join(chosen, "doc_id").select("text", "toxic")
+    # at most sample_rows pairs of numbers go to every task; the documents stay where they are
+    sample = written(texts_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
