@@ -9,9 +9,13 @@ from turnstone.llm.chat import conversation_log, format_chats, read_back
 from turnstone.llm.common import table
 from turnstone.llm.decontaminate import contamination
 from turnstone.llm.fingerprints import fingerprint_documents
+from turnstone.llm.packing import pack
 from turnstone.llm.simhash_tree import near_duplicates
+from turnstone.llm.token_store import read_tokens, write_tokens
+from turnstone.llm.tokens import public_tokenizer
 from turnstone.llm.toxicity import score_documents, train
 from turnstone.llm.url_rules import Rule, judge_urls
+from turnstone.session import scratch_path
 
 RULES = [
     Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"),
@@ -20,6 +24,12 @@ RULES = [
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizer(), end_id=1)
+    return read_tokens(spark, path)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +58,10 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizer(), capacity=2048, end_id=0)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -69,9 +83,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op2_decontamination": op2_decontamination,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op6_packing": op6_packing,
     "op8_url_filters": op8_url_filters,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
