@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstone.llm.backoff_lm import score_texts
 from turnstone.llm.chat import conversation_log, format_chats, read_back
 from turnstone.llm.common import table
 from turnstone.llm.decontaminate import contamination
@@ -24,6 +25,15 @@ RULES = [
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def fold_of(doc_id: str, parts: int) -> Column:
+    """Part of the rows that a document belongs to, by its id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizer(), end_id=1)
@@ -62,17 +72,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer(), capacity=2048, end_id=0)
 
 
-def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), RULES)
-
-
-def fold_of(doc_id: str, parts: int) -> Column:
-    """Part of the rows that a document belongs to, by its id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold_of("doc_id", 7) == 2, F.lit(False))
+    return score_texts(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
 
 
-def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +96,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_url_filters": op8_url_filters,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
