@@ -10,6 +10,7 @@ from turnstone.llm.chat import conversation_log, format_chats, read_back
 from turnstone.llm.common import table
 from turnstone.llm.decontaminate import contamination
 from turnstone.llm.fingerprints import fingerprint_documents
+from turnstone.llm.line_chunks import without_repeated_lines
 from turnstone.llm.packing import pack
 from turnstone.llm.simhash_tree import near_duplicates
 from turnstone.llm.token_store import read_tokens, write_tokens
@@ -64,6 +65,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -94,6 +99,7 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_decontamination": op2_decontamination,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_packing": op6_packing,
     "op7_lm_scoring": op7_lm_scoring,
