@@ -1,10 +1,60 @@
-"""The preparation of a corpus, stage by stage."""
+"""A training corpus prepared in five stages, each written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
-STAGES = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from turnstone.llm.common import table
+from turnstone.llm.decontaminate import without_contaminated
+from turnstone.llm.line_chunks import without_repeated_lines
+from turnstone.llm.near_copies import without_near_copies
+from turnstone.llm.packing import pack
+from turnstone.llm.tokens import public_tokenizer
+from turnstone.llm.toxicity import train, without_toxic
+from turnstone.session import scratch_path
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from all labelled documents of the table, does not call toxic."""
+    lexicon = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return without_toxic(docs, lexicon)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizer())
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+# the lexicon's curve, the rolling hashes and the packing search have no SQL; tests compare each stage with brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
