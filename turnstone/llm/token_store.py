@@ -61,7 +61,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if parts:
             yield segment(shard, first, doc_ids, parts)
 
-    ordered = texts_of(docs).repartitionByRange(F.asc_nulls_first("doc_id"), "text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    ordered = texts_of(docs).repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     ordered.mapInArrow(write, SCHEMA).write.parquet(path)
 
 
