@@ -84,7 +84,7 @@ def contained_items(docs: DataFrame, items: DataFrame, keys: list[str], threshol
         places = shingled(near.filter(F.col("size") == size), [*keys, "items"], "words", size)
         wanted = shingles.filter(F.col("size") == size).select("hash", "shingle", "item")
         held = places.join(wanted, ["hash", "shingle"])
-        held = held.withColumn("n", F.filter("items", lambda x: x["item"].eqNullSafe(F.col("item")))[0]["n"]).filter("n is not null")
+        held = held.withColumn("n", F.get(F.filter("items", lambda x: x["item"].eqNullSafe(F.col("item"))), F.lit(0))["n"]).filter("n is not null")
         verified.append(held.select(*keys, "item", "n", "shingle").distinct().groupBy(*keys, "item", "n").agg(F.count("*").cast("int").alias("n_found")))
     pairs = verified[0]
     for more in verified[1:]:
