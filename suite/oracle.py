@@ -47,28 +47,34 @@ STORED_SESSIONS = f"""WITH {TALK_SESSIONS}
            git_branch, cwd
     FROM sessions s"""
 
-for name in ("parse_messages", "scan_transcripts", "ingest_twice", "stream_ingest_messages"):
+for name in (
+    "parse_messages", "scan_transcripts", "ingest_twice", "ingest_replay", "stream_ingest_messages", "stream_after_batch",
+):
     ORACLE[name] = MESSAGES
 ORACLE["publish_team"] = f"WITH {SAID} SELECT 'ann' AS engineer_id, * FROM said"
 ORACLE["session_rollup"] = STORED_SESSIONS
 ORACLE["stored_sessions"] = STORED_SESSIONS + " WHERE turn_count > 0"
-ORACLE["keep_line_types"] = (
-    f"WITH {TALK} SELECT project_slug, count(*) AS n FROM talk WHERE role IN ('user', 'assistant') GROUP BY ALL"
-)
-ORACLE["valid_message"] = f"WITH {TALK} SELECT project_slug, count(*) AS n FROM talk GROUP BY ALL"
-ORACLE["route_role"] = (
-    f"WITH {TALK} SELECT project_slug, role, count(*) AS n FROM talk WHERE role IN ('user', 'assistant') GROUP BY ALL"
-)
+# lines of which most lack something
+ODD = "odd AS (SELECT 'c' || conv_id AS transcript, turn, role, text, conv_id, (conv_id + turn) % 8 AS k FROM conversations)"
+ORACLE["keep_line_types"] = f"WITH {ODD} SELECT transcript, turn FROM odd WHERE k <> 7 AND role IN ('user', 'assistant')"
+ORACLE["valid_message"] = f"WITH {ODD} SELECT transcript, turn FROM odd WHERE k IN (0, 4, 5, 6, 7)"
+ORACLE["route_role"] = f"""WITH {ODD} SELECT transcript, turn, CASE WHEN k = 7 THEN 'user' ELSE role END AS role FROM odd
+    WHERE k = 7 OR k IN (0, 1, 2, 6) AND role IN ('user', 'assistant')"""
+ORACLE["drop_empty_turns"] = f"""WITH {ODD} SELECT transcript, turn FROM odd
+    WHERE k = 0 AND role IN ('user', 'assistant') AND {strip("text")} <> ''"""
+ORACLE["push_result"] = f"""WITH {SAID} SELECT session_id, count(*) FILTER (split_part(uuid, '-', 2)::INT % 3 <> 0) AS messages_inserted,
+    count(*) AS messages_total FROM said GROUP BY session_id"""
+ORACLE["stored_projects"] = f"WITH {SAID} SELECT DISTINCT project_slug FROM said"
 ORACLE["extract_text"] = f"""WITH {TALK} SELECT project_slug, session_id AS transcript, turn,
     CASE WHEN role = 'assistant' AND {strip("text")} = '' THEN '' ELSE text END AS content FROM talk"""
-ORACLE["parent_if_string"] = """SELECT 'c' || conv_id AS transcript, turn,
-    CASE WHEN turn > 0 THEN 'c' || conv_id || '-' || (turn - 1) END AS parent_uuid FROM conversations"""
+ORACLE["parent_if_string"] = f"""WITH {ODD} SELECT transcript, turn,
+    CASE WHEN turn > 0 AND k <> 5 THEN 'c' || conv_id || '-' || (turn - 1) END AS parent_uuid FROM odd"""
 ORACLE["quarantine"] = f"""SELECT source AS project_slug,
     CASE WHEN json_valid({strip("text")}) THEN 'not an object' ELSE 'not json' END AS problem, count(*) AS n
     FROM documents WHERE {strip("text")} <> '' GROUP BY ALL"""
 ORACLE["tool_use_names"] = f"""WITH {TALK} SELECT project_slug, 'Tool' || (turn % 3) AS tool, count(*) AS n
     FROM talk WHERE role = 'assistant' GROUP BY ALL"""
-_SHOWN = 'session_id, uuid, parent_uuid, "timestamp", role, content'
+_SHOWN = 'project_slug, session_id, uuid, parent_uuid, "timestamp", role, content'
 ORACLE["transcript"] = f"WITH {SAID} SELECT {_SHOWN} FROM said"
 ORACLE["transcript_head"] = f"""WITH {SAID} SELECT {_SHOWN} FROM said
     QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY "timestamp") <= 2"""
@@ -154,10 +160,10 @@ def activity(source: str) -> str:
     FROM (SELECT viewer, {block} AS t FROM ranked WHERE r <= 10 GROUP BY viewer)"""
 
 
-ORACLE["team_activity"] = activity(
+ORACLE["team_activity_fetched"] = activity(
     "SELECT * FROM sessions WHERE turn_count >= 2 ORDER BY started_at DESC, session_id LIMIT 30"
 )
-ORACLE["team_activity_unlimited"] = activity("SELECT * FROM sessions WHERE turn_count >= 2")
+ORACLE["team_activity"] = ORACLE["team_activity_unlimited"] = activity("SELECT * FROM sessions WHERE turn_count >= 2")
 
 # ---------------------------------------------------------------- documents as messages
 
@@ -246,7 +252,7 @@ ORACLE["fmt_team"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown F
 ORACLE["slug_from_cwd"] = r"""SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type
     ELSE ltrim(translate('C:\src/' || p_brand || '\' || p_name, '\/:', '---'), '-') END AS slug FROM part"""
 ORACLE["slug_from_path"] = """WITH p AS (
-    SELECT page_id, regexp_replace(url, '[?#].*$', '') || '.jsonl' AS path FROM pages)
+    SELECT page_id, url || '.jsonl' AS path FROM pages)
     SELECT page_id, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS slug,
            regexp_extract(path, '([^/]+?)(?:\\.[^./]*)?$', 1) AS session FROM p"""
 ORACLE["trim_turns"] = f"""SELECT conv_id, turn, CASE WHEN turn > 3 OR length(text) <= 600 THEN text
@@ -332,7 +338,7 @@ ORACLE["team_search"] = f"""WITH {DOC_SESSIONS}, {scored(
            replace(left(t.text, 200), chr(10), ' ') AS content_preview, m.session_id, 'user' AS role
     FROM top t JOIN dm m USING (uuid)"""
 ORACLE["search_many"] = f"""WITH {DOCS}, asked AS (
-        SELECT item_id AS query_id, unnest(list_distinct(list_filter({TOKENS}, lambda w: length(w) >= 6))) AS phrase
+        SELECT item_id AS query_id, unnest(list_distinct({TOKENS})) AS phrase
         FROM benchmark),
     words AS (SELECT uuid, source, len(tok) AS dl, unnest(tok) AS phrase FROM docs),
     tf AS (SELECT uuid, source, dl, phrase, count(*) AS t FROM words

@@ -57,21 +57,30 @@ def session_rollup(spark, d):
     return rolled.withColumn("tools", X.tool_json("tool_call_freq")).select(*_SESSION)
 
 
+def _places(lines):
+    return lines.select("transcript", F.col("pos.row").alias("turn"))
+
+
 @query
 def keep_line_types(spark, d):
-    return O.keep_line_types(T.transcript_lines(spark, d)).groupBy("project_slug").agg(F.count("*").alias("n"))
+    return _places(O.keep_line_types(T.odd_lines(spark, d)))
 
 
 @query
 def valid_message(spark, d):
-    return O.valid_message(T.transcript_lines(spark, d)).groupBy("project_slug").agg(F.count("*").alias("n"))
+    return _places(O.valid_message(T.odd_lines(spark, d)))
 
 
 @query
 def route_role(spark, d):
-    lines = O.route_role(T.transcript_lines(spark, d))
     role = F.try_variant_get("v", "$.message.role", "string")
-    return lines.groupBy("project_slug", role.alias("role")).agg(F.count("*").alias("n"))
+    return O.route_role(T.odd_lines(spark, d)).select("transcript", F.col("pos.row").alias("turn"), role.alias("role"))
+
+
+@query
+def drop_empty_turns(spark, d):
+    """Turns that are left of lines of which most lack something."""
+    return _places(parse_lines(T.odd_lines(spark, d)).filter("is_turn"))
 
 
 @query
@@ -84,7 +93,7 @@ def extract_text(spark, d):
 
 @query
 def parent_if_string(spark, d):
-    return T.transcript_lines(spark, d).select(
+    return T.odd_lines(spark, d).select(
         "transcript", F.col("pos.row").alias("turn"), X.parent_if_string("v").alias("parent_uuid")
     )
 
@@ -92,7 +101,7 @@ def parent_if_string(spark, d):
 @query
 def quarantine(spark, d):
     """Lines that are no transcript lines: here the raw documents, read as if they were."""
-    lines = T.texts(spark, d, "documents").select(
+    lines = T.table(spark, d, "documents").select(
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit(".jsonl")).alias("file_path"),
         T.line_pos(row=F.col("doc_id")).alias("pos"),
         F.col("text").alias("value"),
@@ -213,13 +222,13 @@ def locate_session(spark, d):
 @query
 def transcript(spark, d):
     said = _turns(_parsed(spark, d))
-    return O.transcript(said, said.select("session_id"))
+    return O.transcript(said, said.select("project_slug", "session_id"))
 
 
 @query
 def transcript_head(spark, d):
     said = _turns(_parsed(spark, d))
-    return O.transcript(said, said.select("session_id"), limit=2)
+    return O.transcript(said, said.select("project_slug", "session_id"), limit=2)
 
 
 @query
@@ -299,7 +308,7 @@ JWT = "eyJhbGciOiJIUzI1NiJ9x.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMe
 
 @query
 def redact_documents(spark, d):
-    docs = T.texts(spark, d, "documents")
+    docs = T.table(spark, d, "documents")
     return docs.select("doc_id", X.redact(F.concat("text", F.lit(" key " + JWT)), RULES).alias("text"))
 
 
@@ -349,7 +358,7 @@ def slug_from_cwd(spark, d):
 @query
 def slug_from_path(spark, d):
     url = F.col("url")
-    path = F.concat(F.regexp_replace(url, "[?#].*$", ""), F.lit(".jsonl"))
+    path = F.concat(url, F.lit(".jsonl"))
     return T.table(spark, d, "pages").select(
         "page_id", X.slug_from_path(path).alias("slug"), X.session_from_path(path).alias("session")
     )
@@ -374,14 +383,14 @@ def preview(spark, d):
 
 @query
 def tokenize(spark, d):
-    words = T.texts(spark, d, "documents").select(F.explode(X.tokenize("text")).alias("word"))
+    words = T.table(spark, d, "documents").select(F.explode(X.tokenize("text")).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query
 def porter_stem(spark, d):
     """Stems of the vocabulary."""
-    words = T.texts(spark, d, "documents").select(F.explode(X.tokenize("text")).alias("word")).distinct()
+    words = T.table(spark, d, "documents").select(F.explode(X.tokenize("text")).alias("word")).distinct()
     return words.withColumn("stem", X.porter_stem("word"))
 
 
@@ -453,8 +462,8 @@ def topk_per_project(spark, d):
 
 
 def _bulk_queries(spark, d):
-    """One query per benchmark passage: its longer words."""
-    words = F.array_distinct(F.filter(X.tokenize("text"), lambda w: F.length(w) >= 6))
+    """One query per benchmark passage: all its words."""
+    words = F.array_distinct(X.tokenize("text"))
     asked = T.table(spark, d, "benchmark").select(
         F.col("item_id").alias("query_id"), words.alias("phrases"), F.lit(False).alias("match_all")
     )
@@ -522,6 +531,14 @@ def team_activity_unlimited(spark, d):
     return P.team_activity(sessions, viewers, "2024-01-31 00:00:00", fetch_limit=None)
 
 
+@query
+def team_activity_fetched(spark, d):
+    """Among the newest sessions of all only, whatever the viewer."""
+    sessions = T.event_sessions(spark, d)
+    viewers = T.event_rows(spark, d).select(F.col("engineer_id").alias("viewer")).distinct()
+    return P.team_activity(sessions, viewers, "2024-01-31 00:00:00", fetch_limit=30)
+
+
 @query
 def team_search(spark, d):
     found = P.team_search(
@@ -612,6 +629,46 @@ def ingest_twice(spark, d):
     return store.scan_messages().select(*_MESSAGE)
 
 
+@query
+def ingest_replay(spark, d):
+    """A batch of the first half of each transcript, one of the whole, then the first again over the whole."""
+    store = Store(spark, scratch_path(spark, "store"))
+    lines = T.transcript_lines(spark, d)
+    ingest(store, lines.filter("pos.row % 2 = 0"), 0)
+    ingest(store, lines, 1)
+    ingest(store, lines, 0)
+    return store.scan_messages().select(*_MESSAGE)
+
+
+@query
+def stream_after_batch(spark, d):
+    """One store: a batch of some projects, a stream of the others, and a second stream over the same files."""
+    landing = scratch_path(spark, "landing")
+    T.land_transcripts(spark, d, landing)
+    store = Store(spark, scratch_path(spark, "store"))
+    ingest(store, T.transcript_lines(spark, d).filter("project_slug in ('p0', 'p1')"), 0)
+    for _ in range(2):
+        landed = landed_lines(spark, landing, glob="*.txt").filter("file_path not rlike 'project_slug=p[01]/'")
+        stream_ingest(store, landed, scratch_path(spark, "offsets"), availableNow=True).awaitTermination()
+    return store.scan_messages().select(*_MESSAGE)
+
+
+@query
+def push_result(spark, d):
+    """What a team push inserted, where a second engineer pushes the same transcripts and more."""
+    store = Store(spark, scratch_path(spark, "team"))
+    lines = T.transcript_lines(spark, d)
+    ingest(store, lines.filter("pos.row % 3 = 0"), 0, engineer="ann")
+    return ingest(store, lines, 1, engineer="bob").team
+
+
+@query
+def stored_projects(spark, d):
+    store = Store(spark, scratch_path(spark, "store"))
+    ingest(store, T.transcript_lines(spark, d), 0)
+    return store.list_projects()
+
+
 @query
 def stored_sessions(spark, d):
     store = Store(spark, scratch_path(spark, "store"))

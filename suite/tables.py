@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.operators.messages import with_search_columns
-from turnstone.session import spread
 from turnstone.sources.transcripts import line_pos, raw_lines
 
 
@@ -14,15 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# the row key of the tables whose rows hold long texts
-_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, over all cores also where it is one small file."""
-    return spread(table(spark, sf_dir, name), _TEXT_KEYS[name])
-
-
 def minute_stamp(number: str) -> str:
     """SQL: ISO text of a number of minutes into 2024."""
     return (
@@ -33,7 +23,7 @@ def minute_stamp(number: str) -> str:
 
 def doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages: project = source, session = source and language."""
-    return texts(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("uuid"),
         F.concat_ws("/", "source", "lang").alias("session_id"),
         F.lit(None).cast("string").alias("parent_uuid"),
@@ -114,6 +104,27 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_lines(lines)
 
 
+def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of which most lack something: by (conv_id + turn) % 8, a number or nothing as id, a text
+    as message, no role, an unknown role with a number as parent, a blank text, a metadata type; 0 is sound."""
+    case = "(conv_id + turn) % 8"
+
+    def line(typ="role", uuid="concat('c', conv_id, '-', turn)", parent="if(turn > 0, concat('c', conv_id, '-', turn - 1), null)",
+             message="named_struct('role', role, 'content', text)"):
+        return f"to_json(named_struct('type', {typ}, 'uuid', {uuid}, 'parentUuid', {parent}, 'message', {message}))"
+
+    kinds = [
+        line(), line(uuid="turn"), line(uuid="cast(null as string)"), line(message="text"), line(message="named_struct('content', text)"),
+        line(parent="turn", message="named_struct('role', 'tool', 'content', text)"),
+        line(message="named_struct('role', role, 'content', ' \\n\\t ')"), line(typ="'summary'", message="named_struct('role', 'user', 'content', text)"),
+    ]
+    value = "case " + " ".join(f"when {case} = {k} then {x}" for k, x in enumerate(kinds)) + " end"
+    lines = table(spark, sf_dir, "conversations").select(
+        F.expr("concat('/p', conv_id % 4, '/c', conv_id, '.jsonl')").alias("file_path"), line_pos(row=F.col("turn")).alias("pos"), F.expr(value).alias("value")
+    )
+    return raw_lines(lines)
+
+
 def land_transcripts(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Write the lines as transcript files, one folder per transcript."""
     (
@@ -180,7 +191,7 @@ def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     breaks = F.regexp_replace("html", "</(p|h1|div|title|li)>", "\n\n")
     body = F.regexp_replace(breaks, "<[^>]*>", "")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return texts(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").select(
         F.expr("concat('notes/', url)").alias("rel_path"),
         F.expr("element_at(array('lessons', 'runbooks', 'decisions'), cast(page_id % 3 as int) + 1)").alias("category"),
         F.regexp_replace("url", "[^a-z0-9]+", "-").alias("stem"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import doc_length, normalized
 from ..session import evaluated_once
+from .filters import filter_project
 from .joins import salted_join
 
 _KEY = ("project_slug", "uuid")
@@ -68,18 +69,25 @@ def session_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return salted_join(messages, sessions.select(*keys), keys, ["uuid"])
 
 
-def transcript(messages: DataFrame, session_ids: list[str] | DataFrame, limit: int | None = None) -> DataFrame:
-    """Messages of the given sessions in time order; ``limit`` applies to each session."""
+def transcript(
+    messages: DataFrame, session_ids: list[str] | DataFrame, limit: int | None = None, slug: str | None = None
+) -> DataFrame:
+    """Messages of the given sessions in time order; ``limit`` applies to each session.
+
+    Projects may share a session id: a frame with ``project_slug`` (see ``locate_session``) or ``slug`` names the one.
+    """
+    chosen = filter_project(messages, slug)
     if isinstance(session_ids, DataFrame):
-        chosen = messages.join(session_ids.select("session_id").distinct(), "session_id", "left_semi")
+        key = [c for c in ("project_slug", "session_id") if c in session_ids.columns]
+        chosen = chosen.join(session_ids.select(*key).distinct(), key, "left_semi")
     else:
-        chosen = messages.filter(F.col("session_id").isin(session_ids))
+        chosen = chosen.filter(F.col("session_id").isin(session_ids))
     order = _in_order(messages)
     if limit is not None:
         w = Window.partitionBy("project_slug", "session_id").orderBy(*order)
         chosen = chosen.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
-    return chosen.orderBy("session_id", *order).select(
-        "session_id", "uuid", "parent_uuid", "timestamp", "role", "content"
+    return chosen.orderBy("project_slug", "session_id", *order).select(
+        "project_slug", "session_id", "uuid", "parent_uuid", "timestamp", "role", "content"
     )
 
 

@@ -21,9 +21,8 @@ def _kept_type() -> Column:
 
 
 def _valid_message() -> Column:
-    # only an object has a role below it
-    has_role = F.try_variant_get("v", "$.message.role", "string").isNotNull()
-    return has_role & string_if_string("v", "$.uuid").isNotNull()
+    kind = F.schema_of_variant(F.try_variant_get("v", "$.message", "variant"))
+    return F.coalesce(kind.startswith("OBJECT"), F.lit(False)) & string_if_string("v", "$.uuid").isNotNull()
 
 
 def _known_role() -> Column:

@@ -26,29 +26,31 @@ def _turn_order(messages: DataFrame) -> list[str]:
     return ["timestamp", "pos"] if "pos" in messages.columns else ["timestamp", "uuid"]
 
 
-def tail_turns_full(messages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def tail_turns_full(messages: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
     """Mark the last turns of each session and keep the first ones that can fill the block.
 
     The block is cut at ``max_chars``, and every turn adds at least ``_TURN_CHARS``, so later turns
     cannot show. Dropping them here loses nothing and bounds what one session sends to one task;
-    the row-number limit is also applied before the shuffle.
+    the row-number limit is also applied before the shuffle. Without ``max_chars`` all turns stay.
     """
-    visible = max(1, -(-(max_chars - _HEADER_CHARS) // _TURN_CHARS))
     order = Window.partitionBy(*_KEY).orderBy(*_turn_order(messages))
     counts = messages.groupBy(*_KEY).agg(F.count("*").alias("_turns"))
+    numbered = messages.withColumn("nr", F.row_number().over(order))
+    if max_chars is not None:
+        numbered = numbered.filter(F.col("nr") <= max(1, -(-(max_chars - _HEADER_CHARS) // _TURN_CHARS)))
     return (
-        messages.withColumn("nr", F.row_number().over(order))
-        .filter(F.col("nr") <= visible)
-        .join(counts, _KEY)  # few rows per session by now, already grouped by it
+        numbered.join(counts, _KEY)  # few rows per session by now, already grouped by it
         .withColumn("is_full", F.col("nr") > F.col("_turns") - FULL_TURNS)
         .drop("_turns")
     )
 
 
-def digest_text(turns: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def digest_text(turns: DataFrame, max_chars: int | None = MAX_CHARS) -> DataFrame:
     """Rendered turns of a session, in order."""
     label = F.when(F.col("role") == "user", LABELS["user"]).otherwise(LABELS["assistant"])
-    body = F.substring(trim_turn("content", F.col("is_full")), 1, max_chars + 1)
+    body = trim_turn("content", F.col("is_full"))
+    if max_chars is not None:
+        body = F.substring(body, 1, max_chars + 1)
     line = F.concat(F.lit("**"), label, F.lit(":** "), body)
     listed = F.array_sort(F.collect_list(F.struct("nr", line.alias("line"))))
     return turns.groupBy(*_KEY).agg(
@@ -61,12 +63,12 @@ def session_digest(
     messages: DataFrame,
     current: DataFrame | None = None,
     min_turns: int = MIN_TURNS,
-    max_chars: int = MAX_CHARS,
+    max_chars: int | None = MAX_CHARS,
 ) -> DataFrame:
     """``(project_slug, session_id, text)`` of every project's newest session.
 
     ``current(session_id)`` names running sessions: a project whose newest session is one of them
-    gets no digest. Sessions without messages give none either.
+    gets no digest. Sessions without messages give none either. ``max_chars=None`` gives the whole digest.
     """
     chosen = latest_session_per_project(sessions, min_turns)
     if current is not None:
@@ -81,6 +83,6 @@ def session_digest(
         F.lit(")\n\n"),
     )
     tools = F.coalesce(F.concat(tools_line("tool_call_freq"), F.lit("\n\n")), F.lit(""))
-    return chosen.join(turns, _KEY).select(
-        *_KEY, cap_block(F.concat(header, tools, F.col("body")), max_chars, CAP_MARK).alias("text")
-    )
+    whole = F.concat(header, tools, F.col("body"))
+    text = whole if max_chars is None else cap_block(whole, max_chars, CAP_MARK)
+    return chosen.join(turns, _KEY).select(*_KEY, text.alias("text"))

@@ -22,6 +22,7 @@ class Ingested:
 
     stats: DataFrame
     quarantine: DataFrame
+    team: DataFrame | None = None  # the stats of the team tables
 
 
 def _stage(store: Store, raw: DataFrame, rules: list[Rule] | None, batch_id: int) -> DataFrame:
@@ -31,20 +32,21 @@ def _stage(store: Store, raw: DataFrame, rules: list[Rule] | None, batch_id: int
     return store.read("lines", only=batch_id)
 
 
-def _known_sessions(store: Store, lines: DataFrame, batch_id: int) -> DataFrame:
-    """Sessions the batch touches, over everything seen of them so far; none without a turn."""
-    store.write("partials", session_partials(lines), batch_id)
-    seen = store.read("partials").filter(F.col("batch_id") <= batch_id)
+def _sessions(store: Store, lines: DataFrame, batch_id: int, in_pieces: bool) -> DataFrame:
+    """Sessions the batch touches; none without a turn. Pieces are put together with what this writer has seen of
+    their transcripts in other batches."""
     key = ["project_slug", "transcript"]
-    touched = store.read("partials", only=batch_id).select(*key)
-    merged = merge_partials(seen.join(touched, key, "left_semi"))
-    return finish_sessions(merged).filter("turn_count > 0")
-
-
-def _whole_sessions(store: Store, lines: DataFrame, batch_id: int) -> DataFrame:
-    """Sessions of a batch that holds whole transcripts."""
-    store.write("partials", session_partials(lines), batch_id)
-    return finish_sessions(store.read("partials", only=batch_id)).filter("turn_count > 0")
+    partials = session_partials(lines).withColumn("in_pieces", F.lit(in_pieces))
+    mixed = store.read("partials", others=batch_id).filter(F.col("in_pieces") != in_pieces)
+    clash = mixed.join(partials.select(*key), key, "left_semi").select(*key).first()
+    if clash is not None:
+        raise ValueError(f"{clash.project_slug}/{clash.transcript} is stored both whole and in pieces")
+    store.write("partials", partials, batch_id)
+    own = store.read("partials", only=batch_id)
+    if in_pieces:
+        seen = store.read("partials").filter((F.col("batch_id") <= batch_id) & (F.col("writer") == store.writer))
+        own = merge_partials(seen.join(own.select(*key), key, "left_semi"))
+    return finish_sessions(own).filter("turn_count > 0")
 
 
 def ingest(
@@ -58,46 +60,52 @@ def ingest(
     """Store a batch of transcripts.
 
     ``in_pieces`` says that a batch may hold the continuation of earlier transcripts (streams);
-    otherwise a transcript is read whole, as often as it grows. Re-reading changes nothing but
-    the session's end, counts, branch and directory. With an ``engineer`` the same rows also go to
-    the team tables; either target is tried when the other fails.
+    otherwise a transcript is read whole, as often as it grows. One transcript cannot be both. Re-reading
+    changes nothing but the session's end, counts, branch and directory. A message id belongs to the batch that
+    stored it first; a batch that runs again keeps its own and leaves those of all others. With an ``engineer``
+    the same rows also go to the team tables; either target is tried when the other fails.
     """
     lines = _stage(store, raw, rules, batch_id)
-    sessions = (_known_sessions if in_pieces else _whole_sessions)(store, lines, batch_id)
+    sessions = _sessions(store, lines, batch_id, in_pieces)
     said = turns(lines, sessions)
 
-    failures = []
-    targets = [lambda: _store_local(store, sessions, said, batch_id)]
+    failures, team = [], None
+    try:
+        _store_local(store, sessions, said, batch_id)
+    except Exception as failure:  # the other target still runs; raised below
+        failures.append(failure)
     if engineer is not None:
-        targets.append(lambda: publish_team(store, sessions, said, batch_id, engineer))
-    for target in targets:
         try:
-            target()
-        except Exception as failure:  # the other target still runs; raised below
+            team = publish_team(store, sessions, said, batch_id, engineer)
+        except Exception as failure:
             failures.append(failure)
     if failures:
-        raise failures[0]
+        raise failures[0] if len(failures) == 1 else ExceptionGroup("neither target was stored", failures)
     inserted = store.read("messages", only=batch_id)
-    return Ingested(ingest_stats(said, inserted), quarantined(lines))
+    return Ingested(ingest_stats(said, inserted), quarantined(lines), team)
 
 
 def _store_local(store: Store, sessions: DataFrame, said: DataFrame, batch_id: int) -> None:
-    new = insert_messages(said, store.read("messages", before=batch_id))
+    new = insert_messages(said, store.read("messages", others=batch_id))
     store.write("messages", with_search_columns(new).drop("transcript"), batch_id, _ORDER)
     store.write("sessions", _stamped(sessions), batch_id, ("session_id",))
 
 
 def publish_team(
     store: Store, sessions: DataFrame, said: DataFrame, batch_id: int, engineer: str | Column
-) -> None:
-    """The same rows tagged with the engineer. A message id counts once in the whole corpus."""
+) -> DataFrame:
+    """The same rows tagged with the engineer. A message id counts once in the whole corpus.
+
+    Returns what was pushed: ``session_id``, ``messages_inserted``, ``messages_total``.
+    """
     who = engineer if isinstance(engineer, Column) else F.lit(engineer)
     new = insert_messages(
-        said.withColumn("engineer_id", who), store.read("team_messages", before=batch_id), key=("uuid",)
+        said.withColumn("engineer_id", who), store.read("team_messages", others=batch_id), key=("uuid",)
     )
     store.write("team_messages", with_search_columns(new).drop("transcript"), batch_id, _ORDER)
     tagged = _stamped(sessions).withColumn("engineer_id", who)
     store.write("team_sessions", tagged, batch_id, ("session_id",))
+    return ingest_stats(said, store.read("team_messages", only=batch_id))
 
 
 def _stamped(sessions: DataFrame) -> DataFrame:

@@ -80,13 +80,14 @@ def team_activity(
     viewers: DataFrame,
     as_of: datetime | str,
     days: int = LOOKBACK_DAYS,
-    fetch_limit: int | None = FETCHED,
+    fetch_limit: int | None = None,
     shown: int = SHOWN,
     max_chars: int = MAX_CHARS,
 ) -> DataFrame:
     """``(viewer, text)`` of what others did lately, for every viewer at once.
 
-    The candidates are a bounded list. They reach the viewers as one scalar subquery, so viewers
+    ``fetch_limit=FETCHED`` looks at the newest sessions of the whole corpus only, before any other filter. The
+    candidates are a bounded list. They reach the viewers as one scalar subquery, so viewers
     are neither joined nor shuffled. Viewers with nothing to see get no row.
     """
     few = _candidates(sessions, is_recent(as_of, days), fetch_limit, shown)

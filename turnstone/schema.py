@@ -17,25 +17,25 @@ _FIRST = f"struct<pos:{POS},value:string>"
 PARTIALS = f"""
     transcript string, first_session {_FIRST}, first_ts {_FIRST}, last_ts {_FIRST},
     first_branch {_FIRST}, first_cwd {_FIRST}, turn_count bigint, tool_call_freq map<string,bigint>,
-    project_slug string, batch_id bigint
+    in_pieces boolean, project_slug string, batch_id bigint, writer string
 """
 
 SESSIONS = """
     session_id string, started_at string, ended_at string, turn_count bigint,
     tool_call_freq map<string,bigint>, git_branch string, cwd string, last_synced_at timestamp,
-    project_slug string, batch_id bigint
+    project_slug string, batch_id bigint, writer string
 """
 
 MESSAGES = f"""
     uuid string, session_id string, parent_uuid string, timestamp string, role string,
-    content string, pos {POS}, norm string, doc_len bigint, project_slug string, batch_id bigint
+    content string, pos {POS}, norm string, doc_len bigint, project_slug string, batch_id bigint, writer string
 """
 
 TEAM_SESSIONS = f"engineer_id string, {SESSIONS}"
 TEAM_MESSAGES = f"engineer_id string, {MESSAGES}"
 
 TABLES = {
-    "lines": LINES + ", batch_id bigint",
+    "lines": LINES + ", batch_id bigint, writer string",
     "partials": PARTIALS,
     "sessions": SESSIONS,
     "messages": MESSAGES,

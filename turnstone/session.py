@@ -65,15 +65,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(frame: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores, such as one file with one row group.
-
-    Inputs with more splits, which is every large one, are left where they are.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, *keys)
-
-
 def evaluated_once(frame: DataFrame) -> DataFrame:
     """The same rows, with every column computed before any later filter.
 

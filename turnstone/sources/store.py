@@ -1,11 +1,14 @@
-"""Append-only Parquet tables: one folder per batch, one partition per project.
+"""Append-only Parquet tables: one folder per writer and batch, one partition per project.
 
-A batch that runs again overwrites its own folder, so replays change nothing. Sessions are stored
-as versions and resolved when read.
+A writer (a batch job, or one stream) numbers its own batches. A batch that runs again replaces its own folder and
+no other, so replays change nothing. Its rows are written aside and moved into place when they are complete: a write
+that fails leaves what was there. Sessions are stored as versions and resolved when read. One batch of a store runs at a time.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,64 +17,91 @@ from ..schema import TABLES
 from .transcripts import _exists
 
 
+# orders the versions of a session
+VERSION = ["batch_id", "_synced", "writer"]
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, writer: str = "batch"):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.writer = writer
 
     def table_path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def batch_path(self, table: str, batch_id: int) -> str:
+        return f"{self.table_path(table)}/writer={self.writer}/batch_id={batch_id}"
+
     def write(self, table: str, frame: DataFrame, batch_id: int, order: tuple[str, ...] = ()) -> None:
         """Write one batch. The rebalance splits a hot project over tasks and merges small ones."""
+        aside = f"{self.root}/_writing/{uuid.uuid4().hex}"
         (
-            frame.drop("batch_id")
+            frame.drop("batch_id", "writer")
             .hint("rebalance", "project_slug")
             .sortWithinPartitions("project_slug", *order)
-            .write.mode("overwrite")
-            .partitionBy("project_slug")
-            .parquet(f"{self.table_path(table)}/batch_id={batch_id}")
+            .write.partitionBy("project_slug")
+            .parquet(aside)
         )
+        put_in_place(self.spark, aside, self.batch_path(table, batch_id))
 
-    def read(self, table: str, before: int | None = None, only: int | None = None) -> DataFrame:
-        """All batches of a table, those before ``before``, or just ``only`` (folders are pruned)."""
+    def read(self, table: str, only: int | None = None, others: int | None = None) -> DataFrame:
+        """All batches of a table; ``only`` one of this writer, or all but that one (``others``)."""
         schema = TABLES[table]
-        if not _exists(self.spark, self.table_path(table)):
+        path = self.table_path(table) if only is None else self.batch_path(table, only)
+        if not _exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        frame = self.spark.read.schema(schema).parquet(self.table_path(table))
-        if before is not None:
-            frame = frame.filter(F.col("batch_id") < before)
-        if only is not None:
-            frame = frame.filter(F.col("batch_id") == only)
+        frame = self.spark.read.schema(schema).option("basePath", self.table_path(table)).parquet(path)
+        if others is not None:
+            frame = frame.filter((F.col("batch_id") != others) | (F.col("writer") != self.writer))
         return frame
 
     def scan_sessions(self, team: bool = False) -> DataFrame:
-        versions = self.read("team_sessions" if team else "sessions")
-        return upsert_sessions(versions, key=("session_id",) if team else ("project_slug", "session_id"))
+        versions = self.read("team_sessions" if team else "sessions").withColumn("_synced", F.col("last_synced_at"))
+        return upsert_sessions(versions, ("session_id",) if team else ("project_slug", "session_id"), VERSION)
 
     def scan_messages(self, team: bool = False) -> DataFrame:
         return self.read("team_messages" if team else "messages")
 
     def list_projects(self) -> DataFrame:
-        """Projects that own a store, from partition names alone."""
-        return self.read("sessions").select("project_slug").distinct().orderBy("project_slug")
+        """Projects that own a store, from folder names alone."""
+        names = sorted({self._slug_of(p) for p in self._project_folders("sessions")})
+        return self.spark.createDataFrame([(n,) for n in names], "project_slug string")
+
+    def _project_folders(self, table: str) -> list:
+        found = self._files().globStatus(self._path(f"{self.table_path(table)}/writer=*/batch_id=*/project_slug=*"))
+        return [f.getPath() for f in found or []]
+
+    def _slug_of(self, folder) -> str:
+        names = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        return names.unescapePathName(folder.getName().split("=", 1)[1])
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self):
+        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def purge_project(self, slug: str) -> None:
         """Delete every trace of one project: its partitions in all batches of all tables."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         for table in TABLES:
-            escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(slug)
-            if not _exists(self.spark, self.table_path(table)):
-                continue
-            root = fs_path(self.table_path(table))
-            files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            for batch in files.listStatus(root):
-                part = fs_path(batch.getPath(), f"project_slug={escaped}")
-                if files.exists(part):
-                    files.delete(part, True)
+            for folder in self._project_folders(table):
+                if self._slug_of(folder) == slug:
+                    self._files().delete(folder, True)
         self.spark.catalog.refreshByPath(self.root)
 
 
+def put_in_place(spark: SparkSession, aside: str, path: str) -> None:
+    """Make a complete folder the content of ``path``, instead of what was there."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"cannot move {aside} to {path}")
+    spark.catalog.refreshByPath(path)
+
+
 def json_rows(frame: DataFrame) -> DataFrame:
     """Each row as one JSON text, absent values kept as null."""
     return frame.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

@@ -44,10 +44,17 @@ def text_lines(frame: DataFrame, batch_id: int = 0) -> DataFrame:
     )
 
 
+_STRICT = {
+    "maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+    "mode": "PERMISSIVE",
+}
+
+
 def raw_lines(lines: DataFrame) -> DataFrame:
     """``(file_path, pos, value)`` -> stripped non-blank lines, parsed to VARIANT.
 
-    ``problem`` says why a line cannot be used; only JSON objects can.
+    ``problem`` says why a line cannot be used; only JSON objects can. A parsed line holds at most 128 MiB; what
+    is longer is ``too long`` and kept as text.
     """
     valid = F.is_valid_utf8("value")
     text = F.when(valid, strip("value")).otherwise(F.make_valid_utf8("value"))
@@ -56,7 +63,10 @@ def raw_lines(lines: DataFrame) -> DataFrame:
     # ends with the text's length, anything but exactly one value shows.
     size = F.length("text")
     framed = F.concat(F.lit("["), "text", F.lit(","), size.cast("string"), F.lit("]"))
-    parsed = stripped.withColumn("framed", F.when(F.col("valid"), F.try_parse_json(framed))).withColumn(
+    # the plain parser stops at strings of 20 million characters; this one is told not to, and is as strict
+    long = F.from_json(framed, "variant", _STRICT)
+    parse = F.when(size < 19_000_000, F.try_parse_json(framed)).otherwise(long)
+    parsed = stripped.withColumn("framed", F.when(F.col("valid"), parse)).withColumn(
         "whole",
         (F.try_variant_get("framed", "$[1]", "bigint") == size)
         & F.try_variant_get("framed", "$[2]", "variant").isNull(),
@@ -66,6 +76,7 @@ def raw_lines(lines: DataFrame) -> DataFrame:
         F.when(~F.col("valid"), F.lit("not utf-8"))
         .when(is_object, F.lit(None).cast("string"))
         .when(F.col("whole"), F.lit("not an object"))
+        .when(F.octet_length("text") > 120_000_000, F.lit("too long"))
         .otherwise(F.lit("not json"))
     )
     return evaluated_once(

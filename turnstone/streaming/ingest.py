@@ -7,6 +7,9 @@ pieces, ``project_slug=<slug>/transcript=<session>/<piece>``; whole transcripts
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,8 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.redact import Rule, redact
 from ..operators.messages import anti_insert, first_uuid_wins
 from ..plans.ingest import ingest
-from ..sources.store import Store
-from ..sources.transcripts import line_pos, raw_lines
+from ..sources.store import Store, put_in_place
+from ..sources.transcripts import _exists, line_pos, raw_lines
 
 
 def landed_lines(spark: SparkSession, path: str, glob: str = "*", per_trigger: int | None = None) -> DataFrame:
@@ -54,16 +57,19 @@ def stream_ingest(
     checkpoint: str,
     rules: list[Rule] | None = None,
     engineer: str | Column | None = None,
+    writer: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Run ``ingest`` on every micro-batch.
 
-    Writes are keyed by the batch id, so a replayed batch overwrites its own rows, and sessions
-    merge this batch with the partials of earlier ones. Give a trigger, e.g. ``availableNow=True``.
+    Writes are keyed by the stream (its checkpoint folder, or ``writer``) and the batch id: a replayed batch
+    replaces its own rows, other streams and batch jobs share the store. Sessions merge this batch with the
+    partials of the stream's earlier ones. Give a trigger, e.g. ``availableNow=True``.
     """
+    name = writer or writer_of(checkpoint)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        here = Store(batch.sparkSession, store.root)
+        here = Store(batch.sparkSession, store.root, name)
         ingest(here, raw_lines(_batch_lines(batch, batch_id)), batch_id, rules, engineer, in_pieces=True)
 
     return (
@@ -74,21 +80,28 @@ def stream_ingest(
     )
 
 
+def writer_of(checkpoint: str) -> str:
+    """A stream is known by its checkpoint folder: a new folder numbers its batches anew."""
+    return "stream-" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def stream_dedup(
     stream: DataFrame, table: str, checkpoint: str, key: tuple[str, ...] = ("uuid",), **trigger
 ) -> StreamingQuery:
     """Append first occurrences of a key to a Parquet table, for good and without growing state:
-    each micro-batch is compared with what earlier batches stored."""
+    each micro-batch is compared with what all others stored."""
+    writer = writer_of(checkpoint)
 
     def append_new(batch: DataFrame, batch_id: int) -> None:
-        from ..sources.transcripts import _exists
-
         spark = batch.sparkSession
         fresh = first_uuid_wins(batch, key, order=[c for c in batch.columns if c not in key])
         if _exists(spark, table):
-            stored = spark.read.parquet(table).filter(F.col("batch_id") < batch_id)
-            fresh = anti_insert(fresh, stored, key)
-        fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+            stored = spark.read.parquet(table)
+            own = (F.col("batch_id") == batch_id) & (F.col("writer") == writer)
+            fresh = anti_insert(fresh, stored.filter(~own), key)
+        aside = f"{table}/_writing/{uuid.uuid4().hex}"
+        fresh.write.parquet(aside)
+        put_in_place(spark, aside, f"{table}/writer={writer}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(append_new)
