@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri(),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
     )
@@ -31,7 +32,7 @@ def spark(tmp_path_factory):
 def write_transcript(tmp_path):
     """Write a transcript file; items are objects or raw text."""
 
-    def write(lines, slug="proj", name="s1", root="projects", newline="\n"):
+    def write(lines, slug="proj", name="sess-a", root="projects", newline="\n"):
         folder = tmp_path / root / slug
         folder.mkdir(parents=True, exist_ok=True)
         path = folder / f"{name}.jsonl"
@@ -42,15 +43,15 @@ def write_transcript(tmp_path):
     return write
 
 
-def user(uuid, text, ts="2026-05-06T10:00:00Z", **more):
+def user(uuid, text, ts="2031-11-02T08:00:00Z", **more):
     return {
-        "type": "user", "uuid": uuid, "timestamp": ts, "sessionId": "s1",
+        "type": "user", "uuid": uuid, "timestamp": ts, "sessionId": "sess-a",
         "message": {"role": "user", "content": text}, **more,
     }
 
 
-def assistant(uuid, blocks, ts="2026-05-06T10:00:01Z", **more):
+def assistant(uuid, blocks, ts="2031-11-02T08:00:05Z", **more):
     return {
-        "type": "assistant", "uuid": uuid, "timestamp": ts, "sessionId": "s1",
+        "type": "assistant", "uuid": uuid, "timestamp": ts, "sessionId": "sess-a",
         "message": {"role": "assistant", "content": blocks}, **more,
     }

@@ -23,19 +23,19 @@ def digest(spark, sessions, messages, **more):
 
 def said(n, text="t", session="s", slug="p"):
     return [
-        (f"{session}{i:05d}", slug, session, f"2026-05-06T10:{i // 60:02d}:{i % 60:02d}Z", "user" if i % 2 == 0 else "assistant", text)
+        (f"{session}{i:05d}", slug, session, f"2031-11-02T10:{i // 60:02d}:{i % 60:02d}Z", "user" if i % 2 == 0 else "assistant", text)
         for i in range(n)
     ]
 
 
-def session(sid="s", slug="p", start="2026-05-06T10:00:00Z", turns=6, tools=None, branch="main"):
+def session(sid="s", slug="p", start="2031-11-02T10:00:00Z", turns=6, tools=None, branch="main"):
     return (sid, slug, start, start, turns, tools or {}, branch)
 
 
 def test_digest_of_short_and_long_turns(spark):
     text = digest(spark, [session(tools={"b": 1, "a": 1})], said(6, "x" * 700))["p"]
     short, full = "x" * 600 + " […]", "x" * 700
-    expected = ["### Previous session (2026-05-06 10:00 on `main`)", "", "Tools used: a ×1, b ×1", ""]
+    expected = ["### Previous session (2031-11-02 10:00 on `main`)", "", "Tools used: a ×1, b ×1", ""]
     for i in range(6):
         expected += [f"**{'User' if i % 2 == 0 else 'Claude'}:** {short if i < 2 else full}", ""]
     assert text == "\n".join(expected)
@@ -52,7 +52,7 @@ def test_digest_takes_the_newest_session_or_nothing(spark):
 
 def _whole_digest(contents, cap=12_000):
     """The block built from all turns."""
-    parts = ["### Previous session (2026-05-06 10:00)", ""]
+    parts = ["### Previous session (2031-11-02 10:00)", ""]
     for i, text in enumerate(contents):
         full = i >= len(contents) - 4 or len(text) <= 600
         parts += [f"**{'User' if i % 2 == 0 else 'Claude'}:** " + (text if full else text[:600].rstrip() + " […]"), ""]

@@ -21,14 +21,14 @@ MESSAGE = "uuid string, project_slug string, session_id string, timestamp string
 
 @pytest.fixture(scope="module")
 def messages(spark):
-    rows = [(str(i), "p", "s", f"2026-05-06T10:0{i}:00Z", "user", t) for i, t in enumerate(CORPUS, 1)]
+    rows = [(str(i), "p", "s", f"2031-11-02T10:0{i}:00Z", "user", t) for i, t in enumerate(CORPUS, 1)]
     return spark.createDataFrame(rows, MESSAGE).cache()
 
 
 @pytest.fixture(scope="module")
 def sessions(spark):
     return spark.createDataFrame(
-        [("s", "p", "2026-05-06T10:00:00Z", "main")],
+        [("s", "p", "2031-11-02T10:00:00Z", "main")],
         "session_id string, project_slug string, started_at string, git_branch string",
     )
 
@@ -198,7 +198,7 @@ def test_many_searches_at_once(spark, messages):
 def test_team_search(spark, messages, sessions):
     team = messages.withColumn("engineer_id", F.when(F.col("uuid") < "4", "ann").otherwise("bob"))
     found = team_search(team, sessions, (term("schema") | term("migration")) & ~term("run"), engineer="bob").collect()
-    assert [(r.ts, r.engineer_id) for r in found] == [("2026-05-06T10:06:00Z", "bob")]
+    assert [(r.ts, r.engineer_id) for r in found] == [("2031-11-02T10:06:00Z", "bob")]
     # the statistics are those of the whole corpus
     assert round(found[0]["rank"], 6) == 0.259967
     assert "\n" not in found[0].content_preview

@@ -1,4 +1,5 @@
 import json
+import sys
 import time
 
 import pytest
@@ -28,19 +29,19 @@ def stats(result):
 
 def test_ingest_is_idempotent_and_updates(spark, tmp_path, store, write_transcript):
     first = [
-        user("u1", "hello", ts="2026-05-06T10:00:00Z", gitBranch="main"),
+        user("u1", "hello", ts="2031-11-02T10:00:00Z", gitBranch="main"),
         assistant("a1", [{"type": "text", "text": "hi there"}, {"type": "tool_use", "name": "Bash"}]),
     ]
     write_transcript(first)
-    assert stats(ingest(store, scan(spark, tmp_path), 0)) == {"s1": (2, 2)}
-    assert stats(ingest(store, scan(spark, tmp_path), 1)) == {"s1": (0, 2)}
+    assert stats(ingest(store, scan(spark, tmp_path), 0)) == {"sess-a": (2, 2)}
+    assert stats(ingest(store, scan(spark, tmp_path), 1)) == {"sess-a": (0, 2)}
     # read again, grown, with another start and without a branch
-    grown = [user("u0", "earlier", ts="2026-05-06T09:00:00Z"), user("u1", "changed"), user("u2", "new")]
+    grown = [user("u0", "earlier", ts="2031-11-02T09:00:00Z"), user("u1", "changed"), user("u2", "new")]
     write_transcript(grown)
-    assert stats(ingest(store, scan(spark, tmp_path), 2)) == {"s1": (2, 3)}
+    assert stats(ingest(store, scan(spark, tmp_path), 2)) == {"sess-a": (2, 3)}
 
     (session,) = store.scan_sessions().collect()
-    assert session.started_at == "2026-05-06T10:00:00Z"  # the first version's
+    assert session.started_at == "2031-11-02T10:00:00Z"  # the first version's
     assert (session.turn_count, session.git_branch, session.tool_call_freq) == (3, None, {})
     assert session.last_synced_at is not None
     texts = {r.uuid: r.content for r in store.scan_messages().collect()}
@@ -75,7 +76,7 @@ def test_team_copy(spark, tmp_path, store, write_transcript):
     ingest(store, scan(spark, tmp_path), 1, engineer="bob")
     assert [(r.uuid, r.engineer_id) for r in store.scan_messages(team=True).collect()] == [("u1", "ann")]
     (session,) = store.scan_sessions(team=True).collect()
-    assert (session.session_id, session.engineer_id) == ("s1", "bob")
+    assert (session.session_id, session.engineer_id) == ("sess-a", "bob")
 
 
 def test_purge(spark, tmp_path, store, write_transcript):
@@ -115,14 +116,14 @@ def test_versions_keep_the_first_project_corpus_wide(spark):
 
 
 def test_transcript_order(spark, tmp_path, store, write_transcript):
-    lines = [user(f"u{i}", f"t{i}", ts="2026-05-06T10:00:00Z") for i in range(3)]
-    write_transcript(lines + [user("first", "t", ts="2026-05-06T09:00:00Z")])
+    lines = [user(f"u{i}", f"t{i}", ts="2031-11-02T10:00:00Z") for i in range(3)]
+    write_transcript(lines + [user("first", "t", ts="2031-11-02T09:00:00Z")])
     ingest(store, scan(spark, tmp_path), 0)
-    write_transcript(lines + [user("first", "t", ts="2026-05-06T09:00:00Z"), user("u3", "t3", ts="2026-05-06T10:00:00Z")])
+    write_transcript(lines + [user("first", "t", ts="2031-11-02T09:00:00Z"), user("u3", "t3", ts="2031-11-02T10:00:00Z")])
     ingest(store, scan(spark, tmp_path), 1)
-    got = [r.uuid for r in transcript(store.scan_messages(), ["s1"]).collect()]
+    got = [r.uuid for r in transcript(store.scan_messages(), ["sess-a"]).collect()]
     assert got == ["first", "u0", "u1", "u2", "u3"]
-    assert [r.uuid for r in transcript(store.scan_messages(), ["s1"], limit=2).collect()] == ["first", "u0"]
+    assert [r.uuid for r in transcript(store.scan_messages(), ["sess-a"], limit=2).collect()] == ["first", "u0"]
 
 
 def test_json(spark, tmp_path):
@@ -164,21 +165,21 @@ def _land(tmp_path, slug, session, piece, lines):
 
 def test_stream_equals_batch(spark, tmp_path, store, write_transcript):
     lines = [
-        user("u1", "one", ts="2026-05-06T10:00:00Z", gitBranch="b"),
-        assistant("a1", [{"type": "text", "text": "two"}, {"type": "tool_use", "name": "Bash"}], ts="2026-05-06T10:00:01Z"),
-        user("u1", "again", ts="2026-05-06T10:00:02Z"),
-        assistant("a2", [{"type": "tool_use", "name": "Bash"}], ts="2026-05-06T10:00:03Z"),
-        user("u2", "last", ts="2026-05-06T10:00:04Z"),
+        user("u1", "one", ts="2031-11-02T10:00:00Z", gitBranch="b"),
+        assistant("a1", [{"type": "text", "text": "two"}, {"type": "tool_use", "name": "Bash"}], ts="2031-11-02T10:00:01Z"),
+        user("u1", "again", ts="2031-11-02T10:00:02Z"),
+        assistant("a2", [{"type": "tool_use", "name": "Bash"}], ts="2031-11-02T10:00:03Z"),
+        user("u2", "last", ts="2031-11-02T10:00:04Z"),
     ]
 
     def run():
         stream = landed_lines(spark, str(tmp_path / "landing"), glob="*.jsonl")
         stream_ingest(store, stream, str(tmp_path / "offsets"), availableNow=True).awaitTermination()
 
-    _land(tmp_path, "proj", "s1", "0.jsonl", lines[:2])
+    _land(tmp_path, "proj", "sess-a", "0.jsonl", lines[:2])
     run()
     assert store.scan_sessions().first().turn_count == 2
-    _land(tmp_path, "proj", "s1", "1.jsonl", lines[2:])
+    _land(tmp_path, "proj", "sess-a", "1.jsonl", lines[2:])
     run()
 
     write_transcript(lines)
@@ -190,7 +191,7 @@ def test_stream_equals_batch(spark, tmp_path, store, write_transcript):
     def said(s):
         return sorted((r.uuid, r.content, r.session_id) for r in s.scan_messages().collect())
 
-    assert said(store) == said(whole) == [("a1", "two", "s1"), ("u1", "one", "s1"), ("u2", "last", "s1")]
+    assert said(store) == said(whole) == [("a1", "two", "sess-a"), ("u1", "one", "sess-a"), ("u2", "last", "sess-a")]
 
 
 def test_stream_dedup(spark, tmp_path):
@@ -212,3 +213,65 @@ def test_bounded_dedup_is_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("uuid string, ts timestamp").json(str(tmp_path / "in"))
     assert dedup_within(stream, "ts", "1 hour").isStreaming
+
+
+def test_an_earlier_batch_run_again_over_more_lines(spark, tmp_path, store, write_transcript):
+    lines = [user(f"k{i}", f"text {i}") for i in range(3)]
+    write_transcript(lines[:2])
+    ingest(store, scan(spark, tmp_path), 0)
+    write_transcript(lines)
+    ingest(store, scan(spark, tmp_path), 1)
+    ingest(store, scan(spark, tmp_path), 0)
+    assert sorted(r.uuid for r in store.scan_messages().collect()) == ["k0", "k1", "k2"]
+
+
+def test_writers_do_not_replace_each_other(spark, tmp_path, store, write_transcript):
+    write_transcript([user("k0", "whole"), user("k1", "whole")], name="w")
+    ingest(store, scan(spark, tmp_path), 0)
+    for nr in range(2):  # the second stream starts anew over the same files
+        _land(tmp_path, "proj", "in-pieces", "0.jsonl", [user("k2", "piece"), user("k0", "again")])
+        stream = landed_lines(spark, str(tmp_path / "landing"))
+        stream_ingest(store, stream, str(tmp_path / f"offsets{nr}"), availableNow=True).awaitTermination()
+    got = sorted((r.uuid, r.content) for r in store.scan_messages().collect())
+    assert got == [("k0", "whole"), ("k1", "whole"), ("k2", "piece")]
+    assert {r.transcript: r.turn_count for r in store.read("partials").collect()} == {"w": 2, "in-pieces": 2}
+
+
+def test_whole_and_piecewise_transcripts_do_not_mix(spark, tmp_path, store, write_transcript):
+    write_transcript([user("k0", "a")])
+    ingest(store, scan(spark, tmp_path), 0)
+    with pytest.raises(ValueError, match="proj/sess-a is stored both whole and in pieces"):
+        ingest(store, scan(spark, tmp_path), 1, in_pieces=True)
+
+
+def test_a_failed_write_leaves_the_batch_as_it_was(spark, tmp_path, store, write_transcript):
+    from pyspark.sql import functions as F
+
+    write_transcript([user("k0", "a")])
+    ingest(store, scan(spark, tmp_path), 0)
+    broken = store.read("messages").withColumn("doc_len", F.raise_error(F.lit("no")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        store.write("messages", broken, 0)
+    assert [r.uuid for r in store.scan_messages().collect()] == ["k0"]
+
+
+def test_both_failures_are_told(spark, tmp_path, store, write_transcript, monkeypatch):
+    write_transcript([user("k0", "a")])
+
+    def fail(*_):
+        raise OSError("full")
+
+    monkeypatch.setattr(sys.modules["turnstone.plans.ingest"], "insert_messages", fail)
+    with pytest.raises(ExceptionGroup) as caught:
+        ingest(store, scan(spark, tmp_path), 0, engineer="ann")
+    assert len(caught.value.exceptions) == 2
+
+
+def test_one_session_of_one_project(spark, tmp_path, store, write_transcript):
+    write_transcript([user("k0", "mine")], slug="p1")
+    write_transcript([user("k1", "other")], slug="p2")
+    ingest(store, scan(spark, tmp_path), 0)
+    ids = spark.createDataFrame([("sess-a",)], "session_id string")
+    found = transcript(store.scan_messages(), locate_session(ids, store.scan_sessions()))
+    assert [(r.project_slug, r.content) for r in found.collect()] == [("p1", "mine")]
+    assert [r.content for r in transcript(store.scan_messages(), ["sess-a"], slug="p2").collect()] == ["other"]
