@@ -77,3 +77,12 @@ def test_a_stored_search_prunes_projects_and_reuses_the_normalised_text(spark, t
     text = plan(found)
     assert "project_slug" in text.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
     assert "[^a-z0-9]+" not in text  # the stored normal form is read, not made again
+
+
+def test_a_rollup_parses_each_line_once(spark):
+    from turnstone.operators import parse_lines, session_rollup
+
+    lines = spark.createDataFrame([("/p/s.jsonl", "{}")], "file_path string, value string")
+    raw = raw_lines(lines.select("file_path", line_pos().alias("pos"), "value"))
+    rolled = session_rollup(parse_lines(raw))._jdf.queryExecution().optimizedPlan().toString()
+    assert rolled.count("VariantExpressionEvalUtils.parseJson") == 1

@@ -36,16 +36,29 @@ def _with_tools(rows: DataFrame, freq: DataFrame) -> DataFrame:
 
 def session_partials(lines: DataFrame) -> DataFrame:
     """What one set of lines says about its transcripts. Partials of several sets merge exactly,
-    so a growing transcript never has to be read again."""
-    rows = lines.groupBy(*_KEY).agg(
+    so a growing transcript never has to be read again.
+
+    One pass over the lines: a line counts once for each of its tools, and for the session with its first.
+    """
+    uses = lines.select(
+        *_KEY, "pos", "raw_session", "timestamp", "git_branch", "cwd", "is_turn", F.posexplode_outer("tools").alias("_nr", "tool")
+    )
+    by_tool = uses.groupBy(*_KEY, "tool").agg(
         F.min(_placed("raw_session")).alias("first_session"),
         F.min(_placed("timestamp")).alias("first_ts"),
         F.max(_placed("timestamp")).alias("last_ts"),
         F.min(_placed("git_branch")).alias("first_branch"),
         F.min(_placed("cwd")).alias("first_cwd"),
-        F.count_if("is_turn").alias("turn_count"),
+        F.count_if(F.col("is_turn") & (F.coalesce("_nr", F.lit(0)) == 0)).alias("turn_count"),
+        F.count("tool").alias("count"),
+    )
+    named = F.collect_list(F.when(F.col("tool").isNotNull(), F.struct("tool", "count")))
+    return by_tool.groupBy(*_KEY).agg(
+        *[F.min(c).alias(c) for c in _EDGES],
+        F.max("last_ts").alias("last_ts"),
+        F.sum("turn_count").alias("turn_count"),
+        F.map_from_entries(F.array_sort(named)).alias("tool_call_freq"),
     )
-    return _with_tools(rows, tool_freq(lines))
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
