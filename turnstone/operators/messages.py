@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.tokens import doc_length, normalized
 from ..session import evaluated_once
 from .filters import filter_project
-from .joins import salted_join
 
 _KEY = ("project_slug", "uuid")
 
@@ -66,7 +65,7 @@ def _in_order(messages: DataFrame) -> list[str]:
 def session_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages of the chosen sessions, many at once."""
     keys = ["project_slug", "session_id"]
-    return salted_join(messages, sessions.select(*keys), keys, ["uuid"])
+    return messages.join(sessions.select(*keys), keys)
 
 
 def transcript(
@@ -93,11 +92,11 @@ def transcript(
 
 def orphan_messages(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     keys = ["project_slug", "session_id"]
-    return salted_join(messages, sessions.select(*keys), keys, ["uuid"], "left_anti")
+    return messages.join(sessions.select(*keys), keys, "left_anti")
 
 
 def purge_project(sessions: DataFrame, messages: DataFrame, slug: str) -> tuple[DataFrame, DataFrame]:
     """Sessions without the project's, and the messages that still have a session."""
     keys = ["project_slug", "session_id"]
     kept = sessions.filter(~F.col("project_slug").eqNullSafe(slug))
-    return kept, salted_join(messages, kept.select(*keys), keys, ["uuid"], "left_semi")
+    return kept, messages.join(kept.select(*keys), keys, "left_semi")

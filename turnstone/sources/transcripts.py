@@ -160,11 +160,16 @@ def resolve_transcripts(requests: DataFrame, inventory: DataFrame) -> DataFrame:
     newest = files.groupBy("project_slug").agg(
         F.max_by("path", F.struct("modified", "path")).alias("_newest")
     )
+    # a request without a path or session meets nothing: it goes around that join instead of into one task with all like it
+    asked = _request(requests)
+    named, unnamed = asked.filter("transcript_path is not null"), asked.filter("transcript_path is null")
+    asked = named.join(by_path, "transcript_path", "left").unionByName(unnamed.withColumn("_given", F.lit(None).cast("string")))
+    told, untold = asked.filter("session_id is not null"), asked.filter("session_id is null")
+    asked = told.join(by_name, ["project_slug", "session_id"], "left").unionByName(
+        untold.withColumn("_named", F.lit(None).cast("string"))
+    )
     return (
-        _request(requests)
-        .join(by_path, "transcript_path", "left")
-        .join(by_name, ["project_slug", "session_id"], "left")
-        .join(newest, "project_slug", "left")
+        asked.join(newest, "project_slug", "left")
         .withColumn("resolved_path", F.coalesce("_given", "_named", "_newest"))
         .drop("_given", "_named", "_newest")
     )
