@@ -42,9 +42,9 @@ def test_digest_of_short_and_long_turns(spark):
 
 
 def test_digest_takes_the_newest_session_or_nothing(spark):
-    sessions = [session("old"), session("new", start="2026-05-07T10:00:00Z"), session("tiny", start="2026-05-08", turns=1)]
+    sessions = [session("old"), session("new", start="2031-11-03T10:00:00Z"), session("tiny", start="2031-11-04", turns=1)]
     messages = said(2, session="old") + said(2, session="new") + said(1, session="tiny")
-    assert "2026-05-07" in digest(spark, sessions, messages)["p"]
+    assert "2031-11-03" in digest(spark, sessions, messages)["p"]
     current = spark.createDataFrame([("new",)], "session_id string")
     assert digest(spark, sessions, messages, current=current) == {}
     assert digest(spark, [session("empty")], messages) == {}

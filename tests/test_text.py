@@ -139,7 +139,7 @@ def test_rules_without_counterpart_are_errors():
     assert java_replacement(r"\1\n$") == "$1\n\\$"
 
 
-def test_rule_files(tmp_path):
+def test_rule_files(spark, tmp_path):
     def put(name, content):
         path = tmp_path / name
         path.write_text(content if isinstance(content, str) else json.dumps(content))
@@ -154,3 +154,4 @@ def test_rule_files(tmp_path):
         put("project.json", [{"pattern": "f", "replacement": "F"}]),
     ]
     assert X.load_redaction_rules(files) == [("a", "<REDACTED>"), ("b", "B"), ("c", "<REDACTED>"), ("f", "F")]
+    assert X.load_redaction_rules([f"file://{f}" for f in files], spark) == X.load_redaction_rules(files)

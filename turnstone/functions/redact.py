@@ -12,7 +12,7 @@ import re
 from pathlib import Path
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import _c
@@ -33,23 +33,32 @@ BUILTIN_RULES = [
 DEFAULT_REPLACEMENT = "<REDACTED>"
 
 
-def load_redaction_rules(paths: list[str]) -> list[Rule]:
+def load_redaction_rules(paths: list[str], spark: SparkSession | None = None) -> list[Rule]:
     """Rules of all existing files, in the order given (environment, home, project).
 
+    Files are the driver's own, or with ``spark`` those of any storage that Spark reads.
+
     Entries that are not usable objects are skipped. An invalid regex ends its own file: rules
     before it stay, rules after it are dropped.
     """
     rules: list[Rule] = []
-    for path in map(Path, paths):
-        if path.exists():
-            rules += _rules_of(path)
+    for path in paths:
+        if spark is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+                rules += _rules_of("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+        elif Path(path).exists():
+            try:
+                rules += _rules_of(Path(path).read_text(encoding="utf-8"))
+            except (OSError, ValueError):
+                continue
     return rules
 
 
-def _rules_of(path: Path) -> list[Rule]:
+def _rules_of(text: str) -> list[Rule]:
     try:
-        entries = json.loads(path.read_text(encoding="utf-8"))
-    except (OSError, ValueError):
+        entries = json.loads(text)
+    except ValueError:
         return []
     kept: list[Rule] = []
     for entry in entries if isinstance(entries, list) else []:

@@ -25,7 +25,9 @@ PER_PROJECT = ("project_slug",)
 
 def corpus_stats(messages: DataFrame, by: tuple[str, ...] = PER_PROJECT) -> DataFrame:
     """Number of texts and mean length, per project or (empty ``by``) of the whole corpus."""
-    docs = with_search_columns(messages)
+    # the texts themselves are not carried along where their length is stored
+    needed = ["norm", "doc_len"] if "norm" in messages.columns else ["content"]
+    docs = with_search_columns(messages.select(*by, *needed))
     return docs.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 

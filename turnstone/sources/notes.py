@@ -29,7 +29,8 @@ def scan_notes(spark: SparkSession, root: str) -> DataFrame:
         .filter(F.is_valid_utf8("value"))
         .withColumn("path", path)
         .select(
-            F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+/[^/]+)$", 1).alias("rel_path"),
+            # from two folders above the root on, or as many as there are
+            F.regexp_extract("path", r"((?:[^/]+/){1,3}[^/]+)$", 1).alias("rel_path"),
             F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("category"),
             F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"),
             F.regexp_replace("value", r"\r\n?", "\n").alias("content"),
