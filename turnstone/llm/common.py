@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,22 @@ from turnstone.session import scratch_path
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python tasks import this package where it lies beside the driver; clusters install it."""
+    home = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{paths}".rstrip(":")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text``; a null text counts as empty. Other columns, of any name, are left out."""
+    ready(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
@@ -32,6 +43,7 @@ def named(docs: DataFrame, name: str) -> Column:
 
 def packed(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of the input), ``doc_id`` and ``text``: no column of the input can clash with an operator's own."""
+    ready(docs.sparkSession)
     return docs.select(
         F.struct(*[named(docs, c).alias(c) for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),

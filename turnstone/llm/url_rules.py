@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import lower_ascii
+from turnstone.llm.common import lower_ascii, ready
 
 SLASH = ord("/")
 
@@ -112,6 +112,7 @@ def path_of(url: Column) -> Column:
 
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """``key``, host, path, the longest rule that fits, and its verdict, of every page."""
+    ready(pages.sparkSession)
     found = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not rules:
         return found.select(F.col("key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
