@@ -5,6 +5,7 @@ from __future__ import annotations
 from turnstone.functions.text import WHITESPACE
 
 from .queries import JWT, KEYWORDS
+from .stem_sql import STEMS
 
 ORACLE: dict[str, str] = {}
 WS = "'" + WHITESPACE + "'"
@@ -282,7 +283,7 @@ def pair(a: str, b: str) -> str:
     return f"len(list_filter(range(1, len(tok)), lambda i: tok[i] = '{a}' AND tok[i + 1] = '{b}'))"
 
 
-def scored(tfs: list[str], holds: str, counts: list[str] | None = None, by: str = "source") -> str:
+def scored(tfs: list[str], holds: str, counts: list[str] | None = None, by: str = "source", docs: str = DOCS) -> str:
     """``hits(uuid, source, lang, text, score)``; conditions name the counts ``t0, t1, …``."""
     counts = counts or ["true"] * len(tfs)
     cols = ", ".join(f"{tf} AS t{k}" for k, tf in enumerate(tfs))
@@ -294,7 +295,7 @@ def scored(tfs: list[str], holds: str, counts: list[str] | None = None, by: str
             * (t{k} * 2.2) / (t{k} + 1.2 * (0.25 + 0.75 * len(tok) / al)) ELSE 0 END"""
         for k, c in enumerate(counts)
     )
-    return f"""{DOCS}, counted AS (SELECT *, {cols} FROM docs), stats AS (
+    return f"""{docs}, counted AS (SELECT *, {cols} FROM docs), stats AS (
         SELECT {by} AS part, count(*)::DOUBLE AS n, avg(len(tok)) AS al, {dfs} FROM counted GROUP BY part), hits AS (
         SELECT uuid, source, lang, text, {shares} AS score
         FROM counted JOIN stats ON part = {by} WHERE {holds})"""
@@ -357,6 +358,27 @@ ORACLE["search_many"] = f"""WITH {DOCS}, asked AS (
            source AS project_slug, uuid, round(score, 6) AS score
     FROM scored QUALIFY rank <= 10"""
 
+# the same over stems: every word of documents and queries, stemmed once
+VOCABULARY = f"""vocabulary AS (SELECT DISTINCT unnest({TOKENS}) AS word
+    FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)), {STEMS}"""
+STEMMED_DOCS = f"""{VOCABULARY}, flat AS (
+        SELECT doc_id, unnest(tok) AS word, generate_subscripts(tok, 1) AS place FROM (SELECT doc_id, {TOKENS} AS tok FROM documents)),
+    docs AS (SELECT d.doc_id::VARCHAR AS uuid, any_value(source) AS source, any_value(lang) AS lang, any_value(text) AS text,
+        coalesce(list(stem ORDER BY place) FILTER (stem IS NOT NULL), []) AS tok
+        FROM documents d LEFT JOIN flat USING (doc_id) LEFT JOIN stems USING (word) GROUP BY d.doc_id)"""
+ORACLE["porter_stem"] = f"""WITH vocabulary AS (SELECT DISTINCT unnest({TOKENS}) AS word FROM documents), {STEMS}
+    SELECT word, stem FROM stems"""
+# stems of erings, thoned, estly
+ORACLE["search_stemmed"] = found(
+    [word("er"), pair("thone", "the"), word("estli")], "(t0 > 0 OR t1 > 0) AND t2 = 0", ["true", "true", "false"], docs=STEMMED_DOCS
+)
+_MANY = ORACLE["search_many"]
+ORACLE["search_many_stemmed"] = (
+    _MANY.replace(DOCS, STEMMED_DOCS, 1)
+    .replace("asked AS (", "said AS (", 1)
+    .replace("words AS (", "asked AS (SELECT query_id, phrase AS written, stem AS phrase FROM said JOIN stems ON word = phrase),\n    words AS (", 1)
+)
+
 # ---------------------------------------------------------------- notes
 
 NOTES = """notes AS (
