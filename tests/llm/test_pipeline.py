@@ -1,6 +1,15 @@
+import itertools
+from collections import Counter
+
 import corpus_pipeline
+from turnstone.llm.tokens import public_tokenizer, tokenizer
+from turnstone.llm.toxicity import raw_score, train, words_in
 from turnstone.session import scratch_path
 
+from .test_decontaminate import brute as contaminated
+from .test_lm_and_lines import brute as lines_without_repeats
+from .test_similarity import grouped
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,3 +27,28 @@ def test_stages_in_order(spark):
         before = after
     packed = corpus_pipeline.packing(spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == before
+
+
+def test_run_as_brute_force(spark):
+    """All stages one after another over plain lists: what goes, what stays, and the pieces that are packed."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    lexicon = train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    machine = lexicon.machine()
+    left = [(i, t) for i, t in sorted(docs.items()) if lexicon.slope * raw_score(machine, words_in(t)) + lexicon.bias < 0]
+    left = lines_without_repeats(left)
+    sets = {}
+    for i, t in left:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    near = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y) - 1e-9
+    roots = grouped(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if near(sets[a], sets[b])])
+    left = [(i, t) for i, t in left if roots[i] == i]
+    dirty = {i for i, *_ in contaminated(left, items)}
+    want = Counter()
+    for i, t in left:
+        if i not in dirty:
+            n = len(tokenizer(public_tokenizer()).library.encode(t, add_special_tokens=False).ids) + 1
+            want.update((i, p, min(2048, n - at)) for p, at in enumerate(range(0, n, 2048)))
+    got = Counter((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == want

@@ -28,11 +28,11 @@ LIMIT = 2047
 @cache
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """stretch of a 12-bit probability, ln(p / (1 - p)) * 256; squash, its inverse, of -2047..2047."""
-    stretch = np.zeros(4096, np.int32)
+    stretch = np.zeros(4096, np.int64)
     for p in range(1, 4096):
         stretch[p] = max(-LIMIT, min(LIMIT, int((Decimal(p) / Decimal(4096 - p)).ln() * 256)))
     stretch[0] = -LIMIT
-    squash = np.array([int(Decimal(4096) / (1 + (-Decimal(x) / 256).exp())) for x in range(-LIMIT, LIMIT + 1)], np.int32)
+    squash = np.array([int(Decimal(4096) / (1 + (-Decimal(x) / 256).exp())) for x in range(-LIMIT, LIMIT + 1)], np.int64)
     return stretch, np.clip(squash, 1, 4095)
 
 
@@ -40,15 +40,15 @@ class Model:
     def __init__(self, lanes: int):
         self.stretch, self.squash = tables()
         self.row = np.arange(lanes)
-        sure = np.array([(2 * c + 1) * 65536 // (2 * c + 4) for c in range(16)], np.int32)
+        sure = np.array([(2 * c + 1) * 65536 // (2 * c + 4) for c in range(16)], np.int64)
         self.table2, self.table1 = np.zeros(lanes * SLOTS2, np.int32), np.zeros(lanes * SLOTS1, np.int32)
         self.count0 = np.zeros(lanes * SLOTS0, np.uint8)
         self.right2 = np.tile(sure, lanes)
-        self.right1 = np.tile(np.concatenate([np.full(16, 8192, np.int32), sure]), lanes)
-        self.right0 = np.full(lanes * 16, 8192, np.int32)
+        self.right1 = np.tile(np.concatenate([np.full(16, 8192, np.int64), sure]), lanes)
+        self.right0 = np.full(lanes * 16, 8192, np.int64)
         self.weights = np.full((3, lanes), 26000, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.bytes = np.ones((2, lanes, 256), np.int32)
+        self.bytes = np.ones((2, lanes, 256), np.int64)
         self.renew(0)
 
     def renew(self, step: int) -> None:
@@ -57,7 +57,7 @@ class Model:
         self.freq = 1 + self.bytes * (4096 - 256) // total
         for which in range(2):
             self.freq[which, self.row, self.bytes[which].argmax(axis=1)] += 4096 - self.freq[which].sum(axis=1)
-        self.cum = np.cumsum(self.freq, axis=2, dtype=np.int32) - self.freq
+        self.cum = np.cumsum(self.freq, axis=2) - self.freq
         self.freq_high, self.freq_low = self.freq[0].ravel(), self.freq[1].ravel()
         self.cum_high, self.cum_low = self.cum[0].ravel(), self.cum[1].ravel()
 
@@ -133,17 +133,12 @@ def encode(ids: np.ndarray, size: int) -> list[bytes]:
     rows: list[np.ndarray] = []
     words: list[np.ndarray] = []
 
-    def code(which: np.ndarray, cum: np.ndarray, freq: np.ndarray, shift: int) -> None:
-        r = span.take(which) >> np.uint64(shift)
-        lo, sp = low.take(which) + r * cum.astype(np.uint64), r * freq.astype(np.uint64)
-        short = np.flatnonzero(sp <= LOW32)
-        if len(short):
-            l, s = lo[short], sp[short]
-            s = np.where((l >> HALF) != ((l + s - np.uint64(1)) >> HALF), (~l + np.uint64(1)) & LOW32, s)
-            rows.append(which[short])
-            words.append((l >> HALF).astype(np.uint32))
-            lo[short], sp[short] = l << HALF, s << HALF
-        low[which], span[which] = lo, sp
+    def emit(who: np.ndarray, lo: np.ndarray, sp: np.ndarray) -> None:
+        """Write the top word of the blocks ``who``, whose range has become short."""
+        sp = np.where((lo ^ (lo + sp - np.uint64(1))) > LOW32, (~lo + np.uint64(1)) & LOW32, sp)
+        rows.append(who)
+        words.append((lo >> HALF).astype(np.uint32))
+        low[who], span[who] = lo << HALF, sp << HALF
 
     renew = renewals(size)
     for step in range(int(lengths[0])):
@@ -153,19 +148,31 @@ def encode(ids: np.ndarray, size: int) -> list[bytes]:
         now = ids.take(starts[:n] + step).astype(np.int64)
         candidate, p = model.predict(n)
         hit = candidate == now
-        code(model.row[:n], np.where(hit, 0, p), np.where(hit, p, 4096 - p), 12)
+        lo, sp = low[:n], span[:n]
+        r = sp >> np.uint64(12)
+        lo += r * np.where(hit, 0, p).view(np.uint64)
+        np.multiply(r, np.where(hit, p, 4096 - p).view(np.uint64), out=sp)
+        short = np.flatnonzero(sp <= LOW32)
+        if len(short):
+            emit(short, lo.take(short), sp.take(short))
         miss = np.flatnonzero(~hit)
         if len(miss):
             missed = now[miss]
             high, lower = missed >> 8, missed & 255
             high, lower = high + (miss << 8), lower + (miss << 8)
             f = model.freq_high.take(high)
-            code(miss, model.cum_high.take(high) * 4096 + f * model.cum_low.take(lower), f * model.freq_low.take(lower), 24)
+            r = span.take(miss) >> np.uint64(24)
+            lo = low.take(miss) + r * (model.cum_high.take(high) * 4096 + f * model.cum_low.take(lower)).view(np.uint64)
+            sp = r * (f * model.freq_low.take(lower)).view(np.uint64)
+            low[miss], span[miss] = lo, sp
+            short = np.flatnonzero(sp <= LOW32)
+            if len(short):
+                emit(miss.take(short), lo.take(short), sp.take(short))
         model.update(n, now, hit)
     rows.append(model.row)
     words.append(((low + LOW32) >> HALF).astype(np.uint32))
     row = np.concatenate(rows)
-    put = np.argsort(row, kind="stable")
+    put = np.argsort(row.astype(np.uint16) if lanes < 1 << 16 else row, kind="stable")
     stream = np.concatenate(words)[put].astype("<u4")
     parts = np.split(stream, np.cumsum(np.bincount(row, minlength=lanes))[:-1])
     out = [b""] * lanes
@@ -192,20 +199,11 @@ def decode(blocks: list[bytes], total: int, size: int) -> np.ndarray:
     at += 2
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def place_in(which: np.ndarray, shift: int) -> np.ndarray:
-        return np.minimum((value.take(which) - low.take(which)) // (span.take(which) >> np.uint64(shift)), np.uint64((1 << shift) - 1)).astype(np.int64)
-
-    def remove(which: np.ndarray, cum: np.ndarray, freq: np.ndarray, shift: int) -> None:
-        r = span.take(which) >> np.uint64(shift)
-        lo, sp = low.take(which) + r * cum.astype(np.uint64), r * freq.astype(np.uint64)
-        short = np.flatnonzero(sp <= LOW32)
-        if len(short):
-            l, s, who = lo[short], sp[short], which[short]
-            s = np.where((l >> HALF) != ((l + s - np.uint64(1)) >> HALF), (~l + np.uint64(1)) & LOW32, s)
-            value[who] = value[who] << HALF | stream[np.minimum(at[who], len(stream) - 1)]
-            at[who] += 1
-            lo[short], sp[short] = l << HALF, s << HALF
-        low[which], span[which] = lo, sp
+    def read(who: np.ndarray, lo: np.ndarray, sp: np.ndarray) -> None:
+        sp = np.where((lo ^ (lo + sp - np.uint64(1))) > LOW32, (~lo + np.uint64(1)) & LOW32, sp)
+        value[who] = value.take(who) << HALF | stream.take(at.take(who), mode="clip")
+        at[who] += 1
+        low[who], span[who] = lo << HALF, sp << HALF
 
     renew = renewals(size)
     slots = model.slots()
@@ -215,17 +213,30 @@ def decode(blocks: list[bytes], total: int, size: int) -> np.ndarray:
             model.renew(step)
             slots = model.slots()
         candidate, p = model.predict(n)
-        hit = place_in(model.row[:n], 12) < p
-        remove(model.row[:n], np.where(hit, 0, p), np.where(hit, p, 4096 - p), 12)
+        lo, sp = low[:n], span[:n]
+        r = sp >> np.uint64(12)
+        hit = value[:n] - lo < r * p.view(np.uint64)
+        lo += r * np.where(hit, 0, p).view(np.uint64)
+        np.multiply(r, np.where(hit, p, 4096 - p).view(np.uint64), out=sp)
+        short = np.flatnonzero(sp <= LOW32)
+        if len(short):
+            read(short, lo.take(short), sp.take(short))
         now = candidate.copy()
         miss = np.flatnonzero(~hit)
         if len(miss):
-            v = place_in(miss, 24)
+            lo = low.take(miss)
+            r = span.take(miss) >> np.uint64(24)
+            v = np.minimum((value.take(miss) - lo) // r, np.uint64((1 << 24) - 1)).view(np.int64)
             wide = miss << 8
             high = slots.take((miss << 12) + (v >> 12)).astype(np.int64)
             f, c = model.freq_high.take(wide + high), model.cum_high.take(wide + high)
             lower = slots.take((miss + lanes << 12) + (v - c * 4096) // f).astype(np.int64)
-            remove(miss, c * 4096 + f * model.cum_low.take(wide + lower), f * model.freq_low.take(wide + lower), 24)
+            lo += r * (c * 4096 + f * model.cum_low.take(wide + lower)).view(np.uint64)
+            sp = r * (f * model.freq_low.take(wide + lower)).view(np.uint64)
+            low[miss], span[miss] = lo, sp
+            short = np.flatnonzero(sp <= LOW32)
+            if len(short):
+                read(miss.take(short), lo.take(short), sp.take(short))
             now[miss] = high << 8 | lower
         ids[starts[:n] + step] = now
         model.update(n, now, hit)
