@@ -7,9 +7,9 @@ neighbours. Text before or after a passage moves no boundary inside it, and two
 other, so every inner chunk has several lines.
 
 A chunk that stands more than once in the corpus is removed from all places but the first: the smallest ``doc_id`` (nulls
-last), then text hash, then place. Chunks are compared by their bytes, words joined by blanks. Each Arrow batch
-brings equal chunks together first, so a passage that a third of all documents hold is shuffled once a batch, not once
-a document; then the bytes themselves are the grouping key.
+last), then text hash, then place. Chunks are compared by their bytes, words joined by blanks. Groups of
+documents bring equal chunks together first, so a passage that a third of all documents hold is shuffled once a group, not
+once a document; then the bytes themselves are the grouping key.
 
 A null text is empty. An emptied document stays, with an empty text. Rows with equal id and text are one document:
 they share their places and come out alike, each of them. Columns keep their names and order; ``text`` and ``n_chars`` (if
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from turnstone.llm.common import named, utf8
+from turnstone.llm.common import named, ready, utf8
 
 SEED = 11
 MIX = np.uint64(0x9E3779B97F4A7C15)
 GROUP_WORDS = 400_000
+GROUP_TEXTS = 2_000
 _WORD = re.compile(rb"\S+")
 
 
@@ -103,7 +104,7 @@ def repeated_chunks(docs: DataFrame, window: int = 2, min_lines: int = 2, min_wo
     """``doc_id``, ``of`` (the text's hash) and ``spans``, the word spans to remove, of each document that loses any."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, GROUP_TEXTS) for b in batches for at in range(0, b.num_rows, GROUP_TEXTS)):
             ids, ofs = batch["doc_id"].to_pylist(), batch["of"].to_pylist()
             least: dict[bytes, tuple] = {}
             rows, again = [], []
@@ -116,7 +117,7 @@ def repeated_chunks(docs: DataFrame, window: int = 2, min_lines: int = 2, min_wo
                 if place is not None and place[:5] != least[data][:5]:
                     again.append(place)
             rows = list(least.items())
-            # no text holds the byte ff: a name of its own for each place that is known to be a copy
+            # no text holds the byte ff: places that are known to be copies travel under a number, without their bytes
             rows += [(b"\xff%d" % n, p) for n, p in enumerate(again)]
             which = pa.array([p[5] for _, p in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -129,10 +130,9 @@ def repeated_chunks(docs: DataFrame, window: int = 2, min_lines: int = 2, min_wo
         chunks, "doc_id long, of long, start int, end int, bytes binary"
     )
     copy = F.substring("bytes", 1, 1) == F.lit(b"\xff")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of", "start", "end")
     # equal rows share a place, so the first is told by its place and not by a row number
-    least = F.min(order).over(Window.partitionBy("bytes", F.when(copy, F.struct("doc_id", "of", "start"))))
-    found = places.withColumn("place", order).withColumn("first", least).filter(copy | (F.col("place") != F.col("first")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of", "start", "end")
+    found = places.withColumn("first", F.min(order).over(Window.partitionBy("bytes"))).filter(copy | (order != F.col("first")))
     return found.groupBy("doc_id", "of").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -154,6 +154,7 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def without_repeated_lines(docs: DataFrame, window: int = 2, min_lines: int = 2, min_words: int = 6) -> DataFrame:
     """All documents, with their columns, without the repeated chunks."""
+    ready(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
         F.struct(*[named(docs, c).alias(c) for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
