@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import words_of
+from turnstone.llm.common import ready, words_of
 
 SEED = 7
 END = xxhash.xxh64_intdigest(b"\n end", SEED)  # no word holds white space
@@ -105,11 +105,12 @@ def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(borders, np.uint64)), [len(keys)]])
 
 
-def score_texts(docs: DataFrame, learn: Column, order: int = 3, strength: tuple[float, ...] = (150.0, 40.0), part_chars: int = 16_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, order: int = 2, strength: tuple[float, ...] = (150.0, 40.0), part_chars: int = 16_000_000) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row of ``docs``.
 
     ``learn`` says which rows the model learns from. ``base_score`` is the score of the empty state alone.
     """
+    ready(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(learn, F.lit(False)).alias("learn"),
