@@ -79,8 +79,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold_of("doc_id", 7) == 2, F.lit(False))
-    return score_texts(table(spark, sf_dir, "documents"), ~held_out).select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    # beyond the sixth decimal the order of adding up shows
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"),
     )
 
 
@@ -137,6 +140,24 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op7_lm_scoring": r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS n,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS words,
+    xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % 7 = 2 AS held_out
+  FROM documents),
+tokens AS (SELECT n, held_out, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM docs),
+pairs AS (SELECT *, lag(w) OVER (PARTITION BY n ORDER BY place) AS prev FROM tokens),
+ones AS (SELECT w, count(*) AS c FROM tokens WHERE NOT coalesce(held_out, false) GROUP BY w),
+twos AS (SELECT prev, w, count(*) AS c FROM pairs WHERE NOT coalesce(held_out, false) AND prev IS NOT NULL GROUP BY prev, w),
+sums AS (SELECT coalesce(sum(c), 0)::BIGINT AS total, count(*) AS kinds FROM ones),
+scored AS (SELECT p.n, o.c IS NOT NULL AS known, (coalesce(o.c, 0) + 1) / (total + kinds + 1.0::DOUBLE) AS base, h.c AS held, coalesce(t.c, 0) AS c
+  FROM pairs p CROSS JOIN sums LEFT JOIN ones o ON o.w = p.w LEFT JOIN ones h ON h.w = p.prev
+  LEFT JOIN twos t ON t.prev = p.prev AND t.w = p.w)
+SELECT doc_id, coalesce(any_value(held_out), false) AS held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, any_value(total) AS train_tokens,
+  round(sum(log10(base)), 6) AS base_score, round(sum(log10(CASE WHEN held IS NULL THEN base ELSE (c + 150.0 * base) / (held + 150.0) END)), 6) AS score
+FROM scored JOIN docs USING (n) CROSS JOIN sums GROUP BY n, doc_id""",
     "op8_url_filters": r"""
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
