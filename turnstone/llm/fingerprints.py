@@ -97,7 +97,7 @@ def with_edits(docs: DataFrame, words: int = 2) -> DataFrame:
         if last is not None:
             yield as_batch([(last[0], 0, None, last[2], 0, 0.0, 0.0, part, "last", last[1])], extra)
 
-    ordered = texts_of(docs).repartitionByRange(F.desc_nulls_last("doc_id"), "text").sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
+    ordered = texts_of(docs).repartitionByRange(F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
     scanned = written(ordered.mapInArrow(scan, COLUMNS + extra), "edits")
     done = scanned.filter("edge is null").select(*NAMES)
     ring = Window.orderBy("part")
