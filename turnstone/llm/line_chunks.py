@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -100,6 +100,11 @@ def chunks_in(texts: list[bytes], window: int, min_lines: int, min_words: int) -
             first, words, sizes = i + 1, [], []
 
 
+def text_mark() -> Column:
+    """Tells apart the texts of one id: half a hash, or a whole one where there is no id."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.shiftrightunsigned(F.xxhash64("text"), 32))
+
+
 def repeated_chunks(docs: DataFrame, window: int = 2, min_lines: int = 2, min_words: int = 6) -> DataFrame:
     """``doc_id``, ``of`` (the text's hash) and ``spans``, the word spans to remove, of each document that loses any."""
 
@@ -120,20 +125,22 @@ def repeated_chunks(docs: DataFrame, window: int = 2, min_lines: int = 2, min_wo
             # no text holds the byte ff: places that are known to be copies travel under a number, without their bytes
             rows += [(b"\xff%d" % n, p) for n, p in enumerate(again)]
             which = pa.array([p[5] for _, p in rows], pa.int64())
+            # one number for a span: where it starts, and in the last 28 bits how many words it has
+            spans = pa.array([p[3] << 28 | p[4] - p[3] for _, p in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(which), batch["of"].take(which), pa.array([p[3] for _, p in rows], pa.int32()),
-                 pa.array([p[4] for _, p in rows], pa.int32()), pa.array([d for d, _ in rows], pa.binary())],
-                ["doc_id", "of", "start", "end", "bytes"],
+                [batch["doc_id"].take(which), batch["of"].take(which), spans, pa.array([d for d, _ in rows], pa.binary())],
+                ["doc_id", "of", "span", "bytes"],
             )
 
-    places = docs.select("doc_id", "text", F.xxhash64("text").alias("of")).mapInArrow(
-        chunks, "doc_id long, of long, start int, end int, bytes binary"
-    )
+    places = docs.select("doc_id", "text", text_mark().alias("of")).mapInArrow(chunks, "doc_id long, of long, span long, bytes binary")
     copy = F.substring("bytes", 1, 1) == F.lit(b"\xff")
     # equal rows share a place, so the first is told by its place and not by a row number
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of", "start", "end")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of", "span")
     found = places.withColumn("first", F.min(order).over(Window.partitionBy("bytes"))).filter(copy | (order != F.col("first")))
-    return found.groupBy("doc_id", "of").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    start = F.shiftright("span", 28)
+    return found.groupBy("doc_id", "of").agg(
+        F.collect_set(F.struct(start.alias("start"), (start + F.col("span").bitwiseAND((1 << 28) - 1)).alias("end"))).alias("spans")
+    )
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -161,7 +168,7 @@ def without_repeated_lines(docs: DataFrame, window: int = 2, min_lines: int = 2,
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     spans = repeated_chunks(rows.select("doc_id", "text"), window, min_lines, min_words).alias("s")
-    marked = rows.withColumn("of", F.xxhash64("text")).alias("d")
+    marked = rows.withColumn("of", text_mark()).alias("d")
     same = F.col("d.of").eqNullSafe(F.col("s.of")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
     joined = marked.join(spans, same, "left").select("row", "text", "spans")
 
