@@ -13,7 +13,7 @@ The corpus is cut into parts of about ``part_chars`` characters by a hash of the
 as sorted 64-bit hashes; for each range of hashes one task adds up all parts' counts and returns to each part the totals of its
 own n-grams, in their order, with N and V of the range. A frequent n-gram is one number in each part. The part then reads its
 texts through its piece of the automaton. Nothing of the model passes the driver, and no task holds more than a part or a
-range. Every n-gram counts, there is no cutoff.
+range. Every n-gram counts, there is no cutoff. Hashes are sent as differences inside their range, texts and counts compressed.
 
 A null text is empty and scores its end alone. Null and repeated ids are kept, a row each. Rows with a null training
 mark are scored but not learned. Without training rows every token is unknown. An empty table gives an empty result.
@@ -21,13 +21,16 @@ mark are scored but not learned. Without training rows every token is unknown. A
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import ready, words_of
+from turnstone.llm.common import ready, utf8, words_of
 
 SEED = 7
 END = xxhash.xxh64_intdigest(b"\n end", SEED)  # no word holds white space
@@ -67,45 +70,71 @@ def gram_hashes(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.nda
     return grams
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences in the fewest whole bytes that hold the largest."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
+def pack_sorted(keys: np.ndarray, base: int) -> bytes:
+    """Sorted keys from ``base`` up, as their differences in the fewest whole bytes that hold the largest.
+
+    The top bytes are mostly small and are compressed; the others are as good as random.
+    """
+    gaps = np.diff(keys, prepend=np.uint64(base))
     width = max(1, -(-int(gaps.max()).bit_length() // 8)) if len(gaps) else 1
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    flat = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + flat[:, : width - 1].tobytes() + zlib.compress(flat[:, width - 1].tobytes(), 1)
 
 
-def unpack_sorted(data: bytes) -> np.ndarray:
-    width = data[0]
-    flat = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    wide = np.zeros((len(flat), 8), np.uint8)
-    wide[:, :width] = flat
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+def unpack_sorted(data: bytes, base: int, size: int) -> np.ndarray:
+    width, low = data[0], size * (data[0] - 1)
+    wide = np.zeros((size, 8), np.uint8)
+    wide[:, : width - 1] = np.frombuffer(data, np.uint8, low, 1).reshape(size, width - 1)
+    wide[:, width - 1] = np.frombuffer(zlib.decompress(memoryview(data)[1 + low :]), np.uint8)
+    return np.uint64(base) + np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
     width = next(w for w in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * w)
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(zlib.decompress(memoryview(data)[1:]), f"<u{data[0]}").astype(np.int64)
+
+
+def shrunk(rows: DataFrame) -> DataFrame:
+    """The rows with their texts compressed, each by itself, and ``size``, their bytes before."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            texts = utf8(batch["text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()),
+                 pa.array(list(map(len, texts)), pa.int64()), batch["learn"], batch["part"]],
+                ["doc_id", "text", "size", "learn", "part"],
+            )
+
+    return rows.mapInArrow(shrink, "doc_id long, text binary, size long, learn boolean, part int")
 
 
 def rows_of(table_: pa.Table, order: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Ids, training marks, text ends, and for each n the hashes of all places."""
-    texts = table_["text"].cast(pa.binary()).to_pylist()
+    codec = pa.Codec("zstd")
+    texts = [codec.decompress(t, n, asbytes=True) for t, n in zip(table_["text"].to_pylist(), table_["size"].to_pylist())]
     tokens, ends = token_hashes(texts)
     trained = np.array([bool(x) for x in table_["learn"].to_pylist()], bool)
     return table_["doc_id"].to_pylist(), trained, ends, np.diff(np.concatenate([[0], ends])), gram_hashes(tokens, ends, order)
 
 
+def border(i: int, ranges: int) -> int:
+    """The least hash of one of the equal ranges of hashes."""
+    return (i << 64) // ranges
+
+
 def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each of the equal ranges of hashes begins among sorted keys, and the end."""
-    borders = [(i << 64) // ranges for i in range(1, ranges)]
+    borders = [border(i, ranges) for i in range(1, ranges)]
     return np.concatenate([[0], np.searchsorted(keys, np.array(borders, np.uint64)), [len(keys)]])
 
 
-def score_texts(docs: DataFrame, learn: Column, order: int = 2, strength: tuple[float, ...] = (150.0, 40.0), part_chars: int = 16_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, order: int = 3, strength: tuple[float, ...] = (150.0, 40.0), part_chars: int = 16_000_000) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row of ``docs``.
 
     ``learn`` says which rows the model learns from. ``base_score`` is the score of the empty state alone.
@@ -117,7 +146,7 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 2, strength: tuple[
     )
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-chars // part_chars))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    rows = shrunk(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")))
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         part, out = key[0].as_py(), []
@@ -130,7 +159,7 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 2, strength: tuple[
             cuts = ranges_of(keys, parts)
             out.append(pa.table({
                 "part": pa.array(np.full(parts, part, np.int32)), "n": pa.array(np.full(parts, n, np.int32)), "range": pa.array(np.arange(parts, dtype=np.int32)),
-                "keys": pa.array([pack_sorted(keys[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                "keys": pa.array([pack_sorted(keys[a:b], border(i, parts)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))], pa.binary()),
                 "counts": pa.array([pack_counts(learned[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
             }))
         return pa.concat_tables(out)
@@ -138,8 +167,9 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 2, strength: tuple[
     counted = rows.groupBy("part").applyInArrow(count, "part int, n int, range int, keys binary, counts binary")
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
-        keys = [unpack_sorted(x) for x in group["keys"].to_pylist()]
         counts = [unpack_counts(x) for x in group["counts"].to_pylist()]
+        base = border(key[1].as_py(), parts)
+        keys = [unpack_sorted(x, base, len(c)) for x, c in zip(group["keys"].to_pylist(), counts)]
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(which, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
         cuts = np.cumsum([0, *map(len, keys)])
