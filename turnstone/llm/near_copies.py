@@ -8,8 +8,10 @@ fingerprints of a few minimum-hash shingles each; two documents at 0.8 share one
 candidate pair is then verified by the exact sets.
 
 Equal word sequences meet first and count as one text. In a bucket each text is paired with the bucket's first and with
-its neighbour in an order that differs from facet to facet: two pairs a text, never all. The pair that most buckets name
-is verified first; other pairs only if their texts are not connected yet.
+its neighbour in an order that differs from facet to facet: two pairs a text. The pair that most buckets name
+is verified first; other pairs only if their texts are not connected yet. Texts of a bucket (of a facet, or of equal
+fingerprints) that holds three or more and is not one group by then are open: all pairs of open texts of different
+groups are searched exactly, by an ordered prefix of their rarest shingles with bounds on length and position.
 
 Of a group the document with the smallest id (nulls last, then the text's hash) stays, and of repeated rows one. A null
 text is empty; all texts without words are copies of each other. Texts of fewer than five words have one shingle, the whole.
@@ -96,6 +98,48 @@ def candidates(texts: DataFrame, radius: int) -> DataFrame:
     return every.groupBy("a", "b").agg(F.count("*").alias("times"))
 
 
+def open_texts(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``words`` and ``root`` of the texts in buckets of three or more that are not one group yet."""
+    keys = F.concat("facets", F.array(F.xxhash64("fp", F.lit("print"))))
+    placed = texts.join(groups, F.col("words") == F.col("node"), "left").select("words", F.coalesce("root", "words").alias("root"), F.explode(keys).alias("key"))
+    several = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return placed.join(several.filter("n > 2 and low <> high").select("key"), "key", "left_semi").select("words", "root").distinct()
+
+
+def sharing_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: all pairs of sets (``words``, ``root``, ``hashes``) of different roots that can be as similar as asked.
+
+    With n shingles in an order common to all, rarest first, two sets that overlap in m share one of the first n - m + 1 of
+    each. The larger of two overlaps in at least similarity * n, the smaller in 2 * similarity / (1 + similarity) * n.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            sizes = [len(x) // 8 for x in batch["hashes"].to_pylist()]
+            which = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            flat = np.frombuffer(b"".join(batch["hashes"].to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch["words"].take(which), batch["root"].take(which), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(flat)], ["words", "root", "n", "h"]
+            )
+
+    every = sets.mapInArrow(shingles, "words binary, root binary, n long, h long")
+    known = every.groupBy("h").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high"))
+    place = F.row_number().over(Window.partitionBy("words").orderBy("times", "h"))
+    placed = every.join(known, "h").withColumn("at", place)
+    n_first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    # a shingle of one group alone joins no two groups
+    front = written(placed.withColumn("short", F.col("at") <= n_first(2 * similarity / (1 + similarity)))
+                    .filter((F.col("at") <= n_first(similarity)) & (F.col("low") != F.col("high"))).select("words", "root", "n", "h", "at", "short"), "fronts")
+    small, large = front.filter("short").alias("s"), front.alias("l")
+    fits = (F.col("s.n") <= F.col("l.n")) & (F.col("s.n") >= F.col("l.n") * similarity - 1e-9) & (F.col("s.root") != F.col("l.root"))
+    fits &= (F.col("s.n") < F.col("l.n")) | (F.col("s.words") < F.col("l.words"))
+    met = small.join(large, (F.col("s.h") == F.col("l.h")) & fits).groupBy(F.col("s.words").alias("a"), F.col("l.words").alias("b")).agg(
+        F.count("*").alias("both"), F.least(F.first("s.n") - F.max("s.at"), F.first("l.n") - F.max("l.at")).alias("behind"), F.first(F.col("s.n") + F.col("l.n")).alias("sum")
+    )
+    # shingles met so far, and at most all behind the last of them
+    return met.filter(F.col("both") + F.col("behind") >= F.col("sum") * similarity / (1 + similarity) - 1e-6).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are as similar as asked."""
 
@@ -127,17 +171,19 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, radius: int =
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
     pairs = written(pairs.filter(fits).select("a", "b", "times"), "pairs")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct().join(texts.select("words", "rank"), "words")
-    wanted = wanted.select("words", F.col("rank")["doc_id"].alias("at_id"), F.col("rank")["of"].alias("at_of"))
-    whole = texts_of(docs).withColumn("of", F.xxhash64("text"))
-    whole = whole.join(wanted, (F.col("of") == F.col("at_of")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("words", "text")
-
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(words_of(t), WORDS)).tobytes() for t in utf8(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["words"], pa.array(found, pa.binary())], ["words", "hashes"])
 
-    sets = written(whole.mapInArrow(hashes, "words binary, hashes binary").dropDuplicates(["words"]), "sets")
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = some.join(texts.select("words", "rank"), "words")
+        wanted = wanted.select("words", F.col("rank")["doc_id"].alias("at_id"), F.col("rank")["of"].alias("at_of"))
+        whole = texts_of(docs).withColumn("of", F.xxhash64("text"))
+        whole = whole.join(wanted, (F.col("of") == F.col("at_of")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("words", "text")
+        return written(whole.mapInArrow(hashes, "words binary, hashes binary").dropDuplicates(["words"]), "sets")
+
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct())
     likely = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
     ranked = pairs.withColumn("nth", likely)
     first = written(verified(ranked.filter("nth = 1"), sets, similarity), "verified")
@@ -146,7 +192,12 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, radius: int =
     rest = ranked.filter("nth > 1").join(side("a"), "a", "left").join(side("b"), "b", "left")
     rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     second = verified(rest, sets, similarity)
-    groups = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
+    groups = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)), "groups")
+    left = written(open_texts(texts, groups), "open")
+    if not left.isEmpty():
+        sets = sets_of(left.select("words"))
+        third = verified(sharing_prefixes(sets.join(left, "words"), similarity), sets, similarity)
+        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third))
 
     placed = texts.select("words", "rank").join(groups, F.col("words") == F.col("node"), "left")
     keepers = placed.groupBy(F.coalesce("root", "words").alias("root")).agg(F.min("rank").alias("rank"))
