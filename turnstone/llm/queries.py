@@ -10,6 +10,8 @@ from turnstone.llm.chat import conversation_log, format_chats, read_back
 from turnstone.llm.common import table
 from turnstone.llm.decontaminate import contamination
 from turnstone.llm.fingerprints import fingerprint_documents
+from turnstone.llm.hash_forest import nearest_vectors
+from turnstone.llm.importance import resample
 from turnstone.llm.line_chunks import without_repeated_lines
 from turnstone.llm.packing import pack
 from turnstone.llm.simhash_tree import near_duplicates
@@ -17,6 +19,7 @@ from turnstone.llm.token_store import read_tokens, write_tokens
 from turnstone.llm.tokens import public_tokenizer
 from turnstone.llm.toxicity import score_documents, train
 from turnstone.llm.url_rules import Rule, judge_urls
+from turnstone.llm.vector_codes import compress
 from turnstone.session import scratch_path
 
 RULES = [
@@ -98,6 +101,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"), n_parts=4, n_entries=256, rounds=4, scale=1024)
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_vectors(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample(docs, target, percent=10, min_words=20, seed=2024, shortest=1, longest=1, buckets=10_000)
+
+
+def codebook_sql(rounds: int) -> str:
+    """The vector codes' rounds as one statement each: assign by ``books0``, average to ``books1``, and so on."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT vec_id, n, parts.p AS p, min({{'d': pp - 2 * list_inner_product(x, c) + cc, 'e': e}}) AS best
+  FROM parts JOIN books{r} ON parts.p = books{r}.p GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""means{r} AS (SELECT p, e, pos, floor(sum(v) / count(*)) AS v
+  FROM (SELECT parts.p, best.e AS e, unnest(x) AS v, unnest(range(len(x))) AS pos FROM near{r} JOIN parts USING (n, p)) GROUP BY ALL),
+moved{r} AS (SELECT p, e, list(v ORDER BY pos) AS c FROM means{r} GROUP BY ALL),
+books{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c, list_inner_product(coalesce(m.c, b.c), coalesce(m.c, b.c)) AS cc
+  FROM books{r} b LEFT JOIN moved{r} m USING (p, e))""")
+    return ",\n".join(steps)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_decontamination": op2_decontamination,
@@ -109,6 +141,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_nearest_vectors": op12_nearest_vectors,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE = {
@@ -169,4 +204,38 @@ fits AS (SELECT n, arg_max(rules.host || rules.path, length(rules.host || rules.
   FROM parts JOIN rules ON (parts.host = rules.host OR ends_with(parts.host, '.' || rules.host)) AND starts_with(parts.path, rules.path)
   GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)""",
+    "op11_vector_codes": rf"""
+WITH good AS (SELECT vec_id, label, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS pp FROM (
+  SELECT vec_id, n, p, v[p * 16 + 1:p * 16 + 16] AS x FROM good, (SELECT unnest(range(4)) AS p))),
+books0 AS MATERIALIZED (SELECT p, e, x AS c, pp AS cc FROM (
+  SELECT p, x, pp, row_number() OVER (PARTITION BY p ORDER BY vec_id, n) - 1 AS e FROM parts) WHERE e < 256),
+{codebook_sql(4)},
+coded AS (SELECT n, vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near4 GROUP BY n, vec_id),
+labelled AS (SELECT coded.*, label FROM coded JOIN good USING (n)),
+flat AS (SELECT p, e, unnest(c) AS v, unnest(range(len(c))) AS pos FROM books4),
+print AS (SELECT sha256(string_agg(CAST(v AS BIGINT)::VARCHAR, ',' ORDER BY p, e, pos)) AS codebooks_sha256 FROM flat)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM labelled CROSS JOIN print""",
+    "op13_importance_resampling": r"""
+WITH steps AS (SELECT list(v ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_concat([b::UBIGINT], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS v FROM range(256) t(b))),
+texts AS (SELECT doc_id, row_number() OVER () AS n, text FROM documents UNION ALL SELECT NULL, -row_number() OVER (), text FROM benchmark),
+words AS MATERIALIZED (SELECT n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+uses AS MATERIALIZED (SELECT n, unnest(w) AS w FROM words),
+kinds AS MATERIALIZED (SELECT w, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(octet_length(encode(w))),
+    lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::UBIGINT)),
+  lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) % 10000 AS bucket FROM (SELECT DISTINCT w FROM uses), steps),
+counts AS (SELECT bucket, count(*) FILTER (n > 0) AS s, count(*) FILTER (n < 0) AS t FROM uses JOIN kinds USING (w) GROUP BY bucket),
+sums AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (all_s + 10000))::DOUBLE / ((s + 1) * (all_t + 10000))::DOUBLE)) AS BIGINT) AS gain FROM counts, sums),
+weights AS (SELECT n, CAST(sum(gain) AS BIGINT) AS weight FROM uses JOIN kinds USING (w) JOIN gains USING (bucket) GROUP BY n),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5)
+    / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM texts JOIN words USING (n) LEFT JOIN weights USING (n) WHERE n > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+  count(*) OVER (PARTITION BY n_features >= 20) AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= fit * 10 // 100 THEN place END AS rank FROM ranked""",
 }
