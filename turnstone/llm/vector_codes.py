@@ -69,11 +69,14 @@ class Cells:
         out = np.empty((len(cells), len(self.entries)), bool)
         step = max(1, PAIRS // len(self.entries))
         for at in range(0, len(cells), step):
-            low = cells[at : at + step, None, :] * self.side
-            below, above = low - self.entries[None], self.entries[None] - (low + self.side - 1)
-            least = np.maximum(np.maximum(below, above), 0)
-            most = np.maximum(np.abs(below), np.abs(above))
-            near, far = np.einsum("cej,cej->ce", least, least), np.einsum("cej,cej->ce", most, most)
+            some = cells[at : at + step]
+            near, far = (np.zeros((len(some), len(self.entries)), np.int64) for _ in range(2))
+            for coordinate, entry in zip(some.T, self.entries.T):  # few cells differ in a coordinate: each is squared once
+                distinct, which = np.unique(coordinate, return_inverse=True)
+                low = (distinct * self.side)[:, None]
+                below, above = low - entry, entry - (low + self.side - 1)
+                near += (np.maximum(np.maximum(below, above), 0) ** 2)[which]
+                far += (np.maximum(np.abs(below), np.abs(above)) ** 2)[which]
             out[at : at + step] = near <= far.min(axis=1)[:, None]
         return out
 
