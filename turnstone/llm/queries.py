@@ -183,15 +183,20 @@ WITH docs AS (SELECT doc_id, row_number() OVER () AS n,
         lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % 7 = 2 AS held_out
   FROM documents),
 tokens AS (SELECT n, held_out, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM docs),
-pairs AS (SELECT *, lag(w) OVER (PARTITION BY n ORDER BY place) AS prev FROM tokens),
-ones AS (SELECT w, count(*) AS c FROM tokens WHERE NOT coalesce(held_out, false) GROUP BY w),
-twos AS (SELECT prev, w, count(*) AS c FROM pairs WHERE NOT coalesce(held_out, false) AND prev IS NOT NULL GROUP BY prev, w),
+runs AS (SELECT *, lag(w) OVER (PARTITION BY n ORDER BY place) AS prev, lag(w, 2) OVER (PARTITION BY n ORDER BY place) AS far FROM tokens),
+learned AS (SELECT * FROM runs WHERE NOT coalesce(held_out, false)),
+ones AS (SELECT w, count(*) AS c FROM learned GROUP BY w),
+twos AS (SELECT prev, w, count(*) AS c FROM learned WHERE prev IS NOT NULL GROUP BY prev, w),
+threes AS (SELECT far, prev, w, count(*) AS c FROM learned WHERE far IS NOT NULL GROUP BY far, prev, w),
 sums AS (SELECT coalesce(sum(c), 0)::BIGINT AS total, count(*) AS kinds FROM ones),
-scored AS (SELECT p.n, o.c IS NOT NULL AS known, (coalesce(o.c, 0) + 1) / (total + kinds + 1.0::DOUBLE) AS base, h.c AS held, coalesce(t.c, 0) AS c
-  FROM pairs p CROSS JOIN sums LEFT JOIN ones o ON o.w = p.w LEFT JOIN ones h ON h.w = p.prev
-  LEFT JOIN twos t ON t.prev = p.prev AND t.w = p.w)
+low AS (SELECT r.*, o.c IS NOT NULL AS known, (coalesce(o.c, 0) + 1) / (total + kinds + 1.0::DOUBLE) AS base, h.c AS held, coalesce(t.c, 0) AS c
+  FROM runs r CROSS JOIN sums LEFT JOIN ones o ON o.w = r.w LEFT JOIN ones h ON h.w = r.prev
+  LEFT JOIN twos t ON t.prev = r.prev AND t.w = r.w),
+mid AS (SELECT *, CASE WHEN held IS NULL THEN base ELSE (c + 150.0 * base) / (held + 150.0) END AS p FROM low),
+scored AS (SELECT m.n, known, base, CASE WHEN h.c IS NULL THEN p ELSE (coalesce(t.c, 0) + 40.0 * p) / (h.c + 40.0) END AS q
+  FROM mid m LEFT JOIN twos h ON h.prev = m.far AND h.w = m.prev LEFT JOIN threes t ON t.far = m.far AND t.prev = m.prev AND t.w = m.w)
 SELECT doc_id, coalesce(any_value(held_out), false) AS held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, any_value(total) AS train_tokens,
-  round(sum(log10(base)), 6) AS base_score, round(sum(log10(CASE WHEN held IS NULL THEN base ELSE (c + 150.0 * base) / (held + 150.0) END)), 6) AS score
+  round(sum(log10(base)), 6) AS base_score, round(sum(log10(q)), 6) AS score
 FROM scored JOIN docs USING (n) CROSS JOIN sums GROUP BY n, doc_id""",
     "op8_url_filters": r"""
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
