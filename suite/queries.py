@@ -443,14 +443,14 @@ def search_prefix(spark, d):
 
 @query
 def search_top(spark, d):
-    top = P.search(T.searchable(spark, d), T.doc_sessions(spark, d), O.term("ther") | O.term("mentaux"), stemmed=False)
+    top = P.search(T.doc_messages(spark, d), T.doc_sessions(spark, d), O.term("ther") | O.term("mentaux"), stemmed=False)
     return top.select(*_HIT, F.round("score", 6).alias("score"))
 
 
 @query
 def search_project(spark, d):
     top = P.search(
-        T.searchable(spark, d), T.doc_sessions(spark, d), O.term("ther") | O.term("hin"), slug="src7", limit=5, stemmed=False
+        T.doc_messages(spark, d), T.doc_sessions(spark, d), O.term("ther") | O.term("hin"), slug="src7", limit=5, stemmed=False
     )
     return top.select(*_HIT, F.round("score", 6).alias("score"))
 
@@ -490,7 +490,7 @@ def search_stemmed(spark, d):
 
 @query
 def search_snippet(spark, d):
-    top = P.search(T.searchable(spark, d), T.doc_sessions(spark, d), O.term("hables") | O.phrase("of the"), limit=25)
+    top = P.search(T.doc_messages(spark, d), T.doc_sessions(spark, d), O.term("hables") | O.phrase("of the"), limit=25)
     return top.select("message_uuid", "snippet", F.round("score", 6).alias("score"))
 
 
@@ -542,7 +542,7 @@ def team_activity_fetched(spark, d):
 @query
 def team_search(spark, d):
     found = P.team_search(
-        T.searchable(spark, d), T.doc_sessions(spark, d), O.phrase("of the") & ~O.term("thble"), engineer="en", stemmed=False
+        T.doc_messages(spark, d), T.doc_sessions(spark, d), O.phrase("of the") & ~O.term("thble"), engineer="en", stemmed=False
     )
     return found.withColumn("rank", F.round("rank", 6))
 

@@ -129,9 +129,9 @@ class Matcher:
     """Columns that find a condition's phrases in the ``norm`` column of ``docs``.
 
     Unstemmed terms become literals. Stemmed terms become the words of the vocabulary that share
-    the stem: these are looked up once per search and enter the plan as a scalar subquery. A stem
-    differs from its words by a finite list of suffixes, so the alternatives stay few however
-    large the vocabulary is.
+    the stem: one row, looked up once per search, whose patterns are literals as well and so are
+    compiled once. A stem differs from its words by a finite list of suffixes, so the
+    alternatives stay few however large the vocabulary is.
     """
 
     def __init__(self, docs: DataFrame, condition: Condition, stemmed: bool):
@@ -140,30 +140,36 @@ class Matcher:
         self.stemmed = stemmed
         self.docs = docs
         if stemmed:
-            words = _word_patterns(docs, self.phrases)
-            self.docs = docs.withColumn("_words", words.scalar())
+            self.words = _word_patterns(docs, self.phrases).first()["words"]
 
-    def _word(self, number: int, place: int) -> Column:
+    def _word(self, number: int, place: int) -> str:
         """Regex of the words a term stands for."""
         found = self.phrases[number]
         if self.stemmed:
-            return F.col("_words")[f"w{number}_{place}"]
+            return self.words[f"w{number}_{place}"]
         last = found.is_prefix and place == len(found.terms) - 1
-        return F.lit(found.terms[place] + ("[^ ]*" if last else ""))
+        return found.terms[place] + ("[^ ]*" if last else "")
 
     def pattern(self, number: int) -> Column:
         """Regex of a phrase. Only its first word is consumed, so overlapping places all count."""
         first, *rest = [self._word(number, k) for k in range(len(self.phrases[number].terms))]
-        tail = F.concat(*[F.concat(w, F.lit(" ")) for w in rest]) if rest else F.lit("")
-        return F.concat(F.lit(" "), first, F.lit("(?= "), tail, F.lit(")"))
+        return F.lit(f" {first}(?= {''.join(f'{w} ' for w in rest)})")
 
     def present(self, number: int) -> Column:
         found = self.phrases[number]
         if self.stemmed:
-            return F.regexp_like("norm", self.pattern(number))
+            # the start of the stem rules most texts out without a regex
+            return self._may_hold(number) & F.regexp_like("norm", self.pattern(number))
         literal = " " + " ".join(found.terms) + ("" if found.is_prefix else " ")
         return F.contains("norm", F.lit(literal))
 
+    def _may_hold(self, number: int) -> Column:
+        """Whether the text has, for each term of the phrase, a word with the start of its stem."""
+        held = F.lit(True)
+        for word in dict.fromkeys(self.phrases[number].terms):
+            held = held & F.contains("norm", F.lit(f" {_stem_start(stem_word(word))}"))
+        return held
+
     def occurrences(self, number: int) -> Column:
         return F.regexp_count("norm", self.pattern(number))
 
@@ -173,13 +179,18 @@ class Matcher:
     def blank_before(self, number: int) -> Column:
         """Regex of the blank in front of every place of a phrase."""
         words = [self._word(number, k) for k in range(len(self.phrases[number].terms))]
-        return F.concat(F.lit(" (?="), *[F.concat(w, F.lit(" ")) for w in words], F.lit(")"))
+        return F.lit(f" (?={''.join(f'{w} ' for w in words)})")
 
 
 # characters of a stem's end that may differ from the words it stands for
 _STEM_TAIL = 2
 
 
+def _stem_start(stem: str) -> str:
+    """What all words with the stem start with."""
+    return stem[: max(1, len(stem) - _STEM_TAIL)]
+
+
 def _word_patterns(docs: DataFrame, phrases: list[Phrase]) -> DataFrame:
     """One row, one struct: for every term the regex of the words sharing its stem."""
     wanted = {}
@@ -187,7 +198,7 @@ def _word_patterns(docs: DataFrame, phrases: list[Phrase]) -> DataFrame:
         for place, word in enumerate(found.terms):
             last = found.is_prefix and place == len(found.terms) - 1
             wanted[f"w{number}_{place}"] = (stem_word(word), last)
-    starts = "|".join(sorted({stem[: max(1, len(stem) - _STEM_TAIL)] for stem, _ in wanted.values()}))
+    starts = "|".join(sorted({_stem_start(stem) for stem, _ in wanted.values()}))
     vocabulary = (
         docs.select(F.explode(F.regexp_extract_all("norm", F.lit(f" ((?:{starts})[^ ]*)"), F.lit(1))).alias("word"))
         .groupBy("word")

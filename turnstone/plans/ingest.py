@@ -86,9 +86,9 @@ def ingest(
 
 
 def _store_local(store: Store, sessions: DataFrame, said: DataFrame, batch_id: int) -> None:
-    new = insert_messages(said, store.read("messages", others=batch_id))
-    store.write("messages", with_search_columns(new).drop("transcript"), batch_id, _ORDER)
-    store.write("sessions", _stamped(sessions), batch_id, ("session_id",))
+    new = insert_messages(said, store.stored_keys("messages", said, batch_id))
+    staged = store.stage_messages("messages", with_search_columns(new).drop("transcript"), batch_id, _ORDER)
+    store.publish([*staged, store.stage("sessions", _stamped(sessions, batch_id), batch_id, ("session_id",))])
 
 
 def publish_team(
@@ -100,13 +100,15 @@ def publish_team(
     """
     who = engineer if isinstance(engineer, Column) else F.lit(engineer)
     new = insert_messages(
-        said.withColumn("engineer_id", who), store.read("team_messages", others=batch_id), key=("uuid",)
+        said.withColumn("engineer_id", who), store.stored_keys("team_messages", said, batch_id), key=("uuid",)
     )
-    store.write("team_messages", with_search_columns(new).drop("transcript"), batch_id, _ORDER)
-    tagged = _stamped(sessions).withColumn("engineer_id", who)
-    store.write("team_sessions", tagged, batch_id, ("session_id",))
+    staged = store.stage_messages("team_messages", with_search_columns(new).drop("transcript"), batch_id, _ORDER)
+    tagged = _stamped(sessions, batch_id).withColumn("engineer_id", who)
+    store.publish([*staged, store.stage("team_sessions", tagged, batch_id, ("session_id",))])
     return ingest_stats(said, store.read("team_messages", only=batch_id))
 
 
-def _stamped(sessions: DataFrame) -> DataFrame:
-    return sessions.drop("transcript").withColumn("last_synced_at", F.current_timestamp())
+def _stamped(sessions: DataFrame, batch_id: int) -> DataFrame:
+    return sessions.drop("transcript").withColumns(
+        {"last_synced_at": F.current_timestamp(), "seq": F.lit(batch_id).cast("bigint")}
+    )

@@ -1,12 +1,16 @@
 """BM25 search over all projects in one job.
 
 Each project has its own statistics, so scores of different projects come from different corpora,
-also when their results are merged. The texts are read twice, once for the statistics and once for
-the hits; both passes are narrow up to a tiny aggregation and a top-k.
+also when their results are merged. The texts are read once: a narrow pass leaves, for each text that has a phrase, its key,
+its length and its counts, and document frequencies, scores and winners come from these. How many texts a project has
+and how long they are is taken from the store's statistics; without them every text leaves a row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +22,8 @@ from ..operators.filters import filter_project
 from ..operators.joins import salted_join
 from ..operators.match import Condition, Matcher
 from ..operators.messages import with_search_columns
-from ..session import checkpointed
+from ..session import checkpointed, materialized
+from ..sources.store import Store
 
 PER_PROJECT = ("project_slug",)
 
@@ -36,37 +41,51 @@ def _count(n: int, name: str) -> list[str]:
 
 
 def _scored(
-    messages: DataFrame, condition: Condition, by: tuple[str, ...], stemmed: bool
+    messages: DataFrame, condition: Condition, by: tuple[str, ...], stemmed: bool, stats: DataFrame | None = None
 ) -> tuple[DataFrame, Matcher]:
-    """Matching rows with their score and ``_used<k>``: whether phrase k counts in the row."""
+    """Matching rows, without their texts, with their score and ``_used<k>``: whether phrase k counts in the row.
+
+    ``stats``: ``project_slug``, ``n_docs``, ``total_len`` of all messages. The narrow rows are written to the shared
+    folder, so the texts are read once although the frequencies must be known before the first score.
+    """
     matcher = Matcher(with_search_columns(messages), condition, stemmed)
     n = len(matcher.phrases)
     present = _count(n, "has")
     docs = matcher.docs.withColumns({c: matcher.present(k) for k, c in enumerate(present)})
-
-    stats = docs.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.avg("doc_len").alias("_avg"),
-        *[F.count_if(c).alias(f"_df{k}") for k, c in enumerate(present)],
-    )
+    if stats is not None:
+        docs = docs.filter(reduce(or_, map(F.col, present)))
+    counts = {f"_n{k}": F.when(F.col(c), matcher.occurrences(k)).otherwise(0) for k, c in enumerate(present)}
+    found = materialized(docs.withColumns(counts).drop("content", "norm"), "found")
+
+    frequencies = [F.count_if(c).alias(f"_df{k}") for k, c in enumerate(present)]
+    if stats is None:
+        sums = found.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("doc_len").alias("_avg"), *frequencies)
+    else:
+        whole = stats.groupBy(*by).agg(F.sum("n_docs").alias("_n"), (F.sum("total_len") / F.sum("n_docs")).alias("_avg"))
+        few = found.groupBy(*by).agg(*frequencies)
+        if by:
+            sums = whole.join(few, list(by))
+        else:
+            sums = whole.withColumn("_few", few.select(F.struct("*").alias("s")).scalar()).select("*", "_few.*").drop("_few")
     flags = matcher.by_phrase([F.col(c) for c in present])
     used = condition.counting(flags, F.lit(True))
-    hits = docs.filter(condition.holds(flags)).withColumns(
+    hits = found.filter(condition.holds(flags)).withColumns(
         {f"_used{k}": used[id(p)] for k, p in enumerate(matcher.phrases)}
     )
-    hits = hits.withColumns(
-        {
-            f"_tf{k}": F.when(F.col(f"_used{k}"), matcher.occurrences(k)).otherwise(0)
-            for k in range(n)
-        }
-    )
+    hits = hits.withColumns({f"_tf{k}": F.when(F.col(f"_used{k}"), F.col(f"_n{k}")).otherwise(0) for k in range(n)})
     if by:
-        hits = salted_join(hits, stats, list(by), ["uuid"])
+        hits = salted_join(hits, sums, list(by), ["uuid"])
     else:
-        whole = stats.select(F.struct("*").alias("s"))
-        hits = hits.withColumn("_whole", whole.scalar()).select("*", "_whole.*").drop("_whole")
+        hits = hits.withColumn("_whole", sums.select(F.struct("*").alias("s")).scalar()).select("*", "_whole.*").drop("_whole")
     score = bm25_score(_count(n, "tf"), "doc_len", "_avg", "_n", _count(n, "df"))
-    return hits.withColumn("score", score).drop(*present, *_count(n, "df"), "_n", "_avg"), matcher
+    return hits.withColumn("score", score).drop(*present, *_count(n, "n"), *_count(n, "df"), "_n", "_avg"), matcher
+
+
+def _with_texts(messages: DataFrame, top: DataFrame) -> DataFrame:
+    """The texts of a few chosen rows, looked up by key; they are normalised after that."""
+    key = ["project_slug", "uuid"]
+    texts = [c for c in ("content", "norm") if c in messages.columns]
+    return with_search_columns(messages.select(*key, *texts).join(top.drop("norm", "doc_len"), key))
 
 
 def _tidy(frame: DataFrame) -> DataFrame:
@@ -74,10 +93,17 @@ def _tidy(frame: DataFrame) -> DataFrame:
 
 
 def score_hits(
-    messages: DataFrame, condition: Condition, by: tuple[str, ...] = PER_PROJECT, stemmed: bool = True
+    messages: DataFrame,
+    condition: Condition,
+    by: tuple[str, ...] = PER_PROJECT,
+    stemmed: bool = True,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """All matching messages with their BM25 score (lower is better)."""
-    return _tidy(_scored(messages, condition, by, stemmed)[0])
+    """All matching messages with their BM25 score (lower is better): all their columns but the text.
+
+    ``stats`` is ``Store.search_stats()`` where ``messages`` are all of a store.
+    """
+    return _tidy(_scored(messages, condition, by, stemmed, stats)[0])
 
 
 def topk_per_project(hits: DataFrame, k: int = 10) -> DataFrame:
@@ -94,10 +120,10 @@ def _snippet(matcher: Matcher) -> Column:
     return snippet("content", "norm", phrases)
 
 
-def _winners(hits: DataFrame, matcher: Matcher, limit: int) -> DataFrame:
-    """The best rows; snippets are made for these only."""
+def _winners(messages: DataFrame, hits: DataFrame, matcher: Matcher, limit: int) -> DataFrame:
+    """The best rows; texts are looked up and snippets made for these only."""
     top = hits.orderBy("score", "uuid").limit(limit)
-    return top.withColumn("snippet", _snippet(matcher))
+    return _with_texts(messages, top).withColumn("snippet", _snippet(matcher))
 
 
 def search(
@@ -107,13 +133,32 @@ def search(
     slug: str | None = None,
     limit: int = 10,
     stemmed: bool = True,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Best messages of one or all projects, with a snippet and their session's data.
 
-    ``sessions`` must hold the sessions of all ``messages``, as the stored tables do.
+    ``sessions`` must hold the sessions of all ``messages``, as the stored tables do. See ``search_store``.
     """
-    hits, matcher = _scored(filter_project(messages, slug), condition, PER_PROJECT, stemmed)
-    top = _winners(hits, matcher, limit)
+    top = _best(messages, condition, slug, limit, stemmed, stats)
+    return _told(top, sessions)
+
+
+def _best(messages, condition, slug, limit, stemmed, stats) -> DataFrame:
+    chosen = filter_project(messages, slug)
+    known = None if stats is None else filter_project(stats, slug)
+    hits, matcher = _scored(chosen, condition, PER_PROJECT, stemmed, known)
+    return _winners(chosen, hits, matcher, limit)
+
+
+def search_store(
+    store: Store, condition: Condition, slug: str | None = None, limit: int = 10, stemmed: bool = True
+) -> DataFrame:
+    """``search`` over a store: counts come from what each batch left, and session versions meet for the winners only."""
+    top = _best(store.scan_messages(), condition, slug, limit, stemmed, store.search_stats())
+    return _told(top, store.scan_sessions(of=top))
+
+
+def _told(top: DataFrame, sessions: DataFrame) -> DataFrame:
     owners = sessions.select(
         "project_slug", "session_id", F.col("started_at").alias("session_started_at"), "git_branch"
     )

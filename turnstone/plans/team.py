@@ -12,7 +12,7 @@ from ..functions.text import cap_block, fmt_iso_short, preview
 from ..operators.filters import LOOKBACK_DAYS, MIN_TURNS, filter_engineer, filter_min_turns, is_recent
 from ..operators.match import Condition
 from ..session import evaluated_once
-from .search import _scored, _tidy
+from .search import _scored, _tidy, _with_texts
 
 # fixed values: how many are fetched and shown, size limit and its marker
 FETCHED = 30
@@ -126,11 +126,12 @@ def team_search(
     slug: str | None = None,
     limit: int = 10,
     stemmed: bool = True,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Best messages of the whole team. Statistics are those of the whole corpus, whatever the
-    engineer and project filters; exclude a term with ``cond & ~term(...)``."""
-    hits, _ = _scored(messages, condition, (), stemmed)
-    top = filter_engineer(hits, engineer, slug).orderBy("score", "uuid").limit(limit)
+    engineer and project filters; exclude a term with ``cond & ~term(...)``. ``stats``: ``Store.search_stats(team=True)``."""
+    hits, _ = _scored(messages, condition, (), stemmed, stats)
+    top = _with_texts(messages, filter_engineer(hits, engineer, slug).orderBy("score", "uuid").limit(limit))
     branches = sessions.select("session_id", "git_branch")
     return (
         _tidy(top)

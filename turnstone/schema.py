@@ -23,7 +23,7 @@ PARTIALS = f"""
 SESSIONS = """
     session_id string, started_at string, ended_at string, turn_count bigint,
     tool_call_freq map<string,bigint>, git_branch string, cwd string, last_synced_at timestamp,
-    project_slug string, batch_id bigint, writer string
+    seq bigint, project_slug string, batch_id bigint, writer string
 """
 
 MESSAGES = f"""
@@ -34,6 +34,10 @@ MESSAGES = f"""
 TEAM_SESSIONS = f"engineer_id string, {SESSIONS}"
 TEAM_MESSAGES = f"engineer_id string, {MESSAGES}"
 
+# what later batches and searches need of the messages without reading them
+KEYS = "uuid string, project_slug string, prefix int, batch_id bigint, writer string"
+STATS = "project_slug string, n_docs bigint, total_len bigint, batch_id bigint, writer string"
+
 TABLES = {
     "lines": LINES + ", batch_id bigint, writer string",
     "partials": PARTIALS,
@@ -41,4 +45,8 @@ TABLES = {
     "messages": MESSAGES,
     "team_sessions": TEAM_SESSIONS,
     "team_messages": TEAM_MESSAGES,
+    "keys": KEYS,
+    "team_keys": KEYS,
+    "stats": STATS,
+    "team_stats": STATS,
 }

@@ -65,6 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialized(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, and safe from lost executors."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def evaluated_once(frame: DataFrame) -> DataFrame:
     """The same rows, with every column computed before any later filter.
 

@@ -13,13 +13,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.redact import Rule, redact
 from ..operators.messages import anti_insert, first_uuid_wins
 from ..plans.ingest import ingest
-from ..sources.store import Store, put_in_place
+from ..sources.store import Store, key_prefix
 from ..sources.transcripts import _exists, line_pos, raw_lines
 
+# of the tables of ``stream_dedup``; a table keeps the number it was made with
+DEDUP_PREFIXES = 64
+
 
 def landed_lines(spark: SparkSession, path: str, glob: str = "*", per_trigger: int | None = None) -> DataFrame:
     """Stream of ``(file_path, file_name, block, mtime, value)`` as files land."""
@@ -88,19 +92,22 @@ def writer_of(checkpoint: str) -> str:
 def stream_dedup(
     stream: DataFrame, table: str, checkpoint: str, key: tuple[str, ...] = ("uuid",), **trigger
 ) -> StreamingQuery:
-    """Append first occurrences of a key to a Parquet table, for good and without growing state:
-    each micro-batch is compared with what all others stored."""
+    """Append first occurrences of a key to a Parquet table, for good and without growing state.
+
+    The table is partitioned by a prefix of the key's hash; each micro-batch is compared with what all others stored
+    under its prefixes. A batch is written aside and moved into place, so one that dies leaves nothing that counts and
+    runs again, also if it was the first."""
     writer = writer_of(checkpoint)
 
     def append_new(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = first_uuid_wins(batch, key, order=[c for c in batch.columns if c not in key])
+        fresh = fresh.withColumn("key_prefix", key_prefix(key, DEDUP_PREFIXES))
         if _exists(spark, table):
-            stored = spark.read.parquet(table)
             own = (F.col("batch_id") == batch_id) & (F.col("writer") == writer)
-            fresh = anti_insert(fresh, stored.filter(~own), key)
+            fresh = anti_insert(fresh, stored_under(spark, table, batch, key).filter(~own), key)
         aside = f"{table}/_writing/{uuid.uuid4().hex}"
-        fresh.write.parquet(aside)
+        fresh.repartition("key_prefix").write.partitionBy("key_prefix").parquet(aside)
         put_in_place(spark, aside, f"{table}/writer={writer}/batch_id={batch_id}")
 
     return (
@@ -111,6 +118,27 @@ def stream_dedup(
     )
 
 
+def stored_under(spark: SparkSession, table: str, batch: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """What the table of ``stream_dedup`` holds under the prefixes of a batch's keys."""
+    prefixes = [r[0] for r in batch.select(key_prefix(key, DEDUP_PREFIXES)).distinct().collect()]  # a row for each prefix at most
+    places = [StructField("key_prefix", IntegerType()), StructField("batch_id", LongType()), StructField("writer", StringType())]
+    return spark.read.schema(StructType([*batch.schema.fields, *places])).parquet(table).filter(F.col("key_prefix").isin(prefixes))
+
+
+def put_in_place(spark: SparkSession, aside: str, path: str) -> None:
+    """Make a complete folder the content of ``path``; what was there is moved away first and deleted last."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source, target, old = hadoop(aside), hadoop(path), hadoop(f"{aside}.old")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    if files.exists(target) and not files.rename(target, old):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(source, target):
+        raise OSError(f"cannot move {aside} to {path}")
+    files.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
 def dedup_within(stream: DataFrame, event_time: str, delay: str, key: tuple[str, ...] = ("uuid",)) -> DataFrame:
     """Bounded variant: forgets a key once the watermark has passed it."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
