@@ -183,12 +183,12 @@ class Matcher:
 
 
 # characters of a stem's end that may differ from the words it stands for
-_STEM_TAIL = 2
+STEM_TAIL = 2
 
 
 def _stem_start(stem: str) -> str:
     """What all words with the stem start with."""
-    return stem[: max(1, len(stem) - _STEM_TAIL)]
+    return stem[: max(1, len(stem) - STEM_TAIL)]
 
 
 def _word_patterns(docs: DataFrame, phrases: list[Phrase]) -> DataFrame:

@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 from ..functions.rank import bm25_score, bm25_term
 from ..functions.snippet import snippet
 from ..functions.stem import porter_stem
-from ..functions.tokens import split_norm, tokenize
+from ..functions.tokens import tokenize
 from ..operators.filters import filter_project
 from ..operators.joins import salted_join
-from ..operators.match import Condition, Matcher
+from ..operators.match import STEM_TAIL, Condition, Matcher
 from ..operators.messages import with_search_columns
-from ..session import checkpointed, materialized
+from ..session import materialized
 from ..sources.store import Store
 
 PER_PROJECT = ("project_slug",)
+MOST_NAMED = 4_096  # words that a plan names as literals
+_START = 3
+_UNIT = 1e-13  # of scores that are added up
 
 
 def corpus_stats(messages: DataFrame, by: tuple[str, ...] = PER_PROJECT) -> DataFrame:
@@ -193,55 +196,118 @@ def _phrase_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
     return words.withColumn("word", porter_stem("word")) if stemmed else words
 
 
-def search_many(
-    messages: DataFrame, queries: DataFrame, limit: int = 10, stemmed: bool = True
-) -> DataFrame:
-    """Many searches in one job: ``queries(query_id, phrases ARRAY<STRING>, match_all BOOLEAN)``.
+def _may_be_one(token: str, words: DataFrame, starts_only: bool) -> Column:
+    """Whether a token may be among ``words``; always, if there are too many words to name."""
+    # a word shares the start of its stem, but for the stem's last letters
+    size = F.greatest(F.lit(1), F.least(F.lit(_START), F.length("word") - STEM_TAIL))
+    start = F.substr(F.col("word"), F.lit(1), size) if starts_only else F.col("word")
+    named = [r[0] for r in words.select(start).distinct().limit(MOST_NAMED + 1).collect()]
+    if len(named) > MOST_NAMED:
+        return F.lit(True)
+    # tokens hold letters and digits only, so they need no quoting
+    among = lambda what, texts: F.expr(f"{what} in ({', '.join(map(repr, sorted(texts)))})")
+    if not starts_only:
+        return among(token, named) if named else F.lit(False)
+    by_size = {n: [x for x in named if len(x) == n] for n in {len(x) for x in named}}
+    return reduce(or_, [among(f"substring({token}, 1, {n})", x) for n, x in by_size.items()], F.lit(False))
 
-    Places of the wanted words are found by a join on the word, put together to phrases per
-    message, scored once per phrase and shared by all queries that use it.
+
+def _postings(docs: DataFrame, queries: DataFrame, stemmed: bool, marked: bool) -> DataFrame:
+    """``project_slug``, ``uuid``, ``doc_len``, ``phrase``, ``tf`` of each phrase of the queries that a message has.
+
+    Tokens that no query asks for end where the text is split, in generated code. A phrase of several words stands where all its places
+    give the same start. ``marked`` adds a row with an empty phrase for every message.
     """
-    docs = with_search_columns(messages)
     key = ["project_slug", "uuid"]
     wanted = _phrase_terms(queries, stemmed)
-    places = docs.select(*key, "doc_len", F.posexplode(split_norm("norm")).alias("at", "token"))
+    # the blank before the first token leaves an empty one in front: the mark of a message
+    tokens = F.posexplode(F.split(F.rtrim("norm"), " ")).alias("at", "token")
+    may = _may_be_one("token", wanted, stemmed) & (F.col("token") != "")
+    places = docs.select(*key, "doc_len", tokens).filter(may | (F.col("at") == 0) if marked else may)
     if stemmed:
         # stem the vocabulary, not the texts
-        vocabulary = places.select("token").distinct().withColumn("word", porter_stem("token"))
+        vocabulary = docs.select(tokens).filter(may).select("token").distinct().withColumn("word", porter_stem("token"))
         spelled = vocabulary.join(wanted, "word").select("token", "phrase", "size", "place")
     else:
         spelled = wanted.withColumnRenamed("word", "token")
-    # written once: the document frequencies and the scores both start from it
-    found = checkpointed(
-        salted_join(places, spelled, ["token"], ["uuid", "at"])
-        .withColumn("start", F.col("at") - F.col("place"))
-        # grouped by message from here on: one shuffle serves both aggregations
-        .repartition(*key)
-        .groupBy(*key, "doc_len", "phrase", "size", "start")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") == F.col("size"))
-        .groupBy(*key, "doc_len", "phrase")
-        .agg(F.count("*").alias("tf"))
-    )
-    stats = docs.groupBy("project_slug").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    if marked:
+        mark = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit("").alias("phrase"), F.lit(1).alias("size"), F.lit(0).alias("place"))
+        spelled = spelled.unionByName(mark)
+    met = places.join(spelled, "token").withColumn("start", F.when(F.col("size") > 1, F.col("at") - F.col("place")))
+    # counts add up before the one shuffle; written here, as the texts are not to be read for single words and phrases apart
+    counted = materialized(met.groupBy(*key, "doc_len", "phrase", "size", "start").agg(F.count("*").alias("n")), "postings")
+    whole = counted.filter((F.col("size") > 1) & (F.col("n") == F.col("size"))).groupBy(*key, "doc_len", "phrase").agg(F.count("*").alias("tf"))
+    return counted.filter("size = 1").select(*key, "doc_len", "phrase", F.col("n").alias("tf")).unionByName(whole)
+
+
+def search_many(
+    messages: DataFrame, queries: DataFrame, limit: int = 10, stemmed: bool = True, stats: DataFrame | None = None
+) -> DataFrame:
+    """Many searches in one job: ``queries(query_id, phrases ARRAY<STRING>, match_all BOOLEAN)``.
+
+    Each phrase is scored once per message and shared by all queries that use it. A query meets a message only if it
+    can be among the best ``limit``: with the best share of every phrase in the project known, a share that falls short
+    of the ``limit``-th best score even with the best of all other phrases is left out, and a query that wants all phrases
+    starts from its rarest one. So a common word adds to scores but brings no messages of its own. Both bounds are
+    exact: the rows are those of comparing every message. ``stats``: ``Store.search_stats()`` of all messages.
+    """
+    docs = with_search_columns(messages)
+    key = ["project_slug", "uuid"]
+    found = _postings(docs, queries, stemmed, marked=stats is None)
+    if stats is None:
+        sums = found.filter("phrase = ''").groupBy("project_slug").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+        found = found.filter("phrase <> ''")
+    else:
+        sums = stats.select("project_slug", "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
     df = found.groupBy("project_slug", "phrase").agg(F.count("*").alias("df"))
-    shares = (
-        salted_join(found, df.join(stats, "project_slug"), ["project_slug", "phrase"], ["uuid"])
-        .select(*key, "phrase", bm25_term("tf", "doc_len", "avg_len", "n_docs", "df").alias("share"))
+    share = bm25_term("tf", "doc_len", "avg_len", "n_docs", "df")
+    # whole numbers of a small unit add up alike in any order, so equal texts get equal scores
+    shares = materialized(
+        found.join(df.join(sums, "project_slug"), ["project_slug", "phrase"]).select(*key, "phrase", "df", F.round(-share / _UNIT).cast("bigint").alias("gain")),
+        "shares",
     )
-    asked = queries.select(
-        "query_id", "match_all", F.size("phrases").alias("asked"), F.posexplode("phrases").alias("nr", "text")
-    ).select("query_id", "match_all", "asked", "nr", F.array_join(tokenize("text"), " ").alias("phrase"))
-    scored = (
-        salted_join(shares, asked, ["phrase"], ["uuid"])
-        .groupBy("query_id", "match_all", "asked", *key)
-        # exact addition: equal texts get equal scores in whatever order their shares arrive
-        .agg(F.sum(F.col("share").cast("decimal(28,18)")).cast("double").alias("score"), F.count("*").alias("met"))
-        .filter(~F.col("match_all") | (F.col("met") == F.col("asked")))
+    asked = (
+        queries.select("query_id", F.coalesce("match_all", F.lit(False)).alias("match_all"), F.size("phrases").alias("asked"), F.explode("phrases").alias("text"))
+        .groupBy("query_id", "match_all", "asked", F.array_join(tokenize("text"), " ").alias("phrase"))
+        .agg(F.count("*").alias("times"))
+    )
+    # for each query, project and phrase of both: the best its share can be
+    tops = shares.groupBy("project_slug", "phrase").agg(F.max("gain").alias("top"), F.first("df").alias("df"))
+    parts = materialized(asked.join(tops, "phrase").withColumn("top", F.col("top") * F.col("times")), "bounds")
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        """Whole scores of pairs of a query and a message."""
+        wanted = pairs.join(parts.select("query_id", "project_slug", "phrase", "times"), ["query_id", "project_slug"])
+        return wanted.join(shares, [*key, "phrase"]).groupBy("query_id", *key).agg(
+            F.sum(F.col("gain") * F.col("times")).alias("gain"), F.sum("times").alias("there")
+        )
+
+    # the best messages of single phrases: what their whole scores reach, others must reach
+    leaders = shares.withColumn("nr", F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("gain"), "uuid"))).filter(F.col("nr") <= limit)
+    named = asked.filter("not match_all").join(leaders, "phrase").select("query_id", *key).distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "uuid"))
+    least = scores(named).withColumn("nr", place).filter(F.col("nr") == limit).select("query_id", F.col("gain").alias("least"))
+    # of a query's phrases in a project, those that are together too weak to reach it bring no messages
+    weakest = Window.partitionBy("query_id", "project_slug").orderBy("top", "phrase")
+    ranked = parts.filter("not match_all").join(least, "query_id", "left").withColumn("upto", F.sum("top").over(weakest))
+    strong = ranked.filter(F.col("upto") >= F.coalesce("least", F.lit(0))).withColumn("weak", F.col("upto") - F.col("top"))
+    met = strong.join(shares.select(*key, "phrase", "gain"), ["project_slug", "phrase"]).groupBy("query_id", *key).agg(
+        F.sum(F.col("gain") * F.col("times")).alias("gain"), F.min("weak").alias("weak"), F.first("least").alias("least")
+    )
+    # the weak ones add their best at most: the least of the sums before a strong phrase that was met bounds them and any unmet
+    any_of = met.filter(F.col("gain") + F.col("weak") >= F.coalesce("least", F.lit(0))).select("query_id", *key)
+
+    every = parts.filter("match_all").groupBy("query_id", "project_slug", "asked").agg(
+        F.sum("times").alias("there"), F.min_by("phrase", F.struct("df", "phrase")).alias("phrase")
     )
-    best = Window.partitionBy("query_id").orderBy("score", "uuid")
+    # who wants all phrases starts from the rarest
+    all_of = every.filter("there = asked").select("query_id", "project_slug", "phrase", "asked").join(shares.select(*key, "phrase"), ["project_slug", "phrase"])
+    pairs = any_of.withColumn("asked", F.lit(0)).unionByName(all_of.select("query_id", *key, "asked"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("gain"), "uuid")
+    asks = every.select("query_id", F.col("asked").alias("needed")).distinct()
+    whole = scores(pairs.select("query_id", *key)).join(asks, "query_id", "left").filter("needed is null or there = needed")
     return (
-        scored.withColumn("rank", F.row_number().over(best))
+        whole.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= limit)
-        .select("query_id", F.col("rank").cast("bigint").alias("rank"), "project_slug", "uuid", "score")
+        .select("query_id", F.col("rank").cast("bigint").alias("rank"), "project_slug", "uuid", (-F.col("gain") * _UNIT).alias("score"))
     )
