@@ -65,6 +65,8 @@ ORACLE["drop_empty_turns"] = f"""WITH {ODD} SELECT transcript, turn FROM odd
     WHERE k = 0 AND role IN ('user', 'assistant') AND {strip("text")} <> ''"""
 ORACLE["push_result"] = f"""WITH {SAID} SELECT session_id, count(*) FILTER (split_part(uuid, '-', 2)::INT % 3 <> 0) AS messages_inserted,
     count(*) AS messages_total FROM said GROUP BY session_id"""
+ORACLE["compacted_store"] = MESSAGES + " WHERE project_slug <> 'p3'"
+ORACLE["ingest_requests"] = MESSAGES + " WHERE CAST(substr(session_id, 2) AS BIGINT) % 3 < 2"
 ORACLE["stored_projects"] = f"WITH {SAID} SELECT DISTINCT project_slug FROM said"
 ORACLE["extract_text"] = f"""WITH {TALK} SELECT project_slug, session_id AS transcript, turn,
     CASE WHEN role = 'assistant' AND {strip("text")} = '' THEN '' ELSE text END AS content FROM talk"""
@@ -338,6 +340,16 @@ ORACLE["team_search"] = f"""WITH {DOC_SESSIONS}, {scored(
     SELECT m.ts, t.lang AS engineer_id, m.project_slug, t.lang AS git_branch, round(-t.score, 6) AS rank,
            replace(left(t.text, 200), chr(10), ' ') AS content_preview, m.session_id, 'user' AS role
     FROM top t JOIN dm m USING (uuid)"""
+SAID_DOCS = f"""{TALK_SESSIONS}, docs AS (
+    SELECT uuid, project_slug AS source, session_id AS lang, content AS text, {TOKENS.replace("text", "content")} AS tok
+    FROM said WHERE project_slug <> 'p3')"""
+ORACLE["stored_stats"] = f"""WITH {SAID_DOCS} SELECT source AS project_slug, count(*) AS n_docs,
+    CAST(sum(len(tok)) AS BIGINT) AS total_len FROM docs GROUP BY source"""
+ORACLE["search_stored"] = f"""WITH {scored([word("ther"), word("tion")], "t0 > 0 OR t1 > 0", docs=SAID_DOCS)}, top AS (
+        SELECT * FROM hits ORDER BY score, uuid LIMIT 20)
+    SELECT t.uuid AS message_uuid, m.session_id, m."timestamp", m.role, m.project_slug,
+           s.started_at AS session_started_at, s.git_branch, round(t.score, 6) AS score
+    FROM top t JOIN said m USING (uuid) JOIN sessions s ON s.session_id = m.session_id"""
 ORACLE["search_many"] = f"""WITH {DOCS}, asked AS (
         SELECT item_id AS query_id, unnest(list_distinct({TOKENS})) AS phrase
         FROM benchmark),

@@ -669,6 +669,57 @@ def stored_projects(spark, d):
     return store.list_projects()
 
 
+def _two_batches(spark, d):
+    """Half of each transcript, then the whole; one project is purged in between."""
+    store = Store(spark, scratch_path(spark, "store"))
+    lines = T.transcript_lines(spark, d)
+    ingest(store, lines.filter("pos.row % 2 = 0"), 0)
+    store.purge_project("p3")
+    ingest(store, lines.filter("project_slug <> 'p3'"), 1)
+    return store
+
+
+@query
+def stored_stats(spark, d):
+    """Statistics of a store after a replay and a purge, from the sums of its batches."""
+    store = _two_batches(spark, d)
+    ingest(store, T.transcript_lines(spark, d).filter("project_slug <> 'p3'"), 1)
+    return store.search_stats()
+
+
+@query
+def search_stored(spark, d):
+    """A search over the store: one filtered pass over the texts."""
+    found = P.search_store(_two_batches(spark, d), O.term("ther") | O.term("tion"), limit=20, stemmed=False)
+    return found.select(*_HIT, F.round("score", 6).alias("score"))
+
+
+@query
+def compacted_store(spark, d):
+    """What a store holds after its older batches were merged, unused folders deleted, and one more batch."""
+    store = _two_batches(spark, d)
+    store.compact()
+    store.vacuum()
+    ingest(store, T.transcript_lines(spark, d).filter("project_slug <> 'p3'"), 2)
+    return store.scan_messages().select(*_MESSAGE)
+
+
+@query
+def ingest_requests(spark, d):
+    """Requests by path, by session and for a project's newest transcript, all in one call."""
+    landing = scratch_path(spark, "landing")
+    T.land_sessions(spark, d, landing)
+    files = transcript_inventory(spark, landing).select("path", "project_slug", "session_id")
+    number = F.regexp_extract("session_id", "[0-9]+", 0).cast("long")
+    asked = files.filter(number % 3 < 2).select(
+        F.when(number % 3 == 0, F.col("path")).alias("transcript_path"), F.when(number % 3 == 1, F.col("session_id")).alias("sessionId"), "project_slug"
+    )
+    none = spark.createDataFrame([(None, "missing", "nobody")], asked.schema)
+    store = Store(spark, scratch_path(spark, "store"))
+    P.ingest_requests(store, asked.unionByName(none), landing, 0)
+    return store.scan_messages().select(*_MESSAGE)
+
+
 @query
 def stored_sessions(spark, d):
     store = Store(spark, scratch_path(spark, "store"))

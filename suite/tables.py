@@ -137,6 +137,19 @@ def land_transcripts(spark: SparkSession, sf_dir: str, path: str) -> None:
     )
 
 
+def land_sessions(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the lines as ``<project>/<session>.jsonl``, as the recorder of the conversations leaves them."""
+    aside = f"{path}-parts"
+    land_transcripts(spark, sf_dir, aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(hadoop(f"{aside}/project_slug=*/transcript=*/part-*")):
+        session, project = part.getPath().getParent(), part.getPath().getParent().getParent()
+        slug, name = (x.getName().split("=", 1)[1] for x in (project, session))
+        files.mkdirs(hadoop(f"{path}/{slug}"))
+        files.rename(part.getPath(), hadoop(f"{path}/{slug}/{name}.jsonl"))
+
+
 _EVENT_TIME = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 
 
