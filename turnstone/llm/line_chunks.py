@@ -1,15 +1,19 @@
 """Line dedup by content-defined chunks of lines.
 
-Passages move between documents with other text before and after them in the same line, so lines are wrapped by their own
-content first: a line ends after a word whose hash is the least among its neighbours. Each line has a hash of its words;
-rolling hashes over ``window`` line hashes choose the chunk boundaries, again where they are least among their
+Lines end where the text's lines end. Passages also move between documents inside lines, so a line of more than ``LONG``
+words is wrapped by its own content: a piece ends after a word whose hash is the least among its neighbours. Each line has a
+hash of its words; rolling hashes over ``window`` line hashes choose the chunk boundaries, where they are least among their
 neighbours. Text before or after a passage moves no boundary inside it, and two boundaries are never next to each
 other, so every inner chunk has several lines.
 
-A chunk that stands more than once in the corpus is removed from all places but the first: the smallest ``doc_id`` (nulls
-last), then text hash, then place. Chunks are compared by their bytes, words joined by blanks. Groups of
-documents bring equal chunks together first, so a passage that a third of all documents hold is shuffled once a group, not
-once a document; then the bytes themselves are the grouping key.
+A chunk that stands more than once in the corpus is a copy in all places but the first: the smallest ``doc_id`` (nulls last),
+then text hash, then place. Copies grow to both sides while the words beside them equal those beside the first, by at most
+``MARGIN`` words, so a passage goes with its ends; copies that touch become one run, and runs of ``min_words`` words or more
+are removed. A shorter run, a common phrase, stays.
+
+Equal chunks of a group of documents meet in the task that reads them. Between groups only 64-bit hashes and places travel;
+texts are asked for the bytes of chunks whose hash stands in several groups, and bytes decide. A passage that a third of all
+documents hold so costs a row for each group, and no bytes of other chunks leave their document.
 
 A null text is empty. An emptied document stays, with an empty text. Rows with equal id and text are one document:
 they share their places and come out alike, each of them. Columns keep their names and order; ``text`` and ``n_chars`` (if
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +37,9 @@ from turnstone.llm.common import named, ready, utf8
 
 SEED = 11
 MIX = np.uint64(0x9E3779B97F4A7C15)
-GROUP_WORDS = 400_000
-GROUP_TEXTS = 2_000
+GROUP_BYTES = 4 << 20  # of texts whose equal chunks meet in a task
+LONG = 8
+MARGIN = 24
 _WORD = re.compile(rb"\S+")
 
 
@@ -53,14 +59,14 @@ def least_here(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     return (values < before) & (values < after)
 
 
-def chunk_words(hashes: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word and word after the last of each chunk, and its number of lines. ``doc`` tells the words' texts apart."""
+def chunk_words(hashes: np.ndarray, doc: np.ndarray, line: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after the last of each chunk. ``doc`` tells the words' texts apart, ``line`` their lines."""
     if not len(hashes):
-        none = np.empty(0, np.int64)
-        return none, none, none
-    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
-    ends = least_here(hashes, doc)
-    starts = np.flatnonzero(new_doc | np.concatenate([[False], ends[:-1]]))  # of lines
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new_line = np.concatenate([[True], line[1:] != line[:-1]])
+    sizes = np.diff(np.append(np.flatnonzero(new_line), len(line)))
+    ends = least_here(hashes, line) & np.repeat(sizes > LONG, sizes)
+    starts = np.flatnonzero(new_line | np.concatenate([[False], ends[:-1]]))  # of lines and their pieces
     nth = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
     powers = np.cumprod(np.full(int(nth.max()) + 1, MIX, np.uint64))
     lines = np.add.reduceat(hashes * powers[nth], starts)
@@ -72,32 +78,62 @@ def chunk_words(hashes: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.nd
         rolled = rolled * MIX + np.where(inside, ahead, np.uint64(0))
     rolled = (rolled ^ rolled >> np.uint64(29)) * MIX
     first = least_here(rolled, of) | np.concatenate([[True], of[1:] != of[:-1]])
-    begin = np.flatnonzero(first)
-    count = np.diff(np.append(begin, len(lines)))
-    word = starts[begin]
-    return word, np.append(word[1:], len(hashes)), count
+    word = starts[np.flatnonzero(first)]
+    return word, np.append(word[1:], len(hashes))
 
 
-def chunks_in(texts: list[bytes], window: int, min_lines: int, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Text, first word, word after the last, and bytes of each chunk that is large enough to tell of a copy."""
-    known = _Hashes()
+def split_lines(text: bytes) -> tuple[list[bytes], list[int]]:
+    """The words of a text, and the number of words of each of its lines that has any."""
     words: list[bytes] = []
     sizes: list[int] = []
-    first = 0
-    for i, text in enumerate(texts):
-        own = text.split()
-        words += own
-        sizes.append(len(own))
-        if len(words) >= GROUP_WORDS or i == len(texts) - 1:
-            hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            begin = np.cumsum([0, *sizes])
-            a, b, lines = chunk_words(hashes, doc, window)
-            kept = (lines >= min_lines) & (b - a >= min_words)
-            of = doc[a[kept]]
-            for d, start, end, shift in zip((of + first).tolist(), a[kept].tolist(), b[kept].tolist(), begin[of].tolist()):
-                yield d, start - shift, end - shift, b" ".join(words[start:end])
-            first, words, sizes = i + 1, [], []
+    for line in text.split(b"\n"):
+        own = line.split()
+        if own:
+            words += own
+            sizes.append(len(own))
+    return words, sizes
+
+
+def chunks_in(texts: list[bytes], window: int) -> tuple[list[list[bytes]], list[tuple[int, int, int]]]:
+    """The words of each text, and text, first word and word after the last of each chunk."""
+    known = _Hashes()
+    words, lines = zip(*map(split_lines, texts)) if texts else ((), ())
+    flat = [w for own in words for w in own]
+    sizes = [len(own) for own in words]
+    hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+    per_line = [n for own in lines for n in own]
+    a, b = chunk_words(hashes, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(per_line)), per_line), window)
+    begin = np.cumsum([0, *sizes])
+    of = np.searchsorted(begin, a, side="right") - 1
+    return list(words), list(zip(of.tolist(), (a - begin[of]).tolist(), (b - begin[of]).tolist()))
+
+
+def common_end(left: list[bytes], right: list[bytes]) -> int:
+    """How many of the last words are equal."""
+    n = 0
+    for x, y in zip(reversed(left), reversed(right)):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def grown(words: list[bytes], start: int, end: int, others: list[bytes], at: int, until: int) -> tuple[int, int]:
+    """The span with the words beside it that are as beside the other, as far as the margin."""
+    left = common_end(words[max(0, start - MARGIN) : start], others[max(0, at - MARGIN) : at])
+    right = common_end(words[end : end + MARGIN][::-1], others[until : until + MARGIN][::-1])
+    return start - left, end + right
+
+
+def runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Spans that touch as one, if it has at least as many words."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return [(a, b) for a, b in out if b - a >= least]
 
 
 def text_mark() -> Column:
@@ -105,42 +141,95 @@ def text_mark() -> Column:
     return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.shiftrightunsigned(F.xxhash64("text"), 32))
 
 
-def repeated_chunks(docs: DataFrame, window: int = 2, min_lines: int = 2, min_words: int = 6) -> DataFrame:
-    """``doc_id``, ``of`` (the text's hash) and ``spans``, the word spans to remove, of each document that loses any."""
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``GROUP_BYTES`` of text at a time."""
+    for batch in batches:
+        first = held = 0
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0)).tolist()
+        for i, size in enumerate(sizes):
+            held += size
+            if held >= GROUP_BYTES or i == len(sizes) - 1:
+                yield batch.slice(first, i + 1 - first)
+                first, held = i + 1, 0
+
+
+PLACE = "key long, doc_id long, of long, start int, end int"
+
+
+def place_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+
+
+def found_in_groups(texts: DataFrame, window: int) -> DataFrame:
+    """Place and ``hash`` of each chunk where it is the first of its group; the other places as ``copy``, grown, each under
+    a number of its own."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, GROUP_TEXTS) for b in batches for at in range(0, b.num_rows, GROUP_TEXTS)):
-            ids, ofs = batch["doc_id"].to_pylist(), batch["of"].to_pylist()
-            least: dict[bytes, tuple] = {}
-            rows, again = [], []
-            for i, start, end, data in chunks_in(utf8(batch["text"]), window, min_lines, min_words):
-                place = (ids[i] is None, ids[i] or 0, ofs[i], start, end, i)
-                other = least.get(data)
-                if other is None or place < other:
-                    least[data] = place
-                    place = other
-                if place is not None and place[:5] != least[data][:5]:
-                    again.append(place)
-            rows = list(least.items())
-            # no text holds the byte ff: places that are known to be copies travel under a number, without their bytes
-            rows += [(b"\xff%d" % n, p) for n, p in enumerate(again)]
-            which = pa.array([p[5] for _, p in rows], pa.int64())
-            # one number for a span: where it starts, and in the last 28 bits how many words it has
-            spans = pa.array([p[3] << 28 | p[4] - p[3] for _, p in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(which), batch["of"].take(which), spans, pa.array([d for d, _ in rows], pa.binary())],
-                ["doc_id", "of", "span", "bytes"],
-            )
-
-    places = docs.select("doc_id", "text", text_mark().alias("of")).mapInArrow(chunks, "doc_id long, of long, span long, bytes binary")
-    copy = F.substring("bytes", 1, 1) == F.lit(b"\xff")
-    # equal rows share a place, so the first is told by its place and not by a row number
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of", "span")
-    found = places.withColumn("first", F.min(order).over(Window.partitionBy("bytes"))).filter(copy | (order != F.col("first")))
-    start = F.shiftright("span", 28)
-    return found.groupBy("doc_id", "of").agg(
-        F.collect_set(F.struct(start.alias("start"), (start + F.col("span").bitwiseAND((1 << 28) - 1)).alias("end"))).alias("spans")
+        for batch in groups(batches):
+            marks = list(zip(batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["of"].to_pylist()))
+            words, places = chunks_in(utf8(batch["text"]), window)
+            order = [(i is None, i or 0, of) for _, i, of in marks]
+            least: dict[bytes, tuple[int, int, int]] = {}
+            data = [b" ".join(words[t][a:b]) for t, a, b in places]
+            for bytes_, (t, a, b) in zip(data, places):
+                other = least.get(bytes_)
+                if other is None or (order[t], a) < (order[other[0]], other[1]):
+                    least[bytes_] = (t, a, b)
+            rows = [(*marks[t], a, b, xxhash.xxh64_intdigest(d, SEED) - (1 << 63), False) for d, (t, a, b) in least.items()]
+            for bytes_, (t, a, b) in zip(data, places):
+                s, c, d = least[bytes_]
+                if (order[t], a) != (order[s], c):
+                    number = xxhash.xxh64_intdigest(b"%d %d" % (marks[t][0], a)) - (1 << 63)
+                    rows.append((*marks[t], *grown(words[t], a, b, words[s], c, d), number, True))
+            yield place_batch(rows, ["key", "doc_id", "of", "start", "end", "hash", "copy"], kinds)
+
+    return texts.mapInArrow(chunks, f"{PLACE}, hash long, copy boolean")
+
+
+def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
+    """Places of all copies, grown to their ends, from ``texts`` (``row``, ``key``, ``doc_id``, ``of``, ``text``)."""
+    places = found_in_groups(texts.select("key", "doc_id", "of", "text"), window)
+    here = F.struct(F.col("doc_id").isNull(), "doc_id", "of", "start")
+    of_hash = Window.partitionBy("hash")
+    several = (
+        places.withColumn("low", F.min(here).over(of_hash)).withColumn("high", F.max(here).over(of_hash))
+        .filter(F.col("copy") | (F.col("low") != F.col("high")))
     )
+    asked = several.repartition("key").groupBy("key").agg(F.collect_set(F.struct("doc_id", "of", "start", "end", "hash", "copy")).alias("asked"))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["key", "doc_id", "of", "start", "end", "hash", "copy", "bytes", "before", "after"]
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches):
+            rows = []
+            columns = zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "of", "asked")), utf8(batch["text"]))
+            for key, doc_id, of, asked, text in columns:
+                words = text.split()
+                for x in asked:
+                    if (x["doc_id"], x["of"]) == (doc_id, of):
+                        a, b = x["start"], x["end"]
+                        told = (b"", b"", b"")
+                        if not x["copy"]:
+                            told = (b" ".join(w) for w in (words[a:b], words[max(0, a - MARGIN) : a], words[b : b + MARGIN]))
+                        rows.append((key, doc_id, of, a, b, x["hash"], x["copy"], *told))
+            yield place_batch(rows, names, kinds)
+
+    # all columns go along, so that this join and the last one share the shuffle of the texts
+    told = texts.join(asked, "key").mapInArrow(fetch, f"{PLACE}, hash long, copy boolean, bytes binary, before binary, after binary")
+    equal = Window.partitionBy("hash", "bytes").orderBy(here)
+    first = told.withColumns({"at": F.first(here).over(equal), "left": F.first("before").over(equal), "right": F.first("after").over(equal)})
+    copies = first.filter(F.col("copy") | (here != F.col("at"))).select("key", "doc_id", "of", "start", "end", "before", "after", "left", "right")
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, doc_id, of, a, b, *beside in zip(*(c.to_pylist() for c in batch.columns)):
+                before, after, left, right = (x.split() for x in beside)
+                rows.append((key, doc_id, of, a - common_end(before, left), b + common_end(after[::-1], right[::-1])))
+            yield place_batch(rows, names[:5], kinds[:5])
+
+    return copies.mapInArrow(grow, PLACE)
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -159,24 +248,26 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def without_repeated_lines(docs: DataFrame, window: int = 2, min_lines: int = 2, min_words: int = 6) -> DataFrame:
-    """All documents, with their columns, without the repeated chunks."""
+def without_repeated_lines(docs: DataFrame, window: int = 2, min_words: int = 20) -> DataFrame:
+    """All documents, with their columns, without the repeated passages of ``min_words`` words or more."""
     ready(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
         F.struct(*[named(docs, c).alias(c) for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    spans = repeated_chunks(rows.select("doc_id", "text"), window, min_lines, min_words).alias("s")
-    marked = rows.withColumn("of", text_mark()).alias("d")
-    same = F.col("d.of").eqNullSafe(F.col("s.of")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-    joined = marked.join(spans, same, "left").select("row", "text", "spans")
+    marked = rows.withColumn("of", text_mark()).withColumn("key", F.xxhash64("doc_id", "of"))
+    spans = repeated_spans(marked, window).repartition("key").groupBy("key").agg(
+        F.collect_set(F.struct("doc_id", "of", "start", "end")).alias("spans")
+    )
+    joined = marked.join(spans, "key", "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch["spans"].to_pylist()
-            texts = utf8(batch["text"])
-            new = [t if not s else without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)]
+        for batch in groups(batches):
+            new = []
+            for doc_id, of, spans, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "of", "spans")), utf8(batch["text"])):
+                mine = [(x["start"], x["end"]) for x in spans or () if (x["doc_id"], x["of"]) == (doc_id, of)]
+                new.append(without_spans(text, runs(mine, min_words)))
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(new, pa.binary()).cast(pa.string())], ["row", "text"])
 
     new = joined.mapInArrow(rewrite, StructType().add("row", joined.schema["row"].dataType).add("text", StringType()))

@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 
-KEPT_WORDS = 1_000_000  # about 200 MB; beyond it a worker starts over with an empty memory
+KEPT_WORDS = 250_000  # about 55 MB; beyond it a worker starts over with an empty memory
 CHUNK_WORDS = 300_000
 
 
