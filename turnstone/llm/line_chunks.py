@@ -6,14 +6,13 @@ hash of its words; rolling hashes over ``window`` line hashes choose the chunk b
 neighbours. Text before or after a passage moves no boundary inside it, and two boundaries are never next to each
 other, so every inner chunk has several lines.
 
-A chunk that stands more than once in the corpus is a copy in all places but the first: the smallest ``doc_id`` (nulls last),
-then text hash, then place. Copies grow to both sides while the words beside them equal those beside the first, by at most
-``MARGIN`` words, so a passage goes with its ends; copies that touch become one run, and runs of ``min_words`` words or more
-are removed. A shorter run, a common phrase, stays.
+A chunk of ``SEED_WORDS`` words or more that stands more than once in the corpus is a copy in all places but the first: the
+smallest ``doc_id`` (nulls last), then text hash, then place. Copies grow to each side on which no other copy follows, while the
+words there equal those beside the first, by at most ``MARGIN`` words, so a passage goes with its ends and its short chunks;
+copies that touch become one run, and runs of ``min_words`` words or more are removed. A shorter run, a common phrase, stays.
 
-Equal chunks of a group of documents meet in the task that reads them. Between groups only 64-bit hashes and places travel;
-texts are asked for the bytes of chunks whose hash stands in several groups, and bytes decide. A passage that a third of all
-documents hold so costs a row for each group, and no bytes of other chunks leave their document.
+Only 64-bit hashes and places are shuffled for all chunks; texts are then asked for the bytes of those whose hash stands in
+several places, and bytes decide. The least place of a hash is a window over rows of four numbers.
 
 A null text is empty. An emptied document stays, with an empty text. Rows with equal id and text are one document:
 they share their places and come out alike, each of them. Columns keep their names and order; ``text`` and ``n_chars`` (if
@@ -39,7 +38,8 @@ SEED = 11
 MIX = np.uint64(0x9E3779B97F4A7C15)
 GROUP_BYTES = 4 << 20  # of texts whose equal chunks meet in a task
 LONG = 8
-MARGIN = 24
+MARGIN = 32
+SEED_WORDS = 6  # shorter chunks are found as what lies beside others
 _WORD = re.compile(rb"\S+")
 
 
@@ -95,7 +95,7 @@ def split_lines(text: bytes) -> tuple[list[bytes], list[int]]:
 
 
 def chunks_in(texts: list[bytes], window: int) -> tuple[list[list[bytes]], list[tuple[int, int, int]]]:
-    """The words of each text, and text, first word and word after the last of each chunk."""
+    """The words of each text, and text, first word and word after the last of each chunk that may be a copy."""
     known = _Hashes()
     words, lines = zip(*map(split_lines, texts)) if texts else ((), ())
     flat = [w for own in words for w in own]
@@ -104,6 +104,8 @@ def chunks_in(texts: list[bytes], window: int) -> tuple[list[list[bytes]], list[
     per_line = [n for own in lines for n in own]
     a, b = chunk_words(hashes, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(per_line)), per_line), window)
     begin = np.cumsum([0, *sizes])
+    large = b - a >= SEED_WORDS
+    a, b = a[large], b[large]
     of = np.searchsorted(begin, a, side="right") - 1
     return list(words), list(zip(of.tolist(), (a - begin[of]).tolist(), (b - begin[of]).tolist()))
 
@@ -118,13 +120,6 @@ def common_end(left: list[bytes], right: list[bytes]) -> int:
     return n
 
 
-def grown(words: list[bytes], start: int, end: int, others: list[bytes], at: int, until: int) -> tuple[int, int]:
-    """The span with the words beside it that are as beside the other, as far as the margin."""
-    left = common_end(words[max(0, start - MARGIN) : start], others[max(0, at - MARGIN) : at])
-    right = common_end(words[end : end + MARGIN][::-1], others[until : until + MARGIN][::-1])
-    return start - left, end + right
-
-
 def runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """Spans that touch as one, if it has at least as many words."""
     out: list[list[int]] = []
@@ -153,83 +148,78 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, held = i + 1, 0
 
 
-PLACE = "key long, doc_id long, of long, start int, end int"
+def place_batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
 
-def place_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+# a span is one number: its first word, and in the last 28 bits how many words it has
+PLACE = {"doc_id": pa.int64(), "of": pa.int64(), "span": pa.int64()}
+PLACED = "doc_id long, of long, span long"
+WORDS = (1 << 28) - 1
 
 
 def found_in_groups(texts: DataFrame, window: int) -> DataFrame:
-    """Place and ``hash`` of each chunk where it is the first of its group; the other places as ``copy``, grown, each under
-    a number of its own."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+    """Place and ``hash`` of each chunk that may be a copy."""
+    kinds = PLACE | {"hash": pa.int64()}
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches):
-            marks = list(zip(batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["of"].to_pylist()))
             words, places = chunks_in(utf8(batch["text"]), window)
-            order = [(i is None, i or 0, of) for _, i, of in marks]
-            least: dict[bytes, tuple[int, int, int]] = {}
-            data = [b" ".join(words[t][a:b]) for t, a, b in places]
-            for bytes_, (t, a, b) in zip(data, places):
-                other = least.get(bytes_)
-                if other is None or (order[t], a) < (order[other[0]], other[1]):
-                    least[bytes_] = (t, a, b)
-            rows = [(*marks[t], a, b, xxhash.xxh64_intdigest(d, SEED) - (1 << 63), False) for d, (t, a, b) in least.items()]
-            for bytes_, (t, a, b) in zip(data, places):
-                s, c, d = least[bytes_]
-                if (order[t], a) != (order[s], c):
-                    number = xxhash.xxh64_intdigest(b"%d %d" % (marks[t][0], a)) - (1 << 63)
-                    rows.append((*marks[t], *grown(words[t], a, b, words[s], c, d), number, True))
-            yield place_batch(rows, ["key", "doc_id", "of", "start", "end", "hash", "copy"], kinds)
-
-    return texts.mapInArrow(chunks, f"{PLACE}, hash long, copy boolean")
+            which = pa.array([t for t, _, _ in places], pa.int64())
+            hashes = [xxhash.xxh64_intdigest(b" ".join(words[t][a:b]), SEED) - (1 << 63) for t, a, b in places]
+            spans = pa.array([a << 28 | b - a for _, a, b in places], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(which), batch["of"].take(which), spans, pa.array(hashes, pa.int64())], list(kinds))
+
+    return texts.mapInArrow(chunks, f"{PLACED}, hash long")
+
+
+def doc_key() -> Column:
+    """One number to join texts and places by; both compare id and text mark after that."""
+    return F.xxhash64("doc_id", "of")
 
 
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     """Places of all copies, grown to their ends, from ``texts`` (``row``, ``key``, ``doc_id``, ``of``, ``text``)."""
-    places = found_in_groups(texts.select("key", "doc_id", "of", "text"), window)
-    here = F.struct(F.col("doc_id").isNull(), "doc_id", "of", "start")
+    places = found_in_groups(texts.select("doc_id", "of", "text"), window)
+    here = F.struct(F.col("doc_id").isNull(), "doc_id", "of", "span")
     of_hash = Window.partitionBy("hash")
-    several = (
-        places.withColumn("low", F.min(here).over(of_hash)).withColumn("high", F.max(here).over(of_hash))
-        .filter(F.col("copy") | (F.col("low") != F.col("high")))
-    )
-    asked = several.repartition("key").groupBy("key").agg(F.collect_set(F.struct("doc_id", "of", "start", "end", "hash", "copy")).alias("asked"))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["key", "doc_id", "of", "start", "end", "hash", "copy", "bytes", "before", "after"]
+    several = places.withColumn("low", F.min(here).over(of_hash)).withColumn("high", F.max(here).over(of_hash)).filter("low <> high")
+    asked = several.select(doc_key().alias("key"), F.struct("doc_id", "of", "span", "hash", (here == F.col("low")).alias("first")).alias("place"))
+    asked = asked.repartition("key").groupBy("key").agg(F.collect_set("place").alias("asked"))
+    kinds = PLACE | {"hash": pa.int64(), "bytes": pa.binary(), "before": pa.binary(), "after": pa.binary()}
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches):
             rows = []
-            columns = zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "of", "asked")), utf8(batch["text"]))
-            for key, doc_id, of, asked, text in columns:
+            columns = zip(*(batch[c].to_pylist() for c in ("doc_id", "of", "asked")), utf8(batch["text"]))
+            for doc_id, of, asked, text in columns:
                 words = text.split()
-                for x in asked:
-                    if (x["doc_id"], x["of"]) == (doc_id, of):
-                        a, b = x["start"], x["end"]
-                        told = (b"", b"", b"")
-                        if not x["copy"]:
-                            told = (b" ".join(w) for w in (words[a:b], words[max(0, a - MARGIN) : a], words[b : b + MARGIN]))
-                        rows.append((key, doc_id, of, a, b, x["hash"], x["copy"], *told))
-            yield place_batch(rows, names, kinds)
+                mine = [(x["span"] >> 28, (x["span"] >> 28) + (x["span"] & WORDS), x) for x in asked if (x["doc_id"], x["of"]) == (doc_id, of)]
+                starts, ends = {a for a, _, _ in mine}, {b for _, b, _ in mine}
+                for a, b, x in mine:
+                    # a side with another candidate tells nothing, unless others compare themselves with this one
+                    before = words[max(0, a - MARGIN) : a] if x["first"] or a not in ends else ()
+                    after = words[b : b + MARGIN] if x["first"] or b not in starts else ()
+                    rows.append((doc_id, of, x["span"], x["hash"], *(b" ".join(w) for w in (words[a:b], before, after))))
+            yield place_batch(rows, kinds)
 
     # all columns go along, so that this join and the last one share the shuffle of the texts
-    told = texts.join(asked, "key").mapInArrow(fetch, f"{PLACE}, hash long, copy boolean, bytes binary, before binary, after binary")
+    told = texts.join(asked, "key").mapInArrow(fetch, f"{PLACED}, hash long, bytes binary, before binary, after binary")
     equal = Window.partitionBy("hash", "bytes").orderBy(here)
     first = told.withColumns({"at": F.first(here).over(equal), "left": F.first("before").over(equal), "right": F.first("after").over(equal)})
-    copies = first.filter(F.col("copy") | (here != F.col("at"))).select("key", "doc_id", "of", "start", "end", "before", "after", "left", "right")
+    copies = first.filter(here != F.col("at")).select("doc_id", "of", "span", "before", "after", "left", "right")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, doc_id, of, a, b, *beside in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, of, span, *beside in zip(*(c.to_pylist() for c in batch.columns)):
                 before, after, left, right = (x.split() for x in beside)
-                rows.append((key, doc_id, of, a - common_end(before, left), b + common_end(after[::-1], right[::-1])))
-            yield place_batch(rows, names[:5], kinds[:5])
+                low, high = common_end(before, left), common_end(after[::-1], right[::-1])
+                rows.append((doc_id, of, (span >> 28) - low << 28 | (span & WORDS) + low + high))
+            yield place_batch(rows, PLACE)
 
-    return copies.mapInArrow(grow, PLACE)
+    return copies.mapInArrow(grow, PLACED)
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -256,9 +246,9 @@ def without_repeated_lines(docs: DataFrame, window: int = 2, min_words: int = 20
         F.struct(*[named(docs, c).alias(c) for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    marked = rows.withColumn("of", text_mark()).withColumn("key", F.xxhash64("doc_id", "of"))
-    spans = repeated_spans(marked, window).repartition("key").groupBy("key").agg(
-        F.collect_set(F.struct("doc_id", "of", "start", "end")).alias("spans")
+    marked = rows.withColumn("of", text_mark()).withColumn("key", doc_key())
+    spans = repeated_spans(marked, window).withColumn("key", doc_key()).repartition("key").groupBy("key").agg(
+        F.collect_set(F.struct("doc_id", "of", "span")).alias("spans")
     )
     joined = marked.join(spans, "key", "left")
 
@@ -266,7 +256,7 @@ def without_repeated_lines(docs: DataFrame, window: int = 2, min_words: int = 20
         for batch in groups(batches):
             new = []
             for doc_id, of, spans, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "of", "spans")), utf8(batch["text"])):
-                mine = [(x["start"], x["end"]) for x in spans or () if (x["doc_id"], x["of"]) == (doc_id, of)]
+                mine = [(x["span"] >> 28, (x["span"] >> 28) + (x["span"] & WORDS)) for x in spans or () if (x["doc_id"], x["of"]) == (doc_id, of)]
                 new.append(without_spans(text, runs(mine, min_words)))
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(new, pa.binary()).cast(pa.string())], ["row", "text"])
 
