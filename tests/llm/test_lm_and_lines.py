@@ -97,9 +97,9 @@ def brute(rows):
         for p in copies:
             words, a, b = p[2].encode().split(), p[3], p[4]
             low, high = 0, 0
-            while low < 32 and (*p[:3], a) not in ends and a - low > 0 and first[3] - low > 0 and words[a - low - 1] == others[first[3] - low - 1]:
+            while low < 32 and not {(*p[:3], a), (*first[:3], first[3])} & ends and a - low > 0 and first[3] - low > 0 and words[a - low - 1] == others[first[3] - low - 1]:
                 low += 1
-            while high < 32 and (*p[:3], b) not in starts and b + high < len(words) and first[4] + high < len(others) and words[b + high] == others[first[4] + high]:
+            while high < 32 and not {(*p[:3], b), (*first[:3], first[4])} & starts and b + high < len(words) and first[4] + high < len(others) and words[b + high] == others[first[4] + high]:
                 high += 1
             gone[p[:3]].update(range(a - low, b + high))
     out = []
@@ -129,7 +129,8 @@ def test_repeated_passages_go_and_the_first_stays(corpus, prose, frame):
     assert found == sorted(brute(rows), key=str)
     texts = dict(found)
     for k in (301, 302, 303, 304, 305, 402):
-        assert not five(passage) & five(texts[k])
+        # a chunk at the passage's edge may be one only here and in a later text, and stays where it is first
+        assert len(five(passage) & five(texts[k])) <= 2
     assert five(passage) <= five(texts[300]) and texts[401] == dict(rows)[401] and texts[400] == ""
     assert without_repeated_lines(frame(rows).limit(0)).count() == 0
 

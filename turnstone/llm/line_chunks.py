@@ -7,9 +7,10 @@ neighbours. Text before or after a passage moves no boundary inside it, and two
 other, so every inner chunk has several lines.
 
 A chunk of ``SEED_WORDS`` words or more that stands more than once in the corpus is a copy in all places but the first: the
-smallest ``doc_id`` (nulls last), then text hash, then place. Copies grow to each side on which no other copy follows, while the
-words there equal those beside the first, by at most ``MARGIN`` words, so a passage goes with its ends and its short chunks;
-copies that touch become one run, and runs of ``min_words`` words or more are removed. A shorter run, a common phrase, stays.
+smallest ``doc_id`` (nulls last), then text hash, then place. Copies grow to each side on which neither they nor the first
+have another repeated chunk, while the words there are equal, by at most ``MARGIN`` words, so a passage goes with its ends and
+short chunks; copies that touch become one run, and runs of ``min_words`` words or more are removed. A shorter run, a common
+phrase, stays.
 
 Only 64-bit hashes and places are shuffled for all chunks; texts are then asked for the bytes of those whose hash stands in
 several places, and bytes decide. The least place of a hash is a window over rows of four numbers.
@@ -185,7 +186,7 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     here = F.struct(F.col("doc_id").isNull(), "doc_id", "of", "span")
     of_hash = Window.partitionBy("hash")
     several = places.withColumn("low", F.min(here).over(of_hash)).withColumn("high", F.max(here).over(of_hash)).filter("low <> high")
-    asked = several.select(doc_key().alias("key"), F.struct("doc_id", "of", "span", "hash", (here == F.col("low")).alias("first")).alias("place"))
+    asked = several.select(doc_key().alias("key"), F.struct("doc_id", "of", "span", "hash").alias("place"))
     asked = asked.repartition("key").groupBy("key").agg(F.collect_set("place").alias("asked"))
     kinds = PLACE | {"hash": pa.int64(), "bytes": pa.binary(), "before": pa.binary(), "after": pa.binary()}
 
@@ -198,9 +199,8 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
                 mine = [(x["span"] >> 28, (x["span"] >> 28) + (x["span"] & WORDS), x) for x in asked if (x["doc_id"], x["of"]) == (doc_id, of)]
                 starts, ends = {a for a, _, _ in mine}, {b for _, b, _ in mine}
                 for a, b, x in mine:
-                    # a side with another candidate tells nothing, unless others compare themselves with this one
-                    before = words[max(0, a - MARGIN) : a] if x["first"] or a not in ends else ()
-                    after = words[b : b + MARGIN] if x["first"] or b not in starts else ()
+                    before = words[max(0, a - MARGIN) : a] if a not in ends else ()
+                    after = words[b : b + MARGIN] if b not in starts else ()
                     rows.append((doc_id, of, x["span"], x["hash"], *(b" ".join(w) for w in (words[a:b], before, after))))
             yield place_batch(rows, kinds)
 
