@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from turnstone.llm.components import components
-from turnstone.llm.fingerprints import fingerprint_documents
+from turnstone.llm.fingerprints import fingerprint, fingerprint_documents, neighbours
 from turnstone.llm.near_copies import without_near_copies
 from turnstone.llm.simhash_tree import fingerprints, links, near_duplicates
 
@@ -99,6 +99,31 @@ def test_edits_as_brute_force(corpus, frame):
     assert fingerprint_documents(frame(corpus[:1])).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("most", [4, 40])
+def test_crowded_buckets_count_every_neighbour_once(spark, most):
+    rng = np.random.default_rng(9)
+    # many that agree in all but a few bits, so that buckets and their sub-buckets are both crowded
+    points = {0x5A5A << 40 | int(low) for low in rng.integers(0, 1 << 10, 150)}
+    points |= {0x5A5A << 40 | 1 << int(b) for b in range(64)} | {int(x) for x in rng.integers(0, 1 << 63, 100)}
+    points |= {x ^ 1 << 63 for x in list(points)[:20]}
+    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in sorted(points)] * 2, "fp long").repartition(3)
+    got = {r.fp % (1 << 64): r.n_near for r in neighbours(frame, 3, most).collect()}
+    near = {p: sum(0 < (p ^ q).bit_count() <= 3 for q in points) for p in points}
+    assert got == {p: n for p, n in near.items() if n}
+
+
+def test_weighted_votes_as_counted_one_by_one(prose):
+    for text in ["", "one", "a b", prose.text(80), "x y " * 50 + prose.text(30), "a b c " * 9]:
+        got, terms = fingerprint(text), plain_terms(text)
+        weights = {h: 1 + int(np.floor(np.log2(terms.count(h)))) for h in terms}
+        assert got == sum(1 << b for b in range(64) if 2 * sum(w for h, w in weights.items() if h >> b & 1) > sum(weights.values()))
+
+
+def plain_terms(text, size=2):
+    w = text.encode().lower().split()
+    return [xxhash.xxh64_intdigest(b" ".join(w[i : i + size]), 42) for i in range(max(1, len(w) - size + 1))] if w else []
+
+
 def test_one_of_each_group_of_near_copies_stays(corpus, frame):
     sets = []
     for _, t in corpus:

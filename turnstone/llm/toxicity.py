@@ -1,15 +1,15 @@
 """Toxicity: a weighted lexicon, found by Aho-Corasick in the folded text, normalised by length, with exception phrases.
 
-Folding lowers case, drops accents, maps letters that look like Latin ones and digits or signs that stand for letters, and
-leaves words of a-z. A term is a whole word or the start of words; its weight is the log odds of documents that have it.
+Folding lowers case, drops accents and invisible signs, maps letters that look like Latin ones and digits or signs that stand
+for letters, and leaves words of letters of any script; Chinese and Japanese signs are words of their own. A term is a whole word or the start of words; its weight is the log odds of documents that have it.
 An exception phrase is a term with a neighbour that only clean documents hold; a term inside one counts nothing. A text's
 raw score is the sum of the best weight of each word over the square root of its length; a logistic curve maps it to 0..1.
 
 Lexicon, phrases and curve are learned from at most ``sample_rows`` labelled rows, taken by a hash of the id; every
-document is scored whole. The model is at most ``max_terms`` terms and as many phrases, so it fits any task.
+document is scored whole, in time linear in its length but for the sorting of its exceptions. The model is at most ``max_terms`` terms and as many phrases, so it fits any task.
 
 A null text is empty and gets the score of a text without terms; so does every text if no row is labelled. Equal
-texts get equal scores. Labels with a null id or verdict are not used. Other columns are not read.
+texts get equal scores. Equal hashes of labelled ids are taken by id, equal evidence of terms by term. Labels with a null id or verdict are not used. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -39,20 +40,26 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _TABLE = bytes(
     ord(DIGITS.get(chr(b), chr(b) if "a" <= chr(b) <= "z" else " ")) if b < 128 else ord(" ") for b in range(256)
 )
+_DIGIT_LETTERS = str.maketrans(DIGITS)
 _SIGN_INSIDE = re.compile(r"(?<=[a-z0-9])[!+|](?=[a-z0-9])|[@$](?=[a-z0-9])")
+_DROPPED = regex.compile(r"[\u0300-\u036F\p{Cf}]+")
+_NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+_SIGN_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]\p{M}*")
 PREFIXES = range(4, 9)
 
 
 def folded(text: str) -> str:
-    """Words of a-z, each with one blank before it, and one at the end."""
+    """Words of letters, each with one blank or more before it, and one at the end."""
     text = text.lower()
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(HOMOGLYPHS))
-        text = "".join(text.split("̀")) if False else text
-    data = text.encode("ascii", "ignore") if not text.isascii() else text.encode()
-    if any(sign in data for sign in b"@$!+|"):
-        data = _SIGN_INSIDE.sub(lambda m: SIGNS[m[0]], data.decode()).encode()
-    return f" {data.translate(_TABLE).decode()} "
+    plain = text.isascii()
+    if not plain:
+        text = _DROPPED.sub("", unicodedata.normalize("NFKD", text.translate(HOMOGLYPHS)))
+    if any(sign in text for sign in SIGNS):
+        text = _SIGN_INSIDE.sub(lambda m: SIGNS[m[0]], text)
+    if plain:
+        return f" {text.encode().translate(_TABLE).decode()} "
+    text = _NO_LETTER.sub(" ", text.translate(_DIGIT_LETTERS))
+    return f" {_SIGN_WORD.sub(' \\g<0> ', text)} "
 
 
 def words_in(text: str) -> list[str]:
@@ -98,9 +105,18 @@ def hits(machine: ahocorasick.Automaton | None, words: list[str]) -> dict[int, f
             spared.append((start, end))
         else:
             best[start] = max(weight, best.get(start, weight))
-    for start, end in spared:
-        best = {at: w for at, w in best.items() if not start <= at < end}
-    return best
+    if not spared:
+        return best
+    # one sweep over places and phrases, both in order; ``reach`` is how far the phrases begun so far go
+    spared.sort()
+    kept, reach, nth = {}, 0, 0
+    for at in sorted(best):
+        while nth < len(spared) and spared[nth][0] <= at:
+            reach = max(reach, spared[nth][1])
+            nth += 1
+        if at >= reach:
+            kept[at] = best[at]
+    return kept
 
 
 def raw_score(machine: ahocorasick.Automaton | None, words: list[str]) -> float:
