@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from turnstone.llm.packing import best_fit, complete, lower_bound, pack
+from turnstone.llm.packing import best_fit, complete, dominated, fillings, lower_bound, pack
 from turnstone.llm.range_coder import decode, encode
 from turnstone.llm.token_store import decoded, read_tokens, write_tokens
 from turnstone.llm.tokens import WordTokenizer, public_tokenizer, tokenizer
@@ -89,6 +89,45 @@ def test_bin_completion_beats_best_fit():
     assert sum(t for _, t in complete(counts)) == 3
 
 
+@given(st.lists(st.integers(1, 12), max_size=7), st.integers(1, 20))
+def test_fillings_are_all_there_least_waste_first(lengths, room):
+    counts = np.bincount(np.array(lengths, int), minlength=room + 1)
+    got = list(fillings(counts, room))
+    every = {()}
+    for x in lengths:
+        every |= {tuple(sorted([*f, x])) for f in every}
+    # by brute force over subsets: each multiset that fits, once
+    fit = {tuple(sorted(Counter(f).items(), reverse=True)) for f in every if sum(f) <= room}
+    assert sorted(f for f, _ in got) == sorted(fit)
+    assert all(w == room - sum(x * n for x, n in f) for f, w in got) and [w for _, w in got] == sorted(w for _, w in got)
+    for filling, waste in got:
+        left = Counter(lengths)
+        left.subtract(dict(filling))
+        left = +left
+        longer = any(y <= waste for y in left) or any(x < y <= x + waste for x, _ in filling for y in left)
+        assert dominated(np.array([left.get(x, 0) for x in range(len(counts))]), filling, waste) == longer
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_planted_triples_are_found(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(2049, np.int64)
+    for _ in range(300):  # no two of three pieces leave room that a fourth could use
+        a = int(rng.integers(780, 1024))
+        b = int(rng.integers(512, (2048 - a) // 2 + 1))
+        for x in (a, b, 2048 - a - b):
+            counts[x] += 1
+    assert sum(t for _, t in best_fit(counts)) > 330
+    plan = complete(counts)
+    assert 300 <= sum(t for _, t in plan) <= 303
+    used = np.zeros_like(counts)
+    for filling, times in plan:
+        assert sum(x * n for x, n in filling) <= 2048
+        for x, n in filling:
+            used[x] += n * times
+    assert (used == counts).all()
+
+
 def test_pack_as_told(corpus, frame):
     got = pack(frame(corpus), PATH, capacity=64, end_id=0).collect()
     by = Counter((r.doc_id, r.piece) for r in got)

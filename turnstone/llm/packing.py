@@ -2,10 +2,12 @@
 
 Documents are cut into pieces of at most ``capacity`` ids, so there are at most ``capacity`` different lengths; packing
 only needs how many pieces have each. The search works on those counts. It takes the longest piece left and enumerates the
-fillings of the room beside it that no other filling dominates (none can be made longer by swapping a piece for a larger
-one that is left, nor by adding one), least waste first; a filling is laid as often as its counts allow. The best-fit
-solution is the first incumbent; a branch whose waste already rules out fewer sequences than the incumbent's is
-pruned, and the search ends when the incumbent meets the lower bound or ``nodes`` branches were tried.
+fillings of the room beside it, least waste first, from the sums that the pieces left can reach, so no length is passed over.
+A filling that another dominates (it can be made longer by swapping a piece for a larger one that is left, or by adding
+one) is not tried; one that is tried is laid as often as its counts allow. The best-fit solution is the first incumbent; a branch
+whose waste already rules out fewer sequences than the incumbent's is pruned. The search ends when the incumbent meets the
+lower bound, when nothing is left to try, or after half of ``nodes`` fillings; the other half goes to searches of the same kind over
+the worst filled sequences and ``WINDOW`` others at a time. The problem is NP-hard, and this budget is its only limit.
 
 The driver holds counts by length, at most ``capacity`` of them, and fillings, at most one for each length they use up.
 Pieces stay distributed: each gets its rank among those of its length from partial counts, and the rank names its
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.common import texts_of, written
 from turnstone.llm.tokens import tokenizer
 
+WINDOW = 24
 Filling = tuple[tuple[int, int], ...]  # lengths and how often, longest first
 
 
@@ -47,48 +50,42 @@ def lower_bound(counts: np.ndarray) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int, wanted: int, tries: int = 400) -> list[Filling]:
-    """Undominated fillings of the room, least waste first, those with larger pieces first among equals."""
-    have = np.flatnonzero(counts[: room + 1])[::-1]
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    smallest = int(have[-1])
-    ascending = have[::-1]
-    found: dict[Filling, int] = {}
-    left = tries
-
-    def extend(chosen: list[tuple[int, int]], rest: int, below: int) -> bool:
-        """True once enough perfect fillings are known."""
-        nonlocal left
-        at = int(np.searchsorted(ascending, min(rest, below - 1), side="right"))
-        if rest < smallest or at == 0:
-            found[tuple(chosen)] = rest
-            return sum(1 for w in found.values() if w == 0) >= wanted
-        for i in range(at - 1, max(-1, at - 9), -1):
-            left -= 1
-            if left < 0 and found:
-                return True
-            length = int(ascending[i])
-            most = min(rest // length, int(counts[length]))
-            for times in range(most, 0, -1):
-                if extend([*chosen, (length, times)], rest - length * times, length):
-                    return True
-                if i == at - 1 and times == most and rest - length * times == 0:
-                    break
-        return False
-
-    extend([], room, room + 1)
-    # a single piece that fills the room best is the best-fit choice
-    best = int(have[0])
-    found.setdefault(((best, 1),), room - best)
-    def undominated(filling: Filling, waste: int) -> bool:
-        used = dict(filling)
-        if any(counts[x] > used.get(int(x), 0) for x in have if x <= waste):
-            return False
-        return True
-    kept = [f for f, w in found.items() if undominated(f, w)] or list(found)
-    return sorted(kept, key=lambda f: (found[f], [-x for x, _ in f]))[:wanted]
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[Filling, int]]:
+    """All fillings of the room with what each wastes: least waste first, those with larger pieces first among equals."""
+    have = [int(x) for x in np.flatnonzero(counts[: room + 1]) if x]
+    most = [int(counts[x]) for x in have]
+    # bit s of reach[i]: some pieces of the first i lengths have the sum s
+    reach, whole = [1], (1 << room + 1) - 1
+    for x, n in zip(have, most):
+        now, left, step = reach[-1], min(n, room // x), 1
+        while left:
+            take = min(step, left)
+            now |= now << x * take & whole
+            left -= take
+            step *= 2
+        reach.append(now)
+
+    def with_sum(i: int, target: int) -> Iterator[Filling]:
+        if not target:
+            yield ()
+            return
+        for j in range(i, 0, -1):
+            if not reach[j] >> target & 1:
+                return
+            x = have[j - 1]
+            for times in range(min(most[j - 1], target // x), 0, -1):
+                if reach[j - 1] >> target - x * times & 1:
+                    for others in with_sum(j - 1, target - x * times):
+                        yield ((x, times), *others)
+
+    for waste in range(room + 1):
+        for filling in with_sum(len(have), room - waste):
+            yield filling, waste
+
+
+def dominated(left: np.ndarray, filling: Filling, waste: int) -> bool:
+    """Whether a piece left fits beside the filling, or in the place of a smaller one of it."""
+    return bool(waste) and any(left[x + 1 : x + waste + 1].any() for x in (0, *(x for x, _ in filling)))
 
 
 def lay(counts: np.ndarray, longest: int, filling: Filling) -> int:
@@ -121,40 +118,79 @@ def best_fit(counts: np.ndarray) -> list[tuple[Filling, int]]:
     return out
 
 
-def complete(counts: np.ndarray, nodes: int = 4_000, width: int = 3) -> list[tuple[Filling, int]]:
-    """Fillings and how often to lay each: all pieces of ``counts`` (by length), in as few sequences as found."""
+def search(counts: np.ndarray, nodes: int) -> tuple[list[tuple[Filling, int]], int]:
+    """The best solution found, and how many of the nodes are left."""
     capacity = len(counts) - 1
     bound, total = lower_bound(counts), int((counts * np.arange(len(counts))).sum())
     incumbent = best_fit(counts)
     fewest = sum(t for _, t in incumbent)
-    # depth first: counts left, waste so far, what was laid
-    stack: list[tuple[np.ndarray, int, tuple | None, int]] = [(counts, 0, None, 0)]
-    while stack and nodes > 0 and fewest > bound:
-        now, waste, laid, used = stack.pop()
-        nodes -= 1
-        if not now.any():
-            if used < fewest:
-                fewest, incumbent = used, []
-                while laid is not None:
-                    incumbent.append(laid[0])
-                    laid = laid[1]
-            continue
-        # sequences in all, given the waste, cannot be fewer than this
-        if -(-(total + waste) // capacity) >= fewest:
-            continue
+    Level = tuple[np.ndarray, int, int, int, Iterator[tuple[Filling, int]]]
+
+    def level(now: np.ndarray, waste: int, used: int) -> Level:
         longest = int(np.flatnonzero(now)[-1])
         rest = now.copy()
         rest[longest] -= 1
-        for filling in reversed(fillings(rest, capacity - longest, width)):
-            times = lay(now, longest, filling)
-            need = Counter(dict(filling))
-            need[longest] += 1
-            after = now.copy()
-            for x, n in need.items():
-                after[x] -= n * times
-            room = capacity - sum(x * n for x, n in need.items())
-            stack.append((after, waste + room * times, ((tuple(sorted(need.items(), reverse=True)), times), laid), used + times))
-    return incumbent
+        return now, waste, used, longest, fillings(rest, capacity - longest)
+
+    # depth first: counts left, waste and sequences so far, the longest piece, fillings to try; and what was laid before each
+    stack: list[Level] = []
+    laid: list[tuple[Filling, int]] = []
+    if fewest > bound:
+        stack.append(level(counts, 0, 0))
+    while stack and nodes > 0 and fewest > bound:
+        now, waste, used, longest, untried = stack[-1]
+        del laid[len(stack) - 1 :]
+        filling, room = next(untried, ((), capacity + 1))
+        # all waste of a better solution, for it has at least one sequence less
+        spare = (fewest - 1) * capacity - total - waste
+        if room > min(spare, capacity):
+            stack.pop()
+            continue
+        nodes -= 1
+        need = Counter(dict(filling))
+        need[longest] += 1
+        left = now.copy()
+        for x, n in need.items():
+            left[x] -= n
+        times = lay(now, longest, filling)
+        if room * times > spare or dominated(left, filling, room):
+            continue
+        for x, n in need.items():
+            left[x] -= n * (times - 1)
+        laid.append((tuple(sorted(need.items(), reverse=True)), times))
+        if left.any():
+            stack.append(level(left, waste + room * times, used + times))
+        elif used + times < fewest:
+            fewest, incumbent = used + times, list(laid)
+    return incumbent, nodes
+
+
+def complete(counts: np.ndarray, nodes: int = 4_000) -> list[tuple[Filling, int]]:
+    """Fillings and how often to lay each: all pieces of ``counts`` (by length), in as few sequences as found."""
+    bound, random = lower_bound(counts), np.random.default_rng(0)
+    plan, left = search(counts, nodes - nodes // 2)
+    nodes = nodes // 2 + left
+    while nodes > 0 and sum(t for _, t in plan) > bound:
+        full = np.array([sum(x * n for x, n in f) for f, _ in plan])
+        times = np.array([t for _, t in plan])
+        worst = [i for i in np.argsort(full, kind="stable")[:WINDOW].tolist() if full[i] < len(counts) - 1]
+        taken = Counter(worst[: WINDOW // 2])
+        for i in random.choice(len(plan), WINDOW, p=times / times.sum()).tolist():
+            taken[i] += taken[i] < times[i]
+        part = np.zeros_like(counts)
+        for i, n in taken.items():
+            for x, m in plan[i][0]:
+                part[x] += m * n
+        found, left = search(part, min(nodes, 8 * WINDOW))
+        nodes -= max(WINDOW, min(nodes, 8 * WINDOW) - left)
+        if sum(t for _, t in found) <= sum(taken.values()):
+            merged: Counter = Counter({})
+            for i, (filling, t) in enumerate(plan):
+                merged[filling] += t - taken[i]
+            for filling, t in found:
+                merged[filling] += t
+            plan = [(f, t) for f, t in merged.items() if t]
+    return plan
 
 
 def places(plan: list[tuple[Filling, int]]) -> dict[int, tuple[np.ndarray, ...]]:
