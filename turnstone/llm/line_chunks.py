@@ -22,7 +22,6 @@ there) tell of the new text, all others pass through whatever their names. An em
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,7 @@ GROUP_BYTES = 4 << 20  # of texts whose equal chunks meet in a task
 LONG = 8
 MARGIN = 32
 SEED_WORDS = 6  # shorter chunks are found as what lies beside others
-_WORD = re.compile(rb"\S+")
+_BLACK = np.array([not bytes([b]).isspace() for b in range(256)])
 
 
 class _Hashes(dict):
@@ -95,8 +94,8 @@ def split_lines(text: bytes) -> tuple[list[bytes], list[int]]:
     return words, sizes
 
 
-def chunks_in(texts: list[bytes], window: int) -> tuple[list[list[bytes]], list[tuple[int, int, int]]]:
-    """The words of each text, and text, first word and word after the last of each chunk that may be a copy."""
+def chunks_in(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word, word after the last, and hash of each chunk that may be a copy."""
     known = _Hashes()
     words, lines = zip(*map(split_lines, texts)) if texts else ((), ())
     flat = [w for own in words for w in own]
@@ -105,10 +104,16 @@ def chunks_in(texts: list[bytes], window: int) -> tuple[list[list[bytes]], list[
     per_line = [n for own in lines for n in own]
     a, b = chunk_words(hashes, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(per_line)), per_line), window)
     begin = np.cumsum([0, *sizes])
+    if not len(a):
+        return a, a, b, np.empty(0, np.uint64)
+    # chunks follow each other without gaps: a hash is a sum of word hashes, each times a power that tells its place
+    nth = np.arange(len(hashes)) - np.repeat(a, b - a)
+    whole = np.add.reduceat(hashes * np.cumprod(np.full(int(nth.max()) + 1, MIX, np.uint64))[nth], a)
+    whole = (whole ^ whole >> np.uint64(29)) * MIX
     large = b - a >= SEED_WORDS
     a, b = a[large], b[large]
     of = np.searchsorted(begin, a, side="right") - 1
-    return list(words), list(zip(of.tolist(), (a - begin[of]).tolist(), (b - begin[of]).tolist()))
+    return of, a - begin[of], b - begin[of], whole[large]
 
 
 def common_end(left: list[bytes], right: list[bytes]) -> int:
@@ -166,11 +171,10 @@ def found_in_groups(texts: DataFrame, window: int) -> DataFrame:
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches):
-            words, places = chunks_in(utf8(batch["text"]), window)
-            which = pa.array([t for t, _, _ in places], pa.int64())
-            hashes = [xxhash.xxh64_intdigest(b" ".join(words[t][a:b]), SEED) - (1 << 63) for t, a, b in places]
-            spans = pa.array([a << 28 | b - a for _, a, b in places], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(which), batch["of"].take(which), spans, pa.array(hashes, pa.int64())], list(kinds))
+            which, a, b, hashes = chunks_in(utf8(batch["text"]), window)
+            which, spans = pa.array(which, pa.int64()), pa.array(a << 28 | b - a, pa.int64())
+            hashes = pa.array(hashes.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(which), batch["of"].take(which), spans, hashes], list(kinds))
 
     return texts.mapInArrow(chunks, f"{PLACED}, hash long")
 
@@ -186,27 +190,29 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     here = F.struct(F.col("doc_id").isNull(), "doc_id", "of", "span")
     of_hash = Window.partitionBy("hash")
     several = places.withColumn("low", F.min(here).over(of_hash)).withColumn("high", F.max(here).over(of_hash)).filter("low <> high")
-    asked = several.select(doc_key().alias("key"), F.struct("doc_id", "of", "span", "hash").alias("place"))
-    asked = asked.repartition("key").groupBy("key").agg(F.collect_set("place").alias("asked"))
-    kinds = PLACE | {"hash": pa.int64(), "bytes": pa.binary(), "before": pa.binary(), "after": pa.binary()}
+    asked = several.select(doc_key().alias("key"), F.col("doc_id").alias("asked_id"), F.col("of").alias("asked_of"), "span")
+    asked = asked.repartition("key").groupBy("key", "asked_id", "asked_of").agg(F.collect_set("span").alias("asked"))
+    kinds = PLACE | {"bytes": pa.binary(), "before": pa.binary(), "after": pa.binary()}
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches):
             rows = []
-            columns = zip(*(batch[c].to_pylist() for c in ("doc_id", "of", "asked")), utf8(batch["text"]))
-            for doc_id, of, asked, text in columns:
+            columns = zip(*(batch[c].to_pylist() for c in ("doc_id", "of", "asked_id", "asked_of", "asked")), utf8(batch["text"]))
+            for doc_id, of, asked_id, asked_of, asked, text in columns:
+                if (asked_id, asked_of) != (doc_id, of):  # another document with the same key
+                    continue
                 words = text.split()
-                mine = [(x["span"] >> 28, (x["span"] >> 28) + (x["span"] & WORDS), x) for x in asked if (x["doc_id"], x["of"]) == (doc_id, of)]
+                mine = [(x >> 28, (x >> 28) + (x & WORDS), x) for x in asked]
                 starts, ends = {a for a, _, _ in mine}, {b for _, b, _ in mine}
                 for a, b, x in mine:
                     before = words[max(0, a - MARGIN) : a] if a not in ends else ()
                     after = words[b : b + MARGIN] if b not in starts else ()
-                    rows.append((doc_id, of, x["span"], x["hash"], *(b" ".join(w) for w in (words[a:b], before, after))))
+                    rows.append((doc_id, of, x, *(b" ".join(w) for w in (words[a:b], before, after))))
             yield place_batch(rows, kinds)
 
     # all columns go along, so that this join and the last one share the shuffle of the texts
-    told = texts.join(asked, "key").mapInArrow(fetch, f"{PLACED}, hash long, bytes binary, before binary, after binary")
-    equal = Window.partitionBy("hash", "bytes").orderBy(here)
+    told = texts.join(asked, "key").mapInArrow(fetch, f"{PLACED}, bytes binary, before binary, after binary")
+    equal = Window.partitionBy("bytes").orderBy(here)
     first = told.withColumns({"at": F.first(here).over(equal), "left": F.first("before").over(equal), "right": F.first("after").over(equal)})
     copies = first.filter(here != F.col("at")).select("doc_id", "of", "span", "before", "after", "left", "right")
 
@@ -224,14 +230,18 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without words start to end of each span; a line feed behind a span stays."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    if not spans:
+        return text
+    black = _BLACK[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(np.diff(black, prepend=False, append=False))
+    starts, ends = edges[::2].tolist(), edges[1::2].tolist()  # of words
     out, done = [], 0
     for start, end in sorted(spans):
-        begin = at[start][0]
+        begin = starts[start]
         if begin > done:
             out.append(text[done:begin])
-        tail = at[end][0] if end < len(at) else len(text)
-        if tail > done and b"\n" in text[at[end - 1][1] : tail]:
+        tail = starts[end] if end < len(starts) else len(text)
+        if tail > done and b"\n" in text[ends[end - 1] : tail]:
             out.append(b"\n")
         done = max(done, tail)
     out.append(text[done:])
@@ -247,16 +257,17 @@ def without_repeated_lines(docs: DataFrame, window: int = 2, min_words: int = 20
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     marked = rows.withColumn("of", text_mark()).withColumn("key", doc_key())
-    spans = repeated_spans(marked, window).withColumn("key", doc_key()).repartition("key").groupBy("key").agg(
-        F.collect_set(F.struct("doc_id", "of", "span")).alias("spans")
-    )
+    spans = repeated_spans(marked, window).withColumn("key", doc_key()).repartition("key")
+    spans = spans.groupBy("key", "doc_id", "of").agg(F.collect_set("span").alias("spans"))
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("doc_id", "of", "spans")).alias("spans"))
     joined = marked.join(spans, "key", "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches):
             new = []
             for doc_id, of, spans, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "of", "spans")), utf8(batch["text"])):
-                mine = [(x["span"] >> 28, (x["span"] >> 28) + (x["span"] & WORDS)) for x in spans or () if (x["doc_id"], x["of"]) == (doc_id, of)]
+                own = next((x["spans"] for x in spans or () if (x["doc_id"], x["of"]) == (doc_id, of)), ())
+                mine = [(x >> 28, (x >> 28) + (x & WORDS)) for x in own]
                 new.append(without_spans(text, runs(mine, min_words)))
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(new, pa.binary()).cast(pa.string())], ["row", "text"])
 
