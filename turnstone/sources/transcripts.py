@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import local_path, session_from_path, slug_from_path, strip
-from ..session import evaluated_once
+from ..session import evaluated_once, materialized
 
 
 def line_pos(batch=0, mtime=None, piece="", block=0, row=0) -> Column:
@@ -154,7 +154,8 @@ def _request(requests: DataFrame) -> DataFrame:
 def resolve_transcripts(requests: DataFrame, inventory: DataFrame) -> DataFrame:
     """Requests -> file: an existing explicit path, else ``<slug>/<session>.jsonl``, else the
     newest file of the slug, else NULL."""
-    files = inventory.select("path", "project_slug", "session_id", "modified")
+    # used three times; the rebalance leaves few files of it and the order of the inventory behind
+    files = materialized(inventory.select("path", "project_slug", "session_id", "modified").hint("rebalance"), "inventory")
     by_path = files.select(F.col("path").alias("transcript_path"), F.col("path").alias("_given"))
     by_name = files.groupBy("project_slug", "session_id").agg(F.max("path").alias("_named"))
     newest = files.groupBy("project_slug").agg(
