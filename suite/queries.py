@@ -14,7 +14,7 @@ from turnstone.functions.redact import BUILTIN_RULES, Rule
 from turnstone.operators.parse import parse_lines
 from turnstone.plans.ingest import ingest
 from turnstone.plans.notes import score_notes
-from turnstone.session import scratch_path
+from turnstone.session import materialized, scratch_path
 from turnstone.sources import Store, json_rows, resolve_transcripts, scan_transcripts, transcript_inventory
 from turnstone.streaming import landed_lines, stream_dedup, stream_ingest, stream_redact
 
@@ -601,7 +601,8 @@ def scan_transcripts(spark, d):
     T.land_transcripts(spark, d, landing)
     from turnstone.sources import scan_transcripts as scan
 
-    return _turns(parse_lines(scan(spark, landing, glob="*.txt"))).select(*_MESSAGE)
+    # sessions and turns read the parsed lines; the files are opened once
+    return _turns(materialized(parse_lines(scan(spark, landing)).hint("rebalance"), "lines")).select(*_MESSAGE)
 
 
 @query
@@ -609,7 +610,7 @@ def latest_transcript(spark, d):
     """Files asked for by session (in either spelling) or by project."""
     landing = scratch_path(spark, "landing")
     T.land_transcripts(spark, d, landing)
-    files = transcript_inventory(spark, landing, glob="*.txt")
+    files = transcript_inventory(spark, landing)
     asked = T.table(spark, d, "conversations").select(
         F.expr("concat('p', conv_id % 4)").alias("projectSlug"),
         F.expr("if(conv_id % 2 = 0, concat('c', conv_id), null)").alias("sessionId"),
@@ -648,7 +649,7 @@ def stream_after_batch(spark, d):
     store = Store(spark, scratch_path(spark, "store"))
     ingest(store, T.transcript_lines(spark, d).filter("project_slug in ('p0', 'p1')"), 0)
     for _ in range(2):
-        landed = landed_lines(spark, landing, glob="*.txt").filter("file_path not rlike 'project_slug=p[01]/'")
+        landed = landed_lines(spark, landing, glob="*.jsonl").filter("file_path not rlike '/p[01]/[^/]*$'")
         stream_ingest(store, landed, scratch_path(spark, "offsets"), availableNow=True).awaitTermination()
     return store.scan_messages().select(*_MESSAGE)
 
@@ -708,8 +709,8 @@ def compacted_store(spark, d):
 def ingest_requests(spark, d):
     """Requests by path, by session and for a project's newest transcript, all in one call."""
     landing = scratch_path(spark, "landing")
-    T.land_sessions(spark, d, landing)
-    files = transcript_inventory(spark, landing).select("path", "project_slug", "session_id")
+    T.land_transcripts(spark, d, landing)
+    files = materialized(transcript_inventory(spark, landing).select("path", "project_slug", "session_id").hint("rebalance"), "asked")
     number = F.regexp_extract("session_id", "[0-9]+", 0).cast("long")
     asked = files.filter(number % 3 < 2).select(
         F.when(number % 3 == 0, F.col("path")).alias("transcript_path"), F.when(number % 3 == 1, F.col("session_id")).alias("sessionId"), "project_slug"
@@ -733,7 +734,7 @@ def stream_ingest_messages(spark, d):
     landing = scratch_path(spark, "landing")
     T.land_transcripts(spark, d, landing)
     store = Store(spark, scratch_path(spark, "store"))
-    stream = landed_lines(spark, landing, glob="*.txt")
+    stream = landed_lines(spark, landing, glob="*.jsonl")
     stream_ingest(store, stream, scratch_path(spark, "offsets"), availableNow=True).awaitTermination()
     return store.scan_messages().select(*_MESSAGE)
 

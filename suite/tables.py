@@ -126,23 +126,25 @@ def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def land_transcripts(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Write the lines as transcript files, one folder per transcript."""
-    (
+    """Write the lines as ``<project>/<session>.jsonl``, as the recorder of the conversations leaves them.
+
+    Where the folder is on a disk that the tasks share, they write the files as the recorder does: Spark's writer starts
+    processes for each local file and leaves a folder for each. Elsewhere Spark writes them and the driver renames.
+    """
+    lines = (
         transcript_json(spark, sf_dir)
         .repartition("project_slug", "transcript")
         .sortWithinPartitions("project_slug", "transcript", "turn")
         .select("project_slug", "transcript", "value")
-        .write.partitionBy("project_slug", "transcript")
-        .text(path)
     )
-
-
-def land_sessions(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Write the lines as ``<project>/<session>.jsonl``, as the recorder of the conversations leaves them."""
-    aside = f"{path}-parts"
-    land_transcripts(spark, sf_dir, aside)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop(path))
+    if files.getUri().getScheme() == "file":
+        lines.foreachPartition(_recorder(hadoop(path).toUri().getPath()))
+        return
+    aside = f"{path}-parts"
+    lines.write.partitionBy("project_slug", "transcript").text(aside)
     for part in files.globStatus(hadoop(f"{aside}/project_slug=*/transcript=*/part-*")):
         session, project = part.getPath().getParent(), part.getPath().getParent().getParent()
         slug, name = (x.getName().split("=", 1)[1] for x in (project, session))
@@ -150,6 +152,24 @@ def land_sessions(spark: SparkSession, sf_dir: str, path: str) -> None:
         files.rename(part.getPath(), hadoop(f"{path}/{slug}/{name}.jsonl"))
 
 
+def _recorder(root: str):
+    """Writes rows sorted by project and transcript, a file for each; a task that runs again replaces its files."""
+
+    def record(rows) -> None:
+        import os
+        import uuid
+        from itertools import groupby
+
+        for (slug, name), said in groupby(rows, key=lambda r: (r.project_slug, r.transcript)):
+            os.makedirs(f"{root}/{slug}", exist_ok=True)
+            aside = f"{root}/{slug}/.{uuid.uuid4().hex}"
+            with open(aside, "w", encoding="utf-8", newline="") as file:
+                file.writelines(f"{r.value}\n" for r in said)
+            os.replace(aside, f"{root}/{slug}/{name}.jsonl")
+
+    return record
+
+
 _EVENT_TIME = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 
 

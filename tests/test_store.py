@@ -275,3 +275,33 @@ def test_one_session_of_one_project(spark, tmp_path, store, write_transcript):
     found = transcript(store.scan_messages(), locate_session(ids, store.scan_sessions()))
     assert [(r.project_slug, r.content) for r in found.collect()] == [("p1", "mine")]
     assert [r.content for r in transcript(store.scan_messages(), ["sess-a"], slug="p2").collect()] == ["other"]
+
+
+def test_landed_transcripts_are_one_file_each(spark, tmp_path):
+    import os
+
+    from suite import tables
+
+    sf_dir = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables")
+    tables.land_transcripts(spark, sf_dir, (tmp_path / "landing").as_uri())
+    said = tables.transcript_json(spark, sf_dir).orderBy("project_slug", "transcript", "turn").collect()
+    wanted = {}
+    for r in said:
+        wanted.setdefault(f"{r.project_slug}/{r.transcript}.jsonl", []).append(r.value)
+    # no folders, parts or checksums of single files
+    found = {str(p.relative_to(tmp_path / "landing")): p for p in (tmp_path / "landing").rglob("*") if p.is_file()}
+    assert {n: p.read_text().split("\n")[:-1] for n, p in found.items()} == wanted
+    assert {len(p.parts) for p in (x.relative_to(tmp_path / "landing") for x in found.values())} == {2}
+
+
+def test_an_inventory_is_listed_once(spark, write_transcript, tmp_path):
+    write_transcript([user("u1", "x")], "p", "s1")
+    files = transcript_inventory(spark, str(tmp_path / "projects"))
+    asked = spark.createDataFrame([("p", "s1"), ("p", None), ("q", "s1")], "project_slug string, session_id string")
+    found = resolve_transcripts(asked, files)
+    assert "binaryFile" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.project_slug, r.session_id): r.resolved_path is not None for r in found.collect()} == {
+        ("p", "s1"): True, ("p", None): True, ("q", "s1"): False
+    }
