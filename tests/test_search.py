@@ -1,4 +1,5 @@
 import math
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,43 @@ def test_team_search(spark, messages, sessions):
     # the statistics are those of the whole corpus
     assert round(found[0]["rank"], 6) == 0.259967
     assert "\n" not in found[0].content_preview
+
+
+def _bulk(spark):
+    rows = [(str(i), "p", "running runner walks " * 50 + f"n{i}") for i in range(40)]
+    messages = spark.createDataFrame(rows, "uuid string, project_slug string, content string")
+    queries = spark.createDataFrame(
+        [(1, ["running", "walked"], False), (2, ["running", "walked"], True)], "query_id int, phrases array<string>, match_all boolean"
+    )
+    return messages, queries
+
+
+def test_bulk_search_stems_each_word_once(spark, monkeypatch):
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from turnstone.functions.stem import stem_word
+    module = sys.modules["turnstone.plans.search"]
+
+    stemmed = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("string")
+    def counting(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in terms:
+            stemmed.add(len(batch))
+            yield batch.map(stem_word, na_action="ignore")
+
+    monkeypatch.setattr(module, "porter_stem", counting)
+    messages, queries = _bulk(spark)
+    assert search_many(messages, queries, limit=3).count() == 6
+    # 6,000 places of three words; the queries' own words are stemmed too, wherever they are asked for
+    assert 0 < stemmed.value < 200
+
+
+def test_bulk_search_adds_a_message_up_in_one_join(spark):
+    messages, queries = _bulk(spark)
+    found = search_many(messages, queries, limit=3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert {(r.query_id, r.rank) for r in found.collect()} == {(q, n) for q in (1, 2) for n in (1, 2, 3)}

@@ -22,7 +22,7 @@ from ..operators.filters import filter_project
 from ..operators.joins import salted_join
 from ..operators.match import STEM_TAIL, Condition, Matcher
 from ..operators.messages import with_search_columns
-from ..session import materialized
+from ..session import evaluated_once, materialized
 from ..sources.store import Store
 
 PER_PROJECT = ("project_slug",)
@@ -223,16 +223,18 @@ def _postings(docs: DataFrame, queries: DataFrame, stemmed: bool, marked: bool)
     # the blank before the first token leaves an empty one in front: the mark of a message
     tokens = F.posexplode(F.split(F.rtrim("norm"), " ")).alias("at", "token")
     may = _may_be_one("token", wanted, stemmed) & (F.col("token") != "")
-    places = docs.select(*key, "doc_len", tokens).filter(may | (F.col("at") == 0) if marked else may)
     if stemmed:
-        # stem the vocabulary, not the texts
-        vocabulary = docs.select(tokens).filter(may).select("token").distinct().withColumn("word", porter_stem("token"))
-        spelled = vocabulary.join(wanted, "word").select("token", "phrase", "size", "place")
+        # stem the vocabulary, not the texts: no condition on the stem may pass below the distinct words
+        vocabulary = evaluated_once(docs.select(tokens).filter(may).select("token").distinct().withColumn("word", porter_stem("token")))
+        # a table: its size is known when the texts are joined, which then need no shuffle
+        spelled = materialized(vocabulary.join(wanted, "word").select("token", "phrase", "size", "place"), "spelled")
+        may = _may_be_one("token", spelled.select(F.col("token").alias("word")), False) & may
     else:
         spelled = wanted.withColumnRenamed("word", "token")
     if marked:
         mark = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit("").alias("phrase"), F.lit(1).alias("size"), F.lit(0).alias("place"))
         spelled = spelled.unionByName(mark)
+    places = docs.select(*key, "doc_len", tokens).filter(may | (F.col("at") == 0) if marked else may)
     met = places.join(spelled, "token").withColumn("start", F.when(F.col("size") > 1, F.col("at") - F.col("place")))
     # counts add up before the one shuffle; written here, as the texts are not to be read for single words and phrases apart
     counted = materialized(met.groupBy(*key, "doc_len", "phrase", "size", "start").agg(F.count("*").alias("n")), "postings")
@@ -245,10 +247,10 @@ def search_many(
 ) -> DataFrame:
     """Many searches in one job: ``queries(query_id, phrases ARRAY<STRING>, match_all BOOLEAN)``.
 
-    Each phrase is scored once per message and shared by all queries that use it. A query meets a message only if it
-    can be among the best ``limit``: with the best share of every phrase in the project known, a share that falls short
-    of the ``limit``-th best score even with the best of all other phrases is left out, and a query that wants all phrases
-    starts from its rarest one. So a common word adds to scores but brings no messages of its own. Both bounds are
+    Each phrase is scored once per message and shared by all queries that use it. A message's shares meet in one task and add
+    up for each query there; a sum goes on only if it can be among the best ``limit``: with the best share of every phrase
+    in the project known, phrases that fall short of the ``limit``-th best score together bring no messages, a sum below that
+    score ends where it was made, and a query that wants all phrases starts from its rarest one. The bounds are
     exact: the rows are those of comparing every message. ``stats``: ``Store.search_stats()`` of all messages.
     """
     docs = with_search_columns(messages)
@@ -259,11 +261,12 @@ def search_many(
         found = found.filter("phrase <> ''")
     else:
         sums = stats.select("project_slug", "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
-    df = found.groupBy("project_slug", "phrase").agg(F.count("*").alias("df"))
+    # one row for each project and phrase: as a table it is known to be small, and the postings stay where they are
+    df = materialized(found.groupBy("project_slug", "phrase").agg(F.count("*").alias("df")).join(sums, "project_slug"), "frequencies")
     share = bm25_term("tf", "doc_len", "avg_len", "n_docs", "df")
     # whole numbers of a small unit add up alike in any order, so equal texts get equal scores
     shares = materialized(
-        found.join(df.join(sums, "project_slug"), ["project_slug", "phrase"]).select(*key, "phrase", "df", F.round(-share / _UNIT).cast("bigint").alias("gain")),
+        found.join(df, ["project_slug", "phrase"]).select(*key, "phrase", "df", F.round(-share / _UNIT).cast("bigint").alias("gain")),
         "shares",
     )
     asked = (
@@ -273,39 +276,48 @@ def search_many(
     )
     # for each query, project and phrase of both: the best its share can be
     tops = shares.groupBy("project_slug", "phrase").agg(F.max("gain").alias("top"), F.first("df").alias("df"))
-    parts = materialized(asked.join(tops, "phrase").withColumn("top", F.col("top") * F.col("times")), "bounds")
-
-    def scores(pairs: DataFrame) -> DataFrame:
-        """Whole scores of pairs of a query and a message."""
-        wanted = pairs.join(parts.select("query_id", "project_slug", "phrase", "times"), ["query_id", "project_slug"])
-        return wanted.join(shares, [*key, "phrase"]).groupBy("query_id", *key).agg(
-            F.sum(F.col("gain") * F.col("times")).alias("gain"), F.sum("times").alias("there")
-        )
+    parts = materialized(asked.join(tops, "phrase").withColumn("top", F.col("top") * F.col("times")), "tops")
 
     # the best messages of single phrases: what their whole scores reach, others must reach
     leaders = shares.withColumn("nr", F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("gain"), "uuid"))).filter(F.col("nr") <= limit)
-    named = asked.filter("not match_all").join(leaders, "phrase").select("query_id", *key).distinct()
+    named = materialized(asked.filter("not match_all").join(leaders, "phrase").select("query_id", *key).distinct(), "leaders")
+    reached = (
+        shares.join(named, key)
+        .join(parts.select("query_id", "project_slug", "phrase", "times"), ["query_id", "project_slug", "phrase"])
+        .groupBy("query_id", *key)
+        .agg(F.sum(F.col("gain") * F.col("times")).alias("gain"))
+    )
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "uuid"))
-    least = scores(named).withColumn("nr", place).filter(F.col("nr") == limit).select("query_id", F.col("gain").alias("least"))
+    least = reached.withColumn("nr", place).filter(F.col("nr") == limit).select("query_id", F.col("gain").alias("least"))
     # of a query's phrases in a project, those that are together too weak to reach it bring no messages
     weakest = Window.partitionBy("query_id", "project_slug").orderBy("top", "phrase")
-    ranked = parts.filter("not match_all").join(least, "query_id", "left").withColumn("upto", F.sum("top").over(weakest))
-    strong = ranked.filter(F.col("upto") >= F.coalesce("least", F.lit(0))).withColumn("weak", F.col("upto") - F.col("top"))
-    met = strong.join(shares.select(*key, "phrase", "gain"), ["project_slug", "phrase"]).groupBy("query_id", *key).agg(
-        F.sum(F.col("gain") * F.col("times")).alias("gain"), F.min("weak").alias("weak"), F.first("least").alias("least")
+    ranked = parts.filter("not match_all").join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0)))
+    any_of = ranked.withColumn("brings", F.sum("top").over(weakest) >= F.col("least"))
+    # who wants all phrases starts from the rarest, in projects that have them all
+    whole_query = Window.partitionBy("query_id", "project_slug")
+    all_of = (
+        parts.filter("match_all")
+        .withColumn("least", F.lit(0).cast("bigint"))
+        .withColumn("there", F.sum("times").over(whole_query))
+        .filter("there = asked")
+        .withColumn("brings", F.struct("df", "phrase") == F.min(F.struct("df", "phrase")).over(whole_query))
     )
-    # the weak ones add their best at most: the least of the sums before a strong phrase that was met bounds them and any unmet
-    any_of = met.filter(F.col("gain") + F.col("weak") >= F.coalesce("least", F.lit(0))).select("query_id", *key)
-
-    every = parts.filter("match_all").groupBy("query_id", "project_slug", "asked").agg(
-        F.sum("times").alias("there"), F.min_by("phrase", F.struct("df", "phrase")).alias("phrase")
+    cols = ["query_id", "project_slug", "phrase", "times", "brings", "least", F.when(F.col("match_all"), F.col("asked")).otherwise(0).alias("needed")]
+    bounds = materialized(any_of.select(*cols).unionByName(all_of.select(*cols)), "bounds")
+    # a message's shares meet in one task, where all queries that share a phrase with it add up at once; only what a
+    # phrase brought, and what reaches the least score, leaves the task
+    whole = (
+        shares.select(*key, "phrase", "gain")
+        .repartition(*key)
+        .join(bounds, ["project_slug", "phrase"])
+        .groupBy("query_id", *key)
+        .agg(
+            F.sum(F.col("gain") * F.col("times")).alias("gain"), F.sum("times").alias("there"), F.max("brings").alias("brought"),
+            F.first("least").alias("least"), F.first("needed").alias("needed"),
+        )
+        .filter("brought and gain >= least and there >= needed")
     )
-    # who wants all phrases starts from the rarest
-    all_of = every.filter("there = asked").select("query_id", "project_slug", "phrase", "asked").join(shares.select(*key, "phrase"), ["project_slug", "phrase"])
-    pairs = any_of.withColumn("asked", F.lit(0)).unionByName(all_of.select("query_id", *key, "asked"))
     best = Window.partitionBy("query_id").orderBy(F.desc("gain"), "uuid")
-    asks = every.select("query_id", F.col("asked").alias("needed")).distinct()
-    whole = scores(pairs.select("query_id", *key)).join(asks, "query_id", "left").filter("needed is null or there = needed")
     return (
         whole.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= limit)
