@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from turnstone.llm.packing import best_fit, complete, dominated, fillings, lower_bound, pack
 from turnstone.llm.range_coder import decode, encode
 from turnstone.llm.token_store import decoded, read_tokens, write_tokens
-from turnstone.llm.tokens import WordTokenizer, public_tokenizer, tokenizer
+from turnstone.llm.tokens import WordTokenizer, public_tokenizer, split_known, tokenizer
 
 PATH = public_tokenizer()
 
@@ -151,3 +151,34 @@ def test_pack_as_told(corpus, frame):
     counts = np.bincount([r.length for r in got], minlength=65)
     assert len(sequences) <= lower_bound(counts) + 1
     assert pack(frame(corpus).limit(0), PATH).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aSÀéßÿİſKJ\u030c\u0327\u0338'.,<|>=09 \n\u00a0\u2028ΣΐЖ中\u1100\u1161ªµ×÷"), max_size=30), max_size=4))
+def test_taking_words_apart_gives_the_librarys_ids(texts):
+    texts = [*texts, "it's DON'T dogs' Ça, “Été”… the<|endoftext|>. Naïve!? <|endoftext|>.,", "ÀÖØÞ àöøþÿ. " + " ".join(texts)]
+    words = WordTokenizer(PATH)
+    assert words.splits
+    assert [x.tolist() for x in words.encode(texts)] == [library_ids(t) for t in texts]
+
+
+def test_letters_are_encoded_once_for_all_cases_and_ends(prose):
+    letters = sorted({w for w in prose.known if len(w) > 2})[:150]
+    texts = [f"{form}{end}" for w in letters for form in (w, w.upper(), w.capitalize()) for end in ("", ",", ".", "!?")]
+    words = WordTokenizer(PATH)
+    assert [x.tolist() for x in words.encode([" ".join(texts)])] == [library_ids(" ".join(texts))]
+    assert len(words.numbers) <= len(letters) + 4
+
+
+def test_other_tokenizers_are_not_taken_apart(tmp_path):
+    import json
+
+    config = json.load(open(PATH))
+    assert split_known(config)
+    assert not split_known(config | {"normalizer": None}) and not split_known(config | {"pre_tokenizer": None})
+    assert not split_known(config | {"added_tokens": [{"id": 5, "content": "abc"}]})
+    config["normalizer"]["normalizers"].pop()  # upper case stays
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(config))
+    words, text = WordTokenizer(str(path)), "Abc, ABC it's abc. É"
+    assert [x.tolist() for x in words.encode([text])] == [words.library.encode(text, add_special_tokens=False).ids]

@@ -217,7 +217,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
         end = np.array([end_id], np.uint16)
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"].to_pylist())):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"])):
                 ids = np.concatenate([ids, end]).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]

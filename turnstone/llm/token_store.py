@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         parts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"].to_pylist())):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"])):
                 doc_ids.append(doc_id)
                 parts.append(np.concatenate([ids, end]))
                 held += len(ids) + 1
