@@ -2,8 +2,11 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import functions as F
 
-from turnstone.llm.backoff_lm import border, pack_counts, pack_sorted, unpack_counts, unpack_sorted
+from turnstone.llm.backoff_lm import END, SEED, border, pack_counts, pack_sorted, runs_of, score_texts, token_hashes, unpack_counts, unpack_sorted
 from turnstone.llm.queries import op7_lm_scoring
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +58,43 @@ def test_packed_ranges_come_back():
             assert (unpack_counts(pack_counts(counts)) == counts).all()
     keys = np.unique(rng.integers(border(6, 7), border(7, 7) - 1, 5_000, np.uint64))
     assert len(pack_sorted(keys, border(6, 7))) < 7 * len(keys)
+
+
+def test_hashes_are_those_of_the_words(prose):
+    texts = ["", " ", "a", "\tA a\x0bB\n", "x\u00a0y\x1cz \u2028 É é", prose.text(400), "  \n ", prose.text(30) + "\n"]
+    got, ends = token_hashes(pa.array(texts, pa.large_string()).slice(1))
+    words = [t.encode().lower().split() for t in texts[1:]]
+    assert got.tolist() == [h for w in words for h in [*(xxhash.xxh64_intdigest(x, SEED) for x in w), END]]
+    assert np.diff(ends, prepend=0).tolist() == [len(w) + 1 for w in words]
+    assert runs_of([], 5) == [] and runs_of([0, 3, 1, 12, 0, 1, 9], 5) == [(0, 3), (3, 6), (6, 7)]
+    none, ends = token_hashes(pa.array([], pa.large_string()))
+    assert len(none) == len(ends) == 0
+
+
+def test_scoring_sorts_n_grams_and_searches_none(spark, monkeypatch):
+    """Run as Spark runs it, but in this process: no search in all n-grams for each place, no table of hashes."""
+    from turnstone.llm import backoff_lm
+
+    taken = {}
+    group = type(spark.range(1).groupBy("id"))
+    kept = group.applyInArrow
+    monkeypatch.setattr(group, "applyInArrow", lambda self, f, schema: (taken.setdefault(f.__name__, f), kept(self, f, schema))[1])
+    cogroup = type(spark.range(1).groupBy("id").cogroup(spark.range(1).groupBy("id")))
+    joined = cogroup.applyInArrow
+    monkeypatch.setattr(cogroup, "applyInArrow", lambda self, f, schema: (taken.setdefault(f.__name__, f), joined(self, f, schema))[1])
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "a b")], "doc_id long, text string")
+    want = score_texts(docs, F.lit(True), 3).collect()
+    codec = pa.Codec("zstd")
+    texts = pa.table({"doc_id": [1, 2], "text": [codec.compress(t, asbytes=True) for t in (b"a b a c", b"a b")], "size": [7, 3], "learn": [True, True]})
+    key = (pa.scalar(0),)
+    counted = taken["count"](key, texts)
+    totals = pa.concat_tables([taken["add"]((pa.scalar(n), pa.scalar(0)), counted.filter(pa.compute.equal(counted["n"], n))) for n in (1, 2, 3)])
+
+    def refuse(*_, **__):
+        raise AssertionError("searched")
+
+    plain = np.unique
+    monkeypatch.setattr(backoff_lm.np, "searchsorted", refuse)
+    monkeypatch.setattr(backoff_lm.np, "unique", lambda x, return_inverse=False: plain(x, return_inverse=True) if return_inverse else refuse())
+    got = taken["score"](key, texts, totals).to_pylist()
+    assert sorted(tuple(r.values()) for r in got) == sorted(map(tuple, want))

@@ -26,36 +26,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import ready, utf8, words_of
+from turnstone.llm.common import ready, utf8
 
 SEED = 7
+HASHED_BYTES = 4_000_000  # of texts whose words are taken apart at once
 END = xxhash.xxh64_intdigest(b"\n end", SEED)  # no word holds white space
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return number
-
-
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of all texts, and where each text ends."""
-    known = _Hashes()
-    hashes: list[np.ndarray] = []
-    ends = []
-    total = 0
-    for text in texts:
-        words = words_of(text)
-        own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        hashes += [own, np.array([END], np.uint64)]
-        total += len(words) + 1
-        ends.append(total)
-    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.array(ends, np.int64)
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of all texts, and where each text ends. Each distinct word is hashed once."""
+    # white space and A-Z are single bytes in UTF-8, so the words are those of `words_of`
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten().dictionary_encode()
+    kinds = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in kinds), np.uint64, len(kinds))[words.indices.to_numpy()]
+    cuts = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+    # white space at either end of a text leaves an empty word there, which is none
+    empty = (kinds == b"")[words.indices.to_numpy()]
+    if empty.any():
+        cuts = np.concatenate([[0], np.cumsum(~empty)])[cuts]
+        own = own[~empty]
+    ends = cuts[1:] + np.arange(1, len(cuts))
+    hashes = np.full(len(own) + len(texts), END, np.uint64)
+    real = np.ones(len(hashes), bool)
+    real[ends - 1] = False
+    hashes[real] = own
+    return hashes, ends
 
 
 def gram_hashes(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
@@ -114,13 +116,23 @@ def shrunk(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(shrink, "doc_id long, text binary, size long, learn boolean, part int")
 
 
+def runs_of(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Rows cut into runs of about ``most`` bytes; no row is cut."""
+    which = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 def rows_of(table_: pa.Table, order: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Ids, training marks, text ends, and for each n the hashes of all places."""
     codec = pa.Codec("zstd")
     texts = [codec.decompress(t, n, asbytes=True) for t, n in zip(table_["text"].to_pylist(), table_["size"].to_pylist())]
-    tokens, ends = token_hashes(texts)
+    found = [token_hashes(pa.array(texts[a:b], pa.large_string())) for a, b in runs_of(list(map(len, texts)), HASHED_BYTES)]
+    tokens = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.uint64)
+    sizes = np.concatenate([np.diff(e, prepend=0) for _, e in found]) if found else np.empty(0, np.int64)
+    ends = np.cumsum(sizes)
     trained = np.array([bool(x) for x in table_["learn"].to_pylist()], bool)
-    return table_["doc_id"].to_pylist(), trained, ends, np.diff(np.concatenate([[0], ends])), gram_hashes(tokens, ends, order)
+    return table_["doc_id"].to_pylist(), trained, ends, sizes, gram_hashes(tokens, ends, order)
 
 
 def border(i: int, ranges: int) -> int:
@@ -170,8 +182,8 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 3, strength: tuple[
         counts = [unpack_counts(x) for x in group["counts"].to_pylist()]
         base = border(key[1].as_py(), parts)
         keys = [unpack_sorted(x, base, len(c)) for x, c in zip(group["keys"].to_pylist(), counts)]
-        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(which, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+        kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(which, weights=np.concatenate(counts), minlength=len(kinds)).astype(np.int64)
         cuts = np.cumsum([0, *map(len, keys)])
         found = [pack_counts(totals[which[a:b]]) for a, b in zip(cuts, cuts[1:])]
         size = len(found)
@@ -193,10 +205,13 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 3, strength: tuple[
                 tokens, types = tokens + some, types + kinds
         counts = []
         for n, places in enumerate(grams, 1):
-            keys = np.unique(places[places != 0] if n > 1 else places)
-            of = np.concatenate([unpack_counts(p) for _, p in sorted(own[n])]) if n in own else np.zeros(len(keys), np.int64)
-            found = of[np.minimum(np.searchsorted(keys, places), len(keys) - 1)] if len(keys) else np.zeros(len(places), np.int64)
-            counts.append(np.where(places != 0, found, 0) if n > 1 else found)
+            real = places != 0 if n > 1 else np.ones(len(places), bool)
+            found = np.zeros(len(places), np.int64)
+            if n in own:
+                # without the inverse, numpy builds a table of hashes, which takes four times as long as the sort
+                which = np.unique(places[real], return_inverse=True)[1]
+                found[real] = np.concatenate([unpack_counts(p) for _, p in sorted(own[n])])[which]
+            counts.append(found)
         base, weight = traverse(counts, ends, tokens, types, strength)
         whole = lambda x: np.add.reduceat(x, np.concatenate([[0], ends[:-1]])) if len(ends) else x
         n = len(doc_ids)
