@@ -7,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from turnstone.llm.packing import best_fit, complete, dominated, fillings, lower_bound, pack
-from turnstone.llm.range_coder import decode, encode
-from turnstone.llm.token_store import decoded, read_tokens, write_tokens
+from turnstone.llm.range_coder import decode, encode, frequencies
+from turnstone.llm.token_store import decoded, packed_frequencies, read_tokens, unpacked_frequencies, write_tokens
 from turnstone.llm.tokens import WordTokenizer, public_tokenizer, split_known, tokenizer
 
 PATH = public_tokenizer()
@@ -182,3 +182,30 @@ def test_other_tokenizers_are_not_taken_apart(tmp_path):
     path.write_text(json.dumps(config))
     words, text = WordTokenizer(str(path)), "Abc, ABC it's abc. É"
     assert [x.tolist() for x in words.encode([text])] == [words.library.encode(text, add_special_tokens=False).ids]
+
+
+def test_coder_beats_zlib_on_the_documents():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.concatenate(list(tokenizer(PATH).encode([t or "" for t in texts])))[:300_000]
+    found = frequencies(ids)
+    assert found.sum() == 1 << 20 and (found[ids] > 0).all()
+    table = packed_frequencies(found)
+    assert (unpacked_frequencies(table) == found).all()
+    blocks = encode(ids, 2048, found)
+    assert (decode(blocks, len(ids), 2048, found) == ids).all()
+    assert (decode(blocks[3:5], 4096, 2048, found) == ids[3 * 2048 : 5 * 2048]).all()
+    plain = [len(zlib.compress(ids[a : a + 2048].tobytes())) for a in range(0, len(ids), 2048)]
+    shares = np.bincount(ids) / len(ids)
+    entropy = -(shares[shares > 0] * np.log2(shares[shares > 0])).sum() * len(ids) / 8
+    assert sum(map(len, blocks)) < entropy  # of the ids one by one, what they are told from not counted
+    assert sum(map(len, blocks)) + len(table) < 0.9 * sum(plain)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 65535) | st.integers(0, 3), max_size=700), st.sampled_from([3, 200, 2048]))
+def test_coder_round_trip_with_frequencies(ids, size):
+    x = np.array(ids, np.uint16)
+    found = frequencies(x)
+    assert decode(encode(x, size, found), len(x), size, found).tolist() == ids

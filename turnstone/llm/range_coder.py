@@ -4,10 +4,13 @@ A block is coded on its own: its model and coder start anew, so it can be read w
 one id each, so a step is a few numpy operations over all of them.
 
 Three models predict the next id. Order 2 and order 1 remember which id followed the last two ids, or the last one, and how
-often they were right lately; order 0 counts ids. The candidate is the id of the highest order that is sure of one. Each
-order turns its confidence in that id into a probability it has learned; the three are mixed in the logistic domain with
-weights that follow the errors. The mixed probability codes whether the candidate comes; if not, the id itself is coded
-by order-0 frequencies of its two bytes, renewed as the block goes on. All arithmetic is in whole numbers.
+often they were right lately; order 0 knows how frequent ids are. The candidate is the id of the highest order that has one.
+Each order turns its confidence in that id into a probability learned from the block so far; the three are mixed in the
+logistic domain with weights that follow the errors. The mixed probability codes whether the candidate comes; if not, the id is
+coded by its frequency. Memories of what followed are renewed with every id, probabilities and weights at the steps of ``renewals``,
+for all states at once. All arithmetic is in whole numbers.
+
+Frequencies (``frequencies``) are those of all ids that are coded together, kept beside the blocks; without them all ids are alike.
 
 The coder holds a low end and a range of 64 bits; once the range falls below 32 bits a 32-bit word is written. A range
 that still straddles a word's border is cut at it first, so no carry is ever needed.
@@ -20,9 +23,13 @@ from functools import cache
 
 import numpy as np
 
-HALF, LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
-SLOTS2, SLOTS1, SLOTS0 = 2048, 2048, 2048
+HALF, LOW32, ONE = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1)
+SLOT_BITS = 11  # of each order's memory of a block
+TOTAL_BITS = 20  # of the sum of all frequencies
 LIMIT = 2047
+STATES = 256  # order 2: 8 confidences; order 1: 4, and whether it agrees; order 0: 4 classes
+MIX_LAST, MIX_BEFORE = 0x1E3779B97F4A7C15, 0x42B2AE3D27D4EB4F  # products run over, their upper bits are taken
+START = 8  # what a state's first probability weighs, in ids
 
 
 @cache
@@ -36,82 +43,100 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return stretch, np.clip(squash, 1, 4095)
 
 
+def frequencies(ids: np.ndarray) -> np.ndarray:
+    """How frequent each of the 65,536 ids is, of 2 to the power 20 in all; none that occurs has zero."""
+    counts = np.bincount(ids, minlength=1 << 16)
+    there = counts > 0
+    if not there.any():
+        return np.full(1 << 16, 1 << TOTAL_BITS - 16, np.int64)
+    found = there + counts * ((1 << TOTAL_BITS) - int(there.sum())) // int(counts.sum())
+    found[counts.argmax()] += (1 << TOTAL_BITS) - int(found.sum())
+    return found
+
+
 class Model:
-    def __init__(self, lanes: int):
+    """Tables hold a row for each slot or state and a column for each block, so blocks that meet the same words share memory lines."""
+
+    def __init__(self, lanes: int, freq: np.ndarray | None):
+        freq = np.full(1 << 16, 1 << TOTAL_BITS - 16, np.int64) if freq is None else freq
+        self.freq, self.cum = freq.astype(np.uint32), (np.cumsum(freq) - freq).astype(np.uint32)
+        self.common = np.searchsorted([32, 256, 2048], freq, side="right").astype(np.int32)
         self.stretch, self.squash = tables()
-        self.row = np.arange(lanes)
-        sure = np.array([(2 * c + 1) * 65536 // (2 * c + 4) for c in range(16)], np.int64)
-        self.table2, self.table1 = np.zeros(lanes * SLOTS2, np.int32), np.zeros(lanes * SLOTS1, np.int32)
-        self.count0 = np.zeros(lanes * SLOTS0, np.uint8)
-        self.right2 = np.tile(sure, lanes)
-        self.right1 = np.tile(np.concatenate([np.full(16, 8192, np.int64), sure]), lanes)
-        self.right0 = np.full(lanes * 16, 8192, np.int64)
-        self.weights = np.full((3, lanes), 26000, np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.bytes = np.ones((2, lanes, 256), np.int64)
-        self.renew(0)
-
-    def renew(self, step: int) -> None:
-        """Frequencies of both bytes, 4096 in all for each block, from what it has held so far."""
-        total = self.bytes.sum(axis=2, keepdims=True)
-        self.freq = 1 + self.bytes * (4096 - 256) // total
-        for which in range(2):
-            self.freq[which, self.row, self.bytes[which].argmax(axis=1)] += 4096 - self.freq[which].sum(axis=1)
-        self.cum = np.cumsum(self.freq, axis=2) - self.freq
-        self.freq_high, self.freq_low = self.freq[0].ravel(), self.freq[1].ravel()
-        self.cum_high, self.cum_low = self.cum[0].ravel(), self.cum[1].ravel()
-
-    def slots(self) -> np.ndarray:
-        """Which byte each of the 4096 slots belongs to."""
-        symbols = np.tile(np.arange(256, dtype=np.uint8), 2 * len(self.row))
-        return np.repeat(symbols, self.freq.ravel())
+        self.lanes, self.row = lanes, np.arange(lanes)
+        self.table = np.zeros(2 * lanes << SLOT_BITS, np.int32)  # of order 2, then of order 1: an id and how sure it is, 0 to 7
+        self.last, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.weights = np.full((3, lanes), 26_000, np.int64)
+        self.seen, self.right = np.zeros((2, STATES, lanes), np.int64)
+        # chances of each state's candidate before anything is learned, of 4096, order by order
+        self.start = [np.array(x, np.int64)[:, None] for x in (
+            [300, 1400, 2300, 2900, 3300, 3500, 3700, 3900], [60, 500, 1000, 1500, 120, 1300, 2400, 3300], [900, 1000, 1100, 1300],
+        )]
+        self.states: list[np.ndarray] = []
+        self.hits: list[np.ndarray] = []
+        self.votes: list[np.ndarray] = []
+        self.renew()
+
+    @staticmethod
+    def by_order(x: np.ndarray) -> list[np.ndarray]:
+        x = x.reshape(8, 8, 4, -1)
+        both = x.sum(axis=2)
+        return [both.sum(axis=1), both.sum(axis=0), x.sum(axis=(0, 1))]
+
+    def renew(self) -> None:
+        """Learn from the steps since the last time, and mix a probability for every state of every block."""
+        if self.states:
+            states, hits = np.concatenate(self.states), np.concatenate(self.hits)
+            seen, right = (np.bincount(x, minlength=STATES * self.lanes).reshape(STATES, self.lanes) for x in (states, states[hits]))
+            self.states, self.hits = [], []
+            errors = (right << 12) - seen * self.p.reshape(STATES, self.lanes)
+            for k, (error, votes) in enumerate(zip(self.by_order(errors), self.votes)):
+                self.weights[k] = np.clip(self.weights[k] + ((error * votes).sum(axis=0) >> 15), -100_000, 100_000)
+            self.seen += seen
+            self.right += right
+        self.votes = [
+            self.stretch.take(((right << 12) + START * first) // (seen + START), mode="clip")
+            for seen, right, first in zip(self.by_order(self.seen), self.by_order(self.right), self.start)
+        ]
+        two, one, none = (v * w for v, w in zip(self.votes, self.weights))
+        mixed = ((two[:, None] + one)[:, :, None] + none) >> 16
+        self.p = self.squash.take(mixed.ravel() + LIMIT, mode="clip")
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The candidate of the first n blocks and the probability, of 4096, that it comes."""
-        row, last, before = self.row[:n], self.last[:n], self.before[:n]
-        self.at2 = row * SLOTS2 + ((last * 40503 + before * 30011) >> 5 & SLOTS2 - 1)
-        self.at1 = row * SLOTS1 + (last & SLOTS1 - 1)
-        self.had2, self.had1 = self.table2.take(self.at2), self.table1.take(self.at1)
-        self.id2, self.id1 = self.had2 >> 4, self.had1 >> 4
-        self.sure2, self.sure1 = self.had2 & 15, self.had1 & 15
-        none = self.sure2 == 0
-        candidate = np.where(none, self.id1, self.id2)
-        self.in2 = row * 16 + self.sure2
-        self.in1 = row * 32 + self.sure1 + ((self.id1 == candidate) << 4)
-        seen = self.count0.take(row * SLOTS0 + (candidate & SLOTS0 - 1))
-        self.in0 = row * 16 + np.minimum(seen, 15)
-        self.now = [r.take(at) for r, at in ((self.right2, self.in2), (self.right1, self.in1), (self.right0, self.in0))]
-        self.votes = [self.stretch.take(r >> 4) for r in self.now]
-        mixed = self.votes[0] * self.weights[0, :n] + self.votes[1] * self.weights[1, :n] + self.votes[2] * self.weights[2, :n] >> 16
-        self.p = self.squash.take(mixed + LIMIT, mode="clip")
-        return candidate, self.p
+        last, row = self.last[:n], self.row[:n]
+        at = np.empty((2, n), np.int64)
+        at[0] = last * MIX_LAST + self.mixed[:n] >> 40
+        at[1] = last
+        at &= (1 << SLOT_BITS) - 1
+        at[1] += 1 << SLOT_BITS
+        at *= self.lanes
+        at += row
+        had = self.table.take(at)
+        kept, sure = had >> 3, had & 7
+        self.at, self.had, self.kept, self.sure = at, had, kept, sure
+        # choices between whole numbers by masks of ones or zeros: where() is slow on what cannot be foretold
+        apart = kept[0] ^ kept[1]
+        candidate = (kept[1] ^ apart & -sure[0] >> 31).astype(np.int64)
+        agrees = (kept[1] == candidate).view(np.int8) << 4
+        state = (sure[0] << 5) + (sure[1] >> 1 << 2) + self.common.take(candidate) + agrees
+        self.state = state * np.int64(self.lanes) + row
+        return candidate, self.p.take(self.state)
 
     def update(self, n: int, ids: np.ndarray, hit: np.ndarray) -> None:
-        goal = np.where(hit, 65535, 0)
-        for right, place, now in zip((self.right2, self.right1, self.right0), (self.in2, self.in1, self.in0), self.now):
-            right[place] = now + (goal - now >> 5)
-        error = np.where(hit, 4096, 0) - self.p
-        for k in range(3):
-            weights = self.weights[k, :n]
-            np.clip(weights + (self.votes[k] * error + 4096 >> 13), -200_000, 200_000, out=weights)
-        fresh = ids << 4 | 1
-        for table, place, had, old, sure in (
-            (self.table2, self.at2, self.had2, self.id2, self.sure2), (self.table1, self.at1, self.had1, self.id1, self.sure1)
-        ):
-            same = old == ids
-            kept = had - sure + np.where(same, np.minimum(sure + 1, 15), sure >> 1)
-            table[place] = np.where(same | (sure > 1), kept, fresh)
-        row = self.row[:n]
-        place = row * SLOTS0 + (ids & SLOTS0 - 1)
-        self.count0[place] = np.minimum(self.count0.take(place), 254) + 1
-        flat, wide = self.bytes.reshape(-1), row << 8
-        for place in (wide + (ids >> 8), wide + (ids & 255) + (len(self.row) << 8)):
-            flat[place] = flat.take(place) + 16
-        self.before[:n], self.last[:n] = self.last[:n], ids
+        self.states.append(self.state)
+        self.hits.append(hit)
+        small, had, sure = ids.astype(np.int32), self.had, self.sure
+        # right again: surer; wrong: half as sure, or forgotten
+        right = had - (sure - 7 >> 31)
+        fresh = (small << 3) + 1
+        wrong = fresh ^ (fresh ^ had - (sure + 1 >> 1)) & 1 - sure >> 31
+        self.table[self.at] = right ^ (right ^ wrong) & -(self.kept ^ small) >> 31
+        self.mixed[:n] = self.last[:n] * MIX_BEFORE
+        self.last[:n] = ids
 
 
 def renewals(length: int) -> set[int]:
-    return {32, 64, 128, *range(256, length, 256)}
+    return {32, 128, 256, *range(512, length, 512)}
 
 
 def split(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,55 +146,44 @@ def split(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return starts, lengths, np.argsort(-lengths, kind="stable")
 
 
-def encode(ids: np.ndarray, size: int) -> list[bytes]:
+def narrowed(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """A range that has become short, cut at a word's border if it straddles one."""
+    return np.where((low ^ (low + span - ONE)) > LOW32, (~low + ONE) & LOW32, span)
+
+
+def encode(ids: np.ndarray, size: int, freq: np.ndarray | None = None) -> list[bytes]:
     """The coded blocks of ``size`` ids, the last may be shorter."""
     starts, lengths, order = split(ids, size)
     if not len(starts):
         return []
     starts, lengths = starts[order], lengths[order]
     lanes = len(starts)
-    model = Model(lanes)
+    model = Model(lanes, freq)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     rows: list[np.ndarray] = []
     words: list[np.ndarray] = []
-
-    def emit(who: np.ndarray, lo: np.ndarray, sp: np.ndarray) -> None:
-        """Write the top word of the blocks ``who``, whose range has become short."""
-        sp = np.where((lo ^ (lo + sp - np.uint64(1))) > LOW32, (~lo + np.uint64(1)) & LOW32, sp)
-        rows.append(who)
-        words.append((lo >> HALF).astype(np.uint32))
-        low[who], span[who] = lo << HALF, sp << HALF
-
     renew = renewals(size)
     for step in range(int(lengths[0])):
         n = int(np.searchsorted(-lengths, -step, side="left"))
         if step in renew:
-            model.renew(step)
+            model.renew()
         now = ids.take(starts[:n] + step).astype(np.int64)
         candidate, p = model.predict(n)
         hit = candidate == now
         lo, sp = low[:n], span[:n]
-        r = sp >> np.uint64(12)
-        lo += r * np.where(hit, 0, p).view(np.uint64)
-        np.multiply(r, np.where(hit, p, 4096 - p).view(np.uint64), out=sp)
+        bound = (sp >> np.uint64(12)) * p.view(np.uint64)
+        share = sp - bound >> np.uint64(TOTAL_BITS)
+        lo += (bound + share * model.cum.take(now)) * ~hit
+        sp[:] = np.where(hit, bound, share * model.freq.take(now))
         short = np.flatnonzero(sp <= LOW32)
         if len(short):
-            emit(short, lo.take(short), sp.take(short))
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            missed = now[miss]
-            high, lower = missed >> 8, missed & 255
-            high, lower = high + (miss << 8), lower + (miss << 8)
-            f = model.freq_high.take(high)
-            r = span.take(miss) >> np.uint64(24)
-            lo = low.take(miss) + r * (model.cum_high.take(high) * 4096 + f * model.cum_low.take(lower)).view(np.uint64)
-            sp = r * (f * model.freq_low.take(lower)).view(np.uint64)
-            low[miss], span[miss] = lo, sp
-            short = np.flatnonzero(sp <= LOW32)
-            if len(short):
-                emit(miss.take(short), lo.take(short), sp.take(short))
+            cut, rest = lo.take(short), sp.take(short)
+            rest = narrowed(cut, rest)
+            rows.append(short)
+            words.append((cut >> HALF).astype(np.uint32))
+            low[short], span[short] = cut << HALF, rest << HALF
         model.update(n, now, hit)
-    rows.append(model.row)
+    rows.append(np.arange(lanes))
     words.append(((low + LOW32) >> HALF).astype(np.uint32))
     row = np.concatenate(rows)
     put = np.argsort(row.astype(np.uint16) if lanes < 1 << 16 else row, kind="stable")
@@ -181,7 +195,7 @@ def encode(ids: np.ndarray, size: int) -> list[bytes]:
     return out
 
 
-def decode(blocks: list[bytes], total: int, size: int) -> np.ndarray:
+def decode(blocks: list[bytes], total: int, size: int, freq: np.ndarray | None = None) -> np.ndarray:
     """The ids of all blocks; ``total`` of them, in blocks of ``size``."""
     ids = np.zeros(total, np.uint16)
     starts, lengths, order = split(ids, size)
@@ -189,7 +203,8 @@ def decode(blocks: list[bytes], total: int, size: int) -> np.ndarray:
         return ids
     starts, lengths = starts[order], lengths[order]
     lanes = len(starts)
-    model = Model(lanes)
+    model = Model(lanes, freq)
+    owner = np.repeat(np.arange(1 << 16), model.freq.astype(np.int64)).astype(np.uint16)  # the id of each place of all frequencies
     parts = [np.frombuffer(blocks[i], "<u4") for i in order]
     # two words behind each block: what is read past its end is zero
     sizes = np.array([len(p) + 2 for p in parts])
@@ -198,46 +213,29 @@ def decode(blocks: list[bytes], total: int, size: int) -> np.ndarray:
     value = stream[at] << HALF | stream[at + 1]
     at += 2
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-
-    def read(who: np.ndarray, lo: np.ndarray, sp: np.ndarray) -> None:
-        sp = np.where((lo ^ (lo + sp - np.uint64(1))) > LOW32, (~lo + np.uint64(1)) & LOW32, sp)
-        value[who] = value.take(who) << HALF | stream.take(at.take(who), mode="clip")
-        at[who] += 1
-        low[who], span[who] = lo << HALF, sp << HALF
-
     renew = renewals(size)
-    slots = model.slots()
+    top = np.uint64((1 << TOTAL_BITS) - 1)
     for step in range(int(lengths[0])):
         n = int(np.searchsorted(-lengths, -step, side="left"))
         if step in renew:
-            model.renew(step)
-            slots = model.slots()
+            model.renew()
         candidate, p = model.predict(n)
         lo, sp = low[:n], span[:n]
-        r = sp >> np.uint64(12)
-        hit = value[:n] - lo < r * p.view(np.uint64)
-        lo += r * np.where(hit, 0, p).view(np.uint64)
-        np.multiply(r, np.where(hit, p, 4096 - p).view(np.uint64), out=sp)
+        bound = (sp >> np.uint64(12)) * p.view(np.uint64)
+        above = value[:n] - lo
+        hit = above < bound
+        share = sp - bound >> np.uint64(TOTAL_BITS)
+        found = owner.take(np.minimum((above - bound) // share, top).view(np.int64)).astype(np.int64)
+        now = np.where(hit, candidate, found)
+        lo += (bound + share * model.cum.take(now)) * ~hit
+        sp[:] = np.where(hit, bound, share * model.freq.take(now))
         short = np.flatnonzero(sp <= LOW32)
         if len(short):
-            read(short, lo.take(short), sp.take(short))
-        now = candidate.copy()
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            lo = low.take(miss)
-            r = span.take(miss) >> np.uint64(24)
-            v = np.minimum((value.take(miss) - lo) // r, np.uint64((1 << 24) - 1)).view(np.int64)
-            wide = miss << 8
-            high = slots.take((miss << 12) + (v >> 12)).astype(np.int64)
-            f, c = model.freq_high.take(wide + high), model.cum_high.take(wide + high)
-            lower = slots.take((miss + lanes << 12) + (v - c * 4096) // f).astype(np.int64)
-            lo += r * (c * 4096 + f * model.cum_low.take(wide + lower)).view(np.uint64)
-            sp = r * (f * model.freq_low.take(wide + lower)).view(np.uint64)
-            low[miss], span[miss] = lo, sp
-            short = np.flatnonzero(sp <= LOW32)
-            if len(short):
-                read(miss.take(short), lo.take(short), sp.take(short))
-            now[miss] = high << 8 | lower
+            cut, rest = lo.take(short), sp.take(short)
+            rest = narrowed(cut, rest)
+            value[short] = value.take(short) << HALF | stream.take(at.take(short), mode="clip")
+            at[short] += 1
+            low[short], span[short] = cut << HALF, rest << HALF
         ids[starts[:n] + step] = now
         model.update(n, now, hit)
     return ids

@@ -2,8 +2,8 @@
 
 A file row is a segment, a run of whole documents: ``shard`` and ``first``, its place among the ids; ``doc_ids`` and
 ``lengths`` (ids of each document); ``block_ids``, ``sizes`` and ``crcs``, the coded bytes and the crc32 of the ids
-(little-endian 16-bit) of each block; ``payload``, the coded blocks one after another. Each block is coded by itself.
-A block whose ids do not give its checksum is an error.
+(little-endian 16-bit) of each block; ``frequencies``, how frequent each id is in the segment; ``payload``, the coded blocks one
+after another. Each block is coded by itself and read with the frequencies alone. A block whose ids do not give its checksum is an error.
 
 A null text is empty and has the end id only. Null ids come first; rows with equal ids are ordered by text, and all are
 written. An empty table gives an empty store. Other columns are not read. Ids above 65,535 are refused.
@@ -21,25 +21,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.llm.common import texts_of
-from turnstone.llm.range_coder import decode, encode
+from turnstone.llm.range_coder import decode, encode, frequencies
 from turnstone.llm.tokens import tokenizer
 
 BLOCK_IDS = 2_048
 SEGMENT_IDS = 4_194_304
 SCHEMA = (
-    "shard int, first long, doc_ids array<long>, lengths array<long>, block_ids int, sizes array<int>, crcs array<long>, payload binary"
+    "shard int, first long, doc_ids array<long>, lengths array<long>, block_ids int, sizes array<int>, crcs array<long>, "
+    "frequencies binary, payload binary"
 )
 ARROW = pa.schema([
     ("shard", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
-    ("block_ids", pa.int32()), ("sizes", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64())), ("payload", pa.binary()),
+    ("block_ids", pa.int32()), ("sizes", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64())), ("frequencies", pa.binary()),
+    ("payload", pa.binary()),
 ])
 
 
+def packed_frequencies(found: np.ndarray) -> bytes:
+    """The frequencies' bytes, all lowest ones first, compressed."""
+    return zlib.compress(found.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked_frequencies(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def segment(shard: int, first: int, doc_ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
     ids = np.concatenate(parts)
-    blocks = encode(ids, BLOCK_IDS)
+    found = frequencies(ids)
+    blocks = encode(ids, BLOCK_IDS, found)
     crcs = [zlib.crc32(ids[at : at + BLOCK_IDS].astype("<u2").tobytes()) for at in range(0, len(ids), BLOCK_IDS)]
-    row = [shard, first, doc_ids, [len(p) for p in parts], BLOCK_IDS, [len(b) for b in blocks], crcs, b"".join(blocks)]
+    sizes = [len(b) for b in blocks]
+    row = [shard, first, doc_ids, [len(p) for p in parts], BLOCK_IDS, sizes, crcs, packed_frequencies(found), b"".join(blocks)]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, ARROW)], schema=ARROW)
 
 
@@ -69,7 +82,7 @@ def decoded(row: dict) -> np.ndarray:
     """The ids of a segment, checked block by block."""
     cuts = np.cumsum([0, *row["sizes"]])
     blocks = [row["payload"][a:b] for a, b in zip(cuts, cuts[1:])]
-    ids = decode(blocks, int(sum(row["lengths"])), row["block_ids"])
+    ids = decode(blocks, int(sum(row["lengths"])), row["block_ids"], unpacked_frequencies(row["frequencies"]))
     for at, crc in zip(range(0, len(ids), row["block_ids"]), row["crcs"]):
         if zlib.crc32(ids[at : at + row["block_ids"]].astype("<u2").tobytes()) != crc:
             raise ValueError(f"block at id {row['first'] + at} of shard {row['shard']} is damaged")
