@@ -60,8 +60,8 @@ def test_packed_ranges_come_back():
     assert len(pack_sorted(keys, border(6, 7))) < 7 * len(keys)
 
 
-def test_hashes_are_those_of_the_words(prose):
-    texts = ["", " ", "a", "\tA a\x0bB\n", "x\u00a0y\x1cz \u2028 É é", prose.text(400), "  \n ", prose.text(30) + "\n"]
+def test_hashes_are_those_of_the_words():
+    texts = ["", " ", "a", "\tA a\x0bB\n", "x\u00a0y\x1cz \u2028 É é", "Some words, some Words.\n" * 40, "  \n ", "the end\n"]
     got, ends = token_hashes(pa.array(texts, pa.large_string()).slice(1))
     words = [t.encode().lower().split() for t in texts[1:]]
     assert got.tolist() == [h for w in words for h in [*(xxhash.xxh64_intdigest(x, SEED) for x in w), END]]
