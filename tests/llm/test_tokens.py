@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from turnstone.llm.packing import best_fit, complete, dominated, fillings, lower_bound, pack
-from turnstone.llm.range_coder import decode, encode, frequencies
+from turnstone.llm.range_coder import RUN, Model, decode, encode, frequencies, renewals, stretches
 from turnstone.llm.token_store import decoded, packed_frequencies, read_tokens, unpacked_frequencies, write_tokens
 from turnstone.llm.tokens import WordTokenizer, public_tokenizer, split_known, tokenizer
 
@@ -209,3 +209,47 @@ def test_coder_round_trip_with_frequencies(ids, size):
     x = np.array(ids, np.uint16)
     found = frequencies(x)
     assert decode(encode(x, size, found), len(x), size, found).tolist() == ids
+
+
+@given(st.integers(1, 5000), st.sampled_from([1, 2, 7, 33, 300, 2048]))
+def test_runs_of_steps_take_each_id_once(total, size):
+    runs = list(stretches(total, size))
+    assert sum((behind - first) * blocks for first, behind, blocks in runs) == total
+    starts = {first for first, _, _ in runs}
+    assert all(0 < behind - first <= RUN for first, behind, _ in runs) and {x for x in renewals(size) if x < min(size, total)} <= starts
+
+
+def test_encoder_works_out_the_chances_of_many_steps_together(monkeypatch):
+    calls = []
+    foretold = Model.foretold
+    monkeypatch.setattr(Model, "foretold", lambda self, two, one: calls.append(two.shape) or foretold(self, two, one))
+    x = np.tile(np.arange(700, dtype=np.uint16) * 5, 9)
+    blocks = encode(x, 2048)
+    assert len(calls) < 2048 // RUN + 10 and sum(a * b for a, b in calls) == len(x)
+    assert (decode(blocks, len(x), 2048) == x).all()
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_coder_keeps_rare_ids_between_long_runs(seed):
+    rng = np.random.default_rng(seed)  # chances near one, and ids of the least frequency where another was foretold
+    x = np.repeat(rng.integers(0, 3, 400), rng.integers(1, 200, 400)).astype(np.uint16)
+    rare = rng.choice(len(x), 300, replace=False)
+    x[rare] = rng.permutation(65_536)[:300]
+    found = frequencies(x)
+    assert found[x].min() < 40
+    blocks = encode(x, 2048, found)
+    assert (decode(blocks, len(x), 2048, found) == x).all()
+    assert sum(map(len, blocks)) < len(x) / 4
+
+
+def test_words_are_merged_once_over_chunks_and_kept_as_arrow(monkeypatch):
+    monkeypatch.setattr("turnstone.llm.tokens.CHUNK_WORDS", 40)
+    words = WordTokenizer(PATH)
+    merged = []
+    merge = WordTokenizer._merged
+    monkeypatch.setattr(WordTokenizer, "_merged", lambda self, new: merged.extend(new.to_pylist()) or merge(self, new))
+    texts = [" ".join(f"Wört{chr(97 + i % 26)}{chr(97 + j)}{e}" for i in range(k, k + 9)) for k in range(30) for j, e in enumerate([",", ".", ""])]
+    texts += ["", ",. 42 中 it's"]
+    assert [x.tolist() for x in words.encode(texts)] == [library_ids(t) for t in texts]
+    assert len(merged) == len(set(merged)) > 70
+    assert words.numbers.nbytes < 40 * len(words.numbers)

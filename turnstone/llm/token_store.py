@@ -25,7 +25,7 @@ from turnstone.llm.range_coder import decode, encode, frequencies
 from turnstone.llm.tokens import tokenizer
 
 BLOCK_IDS = 2_048
-SEGMENT_IDS = 4_194_304
+SEGMENT_IDS = 8_388_608
 SCHEMA = (
     "shard int, first long, doc_ids array<long>, lengths array<long>, block_ids int, sizes array<int>, crcs array<long>, "
     "frequencies binary, payload binary"
