@@ -1,6 +1,9 @@
 import itertools
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from turnstone.llm.tokens import public_tokenizer, tokenizer
 from turnstone.llm.toxicity import raw_score, train, words_in
@@ -52,3 +55,25 @@ def test_run_as_brute_force(spark):
             want.update((i, p, min(2048, n - at)) for p, at in enumerate(range(0, n, 2048)))
     got = Counter((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
+
+
+def test_python_tasks_get_small_batches(spark):
+    """What a Python task of a stage holds at once does not follow its rows: 600 texts of 40 KB, in one partition."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(600, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 10_000).alias("text"))
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(limit)
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(50), SF)
+            got = texts.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in got) == 600 and max(r.bytes for r in got) < 6 << 20, name
+        spark.conf.set(limit, "1048576")  # a session's own limit stays
+        corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        assert spark.conf.get(limit) == "1048576"
+    finally:
+        spark.conf.unset(limit)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnstone.session import scratch_path
 
+BATCH_BYTES = 4 << 20  # of rows that a Python task gets at once
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,6 +24,17 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{paths}".rstrip(":")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python tasks of this session get ``BATCH_BYTES`` of rows at a time, unless the session names a limit itself.
+
+    Spark's own limit is 10,000 rows, whatever their size, often all of a task: the executor then holds them several times
+    outside its heap, and the worker once more with all it makes of them, and neither gives the memory back.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
