@@ -194,6 +194,32 @@ def test_stream_equals_batch(spark, tmp_path, store, write_transcript):
     assert said(store) == said(whole) == [("a1", "two", "sess-a"), ("u1", "one", "sess-a"), ("u2", "last", "sess-a")]
 
 
+def test_a_stream_takes_a_bounded_number_of_files_at_once(spark, tmp_path, store, write_transcript, monkeypatch):
+    from turnstone.streaming import ingest as streaming
+
+    monkeypatch.setattr(streaming, "FILES_PER_TRIGGER", 2)
+    lines = [user(f"u{i}", f"text {i}", ts=f"2031-11-02T10:00:0{i}Z") for i in range(5)]
+    for i, line in enumerate(lines):  # one transcript in five pieces, and five others
+        _land(tmp_path, "proj", "sess-a", f"{i}.jsonl", [line])
+        _land(tmp_path, "more", f"s{i}", "0.jsonl", [user(f"w{i}", "alone"), user("u0", "again")])
+    before = dict(spark.conf.getAll)
+    stream = landed_lines(spark, str(tmp_path / "landing"))
+    stream_ingest(store, stream, str(tmp_path / "offsets"), availableNow=True).awaitTermination()
+    assert dict(spark.conf.getAll) == before  # the file source has a session of its own
+
+    read = store.read("lines").groupBy("batch_id").agg({"pos.piece": "count"}).collect()
+    assert len(read) == 5 and sum(r[1] for r in read) == 15  # two files each
+    found = {r.uuid: r.content for r in store.scan_messages().filter("project_slug = 'proj'").collect()}
+    assert found == {f"u{i}": f"text {i}" for i in range(5)}
+    write_transcript(lines)
+    whole = Store(spark, str(tmp_path / "whole"))
+    ingest(whole, scan(spark, tmp_path), 0)
+    columns = ["session_id", "started_at", "ended_at", "turn_count"]
+    kept = store.scan_sessions().filter("project_slug = 'proj'").select(*columns)
+    assert kept.collect() == whole.scan_sessions().select(*columns).collect()
+    assert sorted(r.uuid for r in store.scan_messages().filter("project_slug = 'more'").collect()) == ["u0", *(f"w{i}" for i in range(5))]
+
+
 def test_stream_dedup(spark, tmp_path):
     source, table = tmp_path / "rows", tmp_path / "unique"
     schema = "uuid string, n int"

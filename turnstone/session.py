@@ -31,6 +31,20 @@ def build_session(app: str = "turnstone", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def session_like(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A second session over the same context: the settings of this one, changed as given; this one stays as it is."""
+    other = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, value in settings.items():
+        other.conf.set(key, value)
+    return other
+
+
+def adopted(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """A frame of another session as one of this session: its queries run here, its sources keep their settings."""
+    plan = frame._jdf.logicalPlan()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` when the cluster names one.
 

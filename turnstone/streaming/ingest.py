@@ -7,6 +7,7 @@ pieces, ``project_slug=<slug>/transcript=<session>/<piece>``; whole transcripts
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 
@@ -18,22 +19,38 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from ..functions.redact import Rule, redact
 from ..operators.messages import anti_insert, first_uuid_wins
 from ..plans.ingest import ingest
+from ..session import adopted, session_like
 from ..sources.store import Store, key_prefix
 from ..sources.transcripts import _exists, line_pos, raw_lines
 
 # of the tables of ``stream_dedup``; a table keeps the number it was made with
 DEDUP_PREFIXES = 64
 
+# of a micro-batch: the driver holds some kB for each, and a batch has its fixed costs
+FILES_PER_TRIGGER = 20_000
+
+# Settings of the stream's file source only. Landed files are many and small, and each is opened once.
+LANDED = {
+    # else the driver keeps up to 250 MB of what listings said of files
+    "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
+    # and the hosts of each file, beside its status
+    "spark.sql.sources.ignoreDataLocality": "true",
+    # tasks of the job that looks a micro-batch's files up, of which there would be up to 10,000; the driver remembers tasks
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+    # what opening a file counts as: with the usual 4 MB a task gets 4 to 32 files
+    "spark.sql.files.openCostInBytes": str(256 * 1024),
+}
+
 
 def landed_lines(spark: SparkSession, path: str, glob: str = "*", per_trigger: int | None = None) -> DataFrame:
-    """Stream of ``(file_path, file_name, block, mtime, value)`` as files land."""
-    reader = (
-        spark.readStream.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    )
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    """Stream of ``(file_path, file_name, block, mtime, value)`` as files land.
+
+    A micro-batch has ``per_trigger`` files at most (``FILES_PER_TRIGGER``); all others follow in the next ones.
+    """
+    reader = session_like(spark, LANDED).readStream.format("text").option("recursiveFileLookup", "true")
+    lines = reader.option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger or FILES_PER_TRIGGER).load(path)
     meta = F.col("_metadata")
-    return reader.load(path).select(
+    return adopted(spark, lines).select(
         meta["file_path"].alias("file_path"),
         meta["file_name"].alias("piece"),
         meta["file_block_start"].alias("block"),
@@ -73,6 +90,8 @@ def stream_ingest(
     name = writer or writer_of(checkpoint)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
+        # frames are cyclic garbage in Python; until it is collected the driver keeps their plans and the files these name
+        gc.collect()
         here = Store(batch.sparkSession, store.root, name)
         ingest(here, raw_lines(_batch_lines(batch, batch_id)), batch_id, rules, engineer, in_pieces=True)
 
