@@ -26,8 +26,8 @@ from ..sources.transcripts import _exists, line_pos, raw_lines
 # of the tables of ``stream_dedup``; a table keeps the number it was made with
 DEDUP_PREFIXES = 64
 
-# of a micro-batch: the driver holds some kB for each, and a batch has its fixed costs
-FILES_PER_TRIGGER = 20_000
+# of a micro-batch: the driver holds one or two kB for each, and every batch has its fixed costs
+FILES_PER_TRIGGER = 50_000
 
 # Settings of the stream's file source only. Landed files are many and small, and each is opened once.
 LANDED = {
